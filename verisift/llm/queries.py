@@ -7,6 +7,8 @@ import importlib
 #: query -> module of this subpackage; the function has the query's name, SQL is the module's attribute SQL if any.
 MODULES = {
     "op6_quality_rules": "quality",
+    "op7_best_fit_packing": "packing",
+    "op8_source_mixing": "mixing",
     "op10_token_output": "token_output",
 }
 
