@@ -5,7 +5,7 @@ file and any store works); each row is one shard in the format of repair.py, and
 files are in the order of the documents.
 
 Edge cases: a null or empty text is the end id alone; a null doc_id sorts first; rows that share a
-doc_id stand together, ordered by text; an empty table gives no shard and an empty result; other columns
+doc_id stand together, ordered by the text's hash; an empty table gives no shard and an empty result; other columns
 are not read. Very long texts make a shard of their own.
 """
 
@@ -60,9 +60,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
 
     spark = docs.sparkSession
     # Rows that share a doc_id would all fall into one range: the text's hash spreads them.
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = keyed.repartitionByRange(parts(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shards, SHARDS).write.parquet(path)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange(parts(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("doc_id", "text").mapInArrow(shards, SHARDS).write.parquet(path)
 
 
 def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
