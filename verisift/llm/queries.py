@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module of this subpackage; the function has the query's name, SQL is the module's attribute SQL if any.
 MODULES = {
+    "op1_toxicity": "toxicity",
     "op3_ngram_jaccard_join": "jaccard",
     "op6_quality_rules": "quality",
     "op7_best_fit_packing": "packing",
