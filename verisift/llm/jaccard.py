@@ -4,13 +4,13 @@ filters, each surviving pair verified once on the full sets, then components of
 1. Every text gives the set of its distinct 5-word shingles (64-bit hashes) and the set's key. Texts with
    equal sets are one class from here on. Each task also counts its shingles in a fixed number of
    buckets; the summed counts order all shingles rare-first (by bucket count, then hash).
-2. A set of n shingles can only reach similarity t with a set that shares one of its first n - ceil(t n) + 1
-   shingles, so these prefixes are what is joined. Within a task a set is emitted once, so copies do not
-   pile up on their shingles.
+2. A set of n shingles can only reach similarity t with a set that shares k of its first n - ceil(t n) + k
+   shingles, so these prefixes are what is joined, with k a twentieth of the least overlap. Within a task
+   a set is emitted once, so copies do not pile up on their shingles.
 3. Each class first tries one partner: the neighbour (by size) with which it shares most prefix shingles.
    These links already join most of every near-copy group. After that, only pairs across
-   components matter, and all of those that pass length and positional filters are tried. Nothing is capped: pairs
-   within a component are the ones left out, since they cannot change it.
+   components matter, and all of those that share k prefix shingles and pass length and positional filters are
+   tried. Nothing is capped: pairs within a component are the ones left out, since they cannot change it.
 4. A pair is verified by the suffix filter and then by the exact intersection.
 
 Edge cases: null and empty texts have an empty set and link with nothing; texts of fewer than five words are one
@@ -35,8 +35,10 @@ from verisift.llm.tokens import chunks
 WORDS = 5
 #: Similarity as a fraction: links have NUM / DEN or more.
 NUM, DEN = 75, 100
-#: Buckets of the frequency counts that order shingles: 64 Ki counters, the same for any input.
-BITS = 16
+#: Buckets of the frequency counts that order shingles: 256 Ki counters, the same for any input.
+BITS = 18
+#: Prefixes are longer by 1 / MORE of the least overlap, and a pair must share so many more of their shingles.
+MORE = 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _STEP = mix(np.arange(1, WORDS + 2, dtype=np.uint64)) | np.uint64(1)
@@ -76,8 +78,13 @@ def set_key(s: np.ndarray) -> int:
         return int(mix(np.array([m.sum() * np.uint64(3) ^ np.bitwise_xor.reduce(mix(m)) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def shared_least(n):
+    """Prefix shingles that a set of n shares with any partner of its size or larger. Works on ints and arrays."""
+    return -(-(-(-NUM * n // DEN)) // MORE)
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1
+    return n - -(-NUM * n // DEN) + shared_least(n)
 
 
 def _binary(batch, column: str = "text") -> list:
@@ -209,48 +216,66 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long, ok boolean")
 
 
+#: Members up to which all shingles' pairs are found together; larger groups are handled one by one.
+_TOGETHER = 48
+
+
+def _pairs_of(tok: np.ndarray, vid: np.ndarray, n: np.ndarray, pos: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
+    """(a, b, least size) for each pair of a shingle's sets in different components that passes the filters; rows sorted by tok."""
+
+    def kept(i: np.ndarray, j: np.ndarray) -> tuple:
+        ok = (c[i] != c[j]) & _may_link(n[i], pos[i], n[j], pos[j])
+        i, j = i[ok], j[ok]
+        return np.minimum(vid[i], vid[j]), np.maximum(vid[i], vid[j]), np.minimum(n[i], n[j])
+
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]])
+    size = np.diff(cuts)
+    small = np.repeat(size <= _TOGETHER, size)
+    for d in range(1, _TOGETHER):
+        i = np.flatnonzero((tok[d:] == tok[:-d]) & small[d:])
+        if not len(i):
+            break
+        yield kept(i, i + d)
+    for k in np.flatnonzero(size > _TOGETHER).tolist():
+        at = np.arange(cuts[k], cuts[k + 1])
+        kinds, inverse, count = np.unique(c[at], return_inverse=True, return_counts=True)
+        main = inverse == count.argmax()
+        for m in np.flatnonzero(~main).tolist():
+            other = at[main | (np.arange(len(at)) > m)]
+            yield kept(np.full(len(other), at[m]), other)
+
+
 def cross_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of one shingle's sets that lie in different components and pass the filters.
-    postings: tok, vid, n, pos, c. Work for a shingle is its members times those outside its largest component."""
+    """Pairs (a, b) in different components that share enough prefix shingles. postings: tok, vid, n, pos, c.
+    Work for a shingle is its members times those outside its largest component."""
 
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         names = ["tok", "vid", "n", "pos", "c"]
         rest = None
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def pairs(g: list[np.ndarray]) -> Iterator:
-            tok = g[0]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1, [len(tok)]])
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                vid, n, pos, c = (x[i:j] for x in g[1:])
-                kinds, inverse, count = np.unique(c, return_inverse=True, return_counts=True)
-                if len(kinds) < 2:
-                    continue
-                main = inverse == count.argmax()
-                for k in np.flatnonzero(~main).tolist():
-                    other = (c != c[k]) & (main | (np.arange(j - i) > k))
-                    other &= _may_link(np.full(j - i, n[k]), np.full(j - i, pos[k]), n, pos)
-                    v = vid[other]
-                    if len(v):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v, vid[k])), pa.array(np.maximum(v, vid[k]))], schema=schema)
+
+        def out(g: list[np.ndarray]) -> Iterator:
+            for a, b, n in _pairs_of(*g):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared_least(n), pa.int32())], names=["a", "b", "least"])
 
         for batch in batches:
             g = [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
             if rest is not None:
                 g = [np.concatenate([x, y]) for x, y in zip(rest, g, strict=True)]
             at = int(np.searchsorted(g[0], g[0][-1])) if len(g[0]) else 0  # the last shingle may go on
-            yield from pairs([x[:at] for x in g])
+            yield from out([x[:at] for x in g])
             rest = [x[at:] for x in g]
         if rest is not None:
-            yield from pairs(rest)
+            yield from out(rest)
 
     # A shingle within one component has nothing to try.
     mixed = postings.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok")
     some = postings.join(mixed, "tok", "left_semi")
     n = parts(postings.sparkSession)
-    return some.repartition(n, "tok").sortWithinPartitions("tok", "vid").select("tok", "vid", "n", "pos", "c").mapInArrow(emit, "a long, b long").distinct()
+    found = some.repartition(n, "tok").sortWithinPartitions("tok").select("tok", "vid", "n", "pos", "c").mapInArrow(emit, "a long, b long, least int")
+    return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("least")).where("k >= least").select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -262,19 +287,21 @@ def classes(docs: DataFrame) -> DataFrame:
         order[r["bucket"]] = r["c"]
     posts = staged(shared_postings(prefixes(docs, order)), "jaccard-postings")
 
-    vids = posts.select("vid").distinct()
-    needed = staged(sig.where("n > 0").join(vids, "vid", "left_semi").groupBy("vid").agg(F.min("tkey").alias("tkey")).select("tkey"), "jaccard-needed")
-    sets = staged(sets_of(docs, needed), "jaccard-sets")
+    def sets(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct()
+        needed = staged(sig.where("n > 0").join(ends, "vid", "left_semi").groupBy("vid").agg(F.min("tkey").alias("tkey")).select("tkey"), "jaccard-needed")
+        return staged(sets_of(docs, needed), "jaccard-sets")
 
     p = posts.where(F.col("prev").isNotNull()).where(_may_link(F.col("n"), F.col("pos"), F.col("prev.n"), F.col("prev.pos")))
-    tried = p.groupBy(F.col("vid").alias("v"), F.col("prev.vid").alias("w")).agg(F.count(F.lit(1)).alias("k"))
-    best = tried.groupBy("v").agg(F.max(F.struct("k", "w")).alias("m")).select(F.least("v", "m.w").alias("a"), F.greatest("v", "m.w").alias("b"))
-    first = staged(verified(best, sets), "jaccard-first")
+    tried = p.groupBy(F.col("vid").alias("v"), F.col("prev.vid").alias("w")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("n", "prev.n")).alias("s"))
+    best = tried.where(2 * MORE * DEN * F.col("k") >= NUM * F.col("s")).groupBy("v").agg(F.max(F.struct("k", "w")).alias("m"))
+    best = staged(best.select(F.least("v", "m.w").alias("a"), F.greatest("v", "m.w").alias("b")).distinct(), "jaccard-best")
+    first = staged(verified(best, sets(best)), "jaccard-first")
     roots = components(first.where("ok").select("a", "b"))
 
     c = posts.select("tok", "vid", "n", "pos").join(roots.withColumnRenamed("v", "vid"), "vid", "left").select("tok", "vid", "n", "pos", F.coalesce("root", "vid").alias("c"))
-    more = cross_pairs(staged(c, "jaccard-labelled")).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = staged(verified(more, sets), "jaccard-second")
+    more = staged(cross_pairs(staged(c, "jaccard-labelled")).join(first.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
+    second = staged(verified(more, sets(more)), "jaccard-second")
     roots = components(first.where("ok").select("a", "b").union(second.where("ok").select("a", "b")))
 
     each = staged(sig.where("n > 0").groupBy("vid").agg(F.min("doc_id").alias("least")), "jaccard-classes")
