@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_toxicity": "toxicity",
     "op3_ngram_jaccard_join": "jaccard",
+    "op4_html_extraction": "html_text",
     "op6_quality_rules": "quality",
     "op7_best_fit_packing": "packing",
     "op8_source_mixing": "mixing",
