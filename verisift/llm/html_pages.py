@@ -85,6 +85,13 @@ def _article(r: random.Random) -> str:
     return f'<{(t := r.choice(("div", "div", "main", "section")))} data-y=1 {r.choice(("class", "id"))}="{r.choice(("content", "post", "entry-content", "article-body", "story", "main-text", "body-copy"))}">{body}</{t}>'
 
 
+def _short(r: random.Random) -> str:
+    """An article of a few words."""
+    paras = "".join(f"<p data-y=1>{r.choice(('', '<b>'))}{_text(r, 1, 6)}</p>" for _ in range(r.randint(1, 2)))
+    inner = f"<h1 data-y=1>{_text(r, 1, 4)}</h1>{paras}"
+    return f"<article data-y=1>{inner}</article>" if r.random() < 0.7 else f'<div data-y=1 class="{r.choice(("content", "post", "entry-content", "story"))}">{inner}</div>'
+
+
 def labelled_pages(n: int, seed: int = 11) -> list[str]:
     r = random.Random(seed)
     out = []
@@ -98,7 +105,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
             after = _comments(r) + after
         head = f"<header data-y=0>{r.choice(('<h1 data-y=0>', '<p data-y=0>', '<div data-y=0>'))}{_text(r, 1, 5)}" + r.choice(("", "</h1>", "</div>")) + "</header>" if r.random() < 0.4 else ""
         foot = r.choice((f"<footer data-y=0>&copy; {_text(r, 1, 20)}</footer>", _div(r, ["footer", "copyright", "legal"], _paras(r, 1, 0, 3, 25)), ""))
-        core = _article(r) if k % 10 else f"<article data-y=1><h1 data-y=1>{_word(r)}.</h1><p data-y=1><b>{_word(r)}.</article>"
+        core = _article(r) if k % 4 else _short(r)
         if r.random() < 0.4:
             core = f"<{(t := r.choice(('div', 'main')))} data-y=0 class={r.choice(('page', 'wrapper', 'container', 'layout'))}>{core}{after}</{t}>"
             after = ""
