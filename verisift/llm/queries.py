@@ -12,6 +12,7 @@ MODULES = {
     "op6_quality_rules": "quality",
     "op7_best_fit_packing": "packing",
     "op8_source_mixing": "mixing",
+    "op9_embedding_near_dedup": "embedding",
     "op10_token_output": "token_output",
 }
 
