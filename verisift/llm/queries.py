@@ -7,8 +7,10 @@ import importlib
 #: query -> module of this subpackage; the function has the query's name, SQL is the module's attribute SQL if any.
 MODULES = {
     "op1_toxicity": "toxicity",
+    "op2_sharding": "sharding",
     "op3_ngram_jaccard_join": "jaccard",
     "op4_html_extraction": "html_text",
+    "op5_license_scan": "licenses",
     "op6_quality_rules": "quality",
     "op7_best_fit_packing": "packing",
     "op8_source_mixing": "mixing",
