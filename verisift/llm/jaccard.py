@@ -318,14 +318,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, one of each group: that with the least doc_id (then text key). Rows without words all stay."""
     got = staged(classes(docs), "jaccard-rows")
     best = got.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tkey")).alias("m"))
-    keep = best.select(F.col("m.doc_id").alias("_id"), F.col("m.tkey").alias("_t"), F.lit(True).alias("_one"))
-    keep = staged(keep.union(got.where("group_id IS NULL").select("doc_id", "tkey", F.lit(False)).distinct()), "jaccard-keep")
+    null = F.lit(-(1 << 63)).cast("long")
+    key = [F.coalesce("doc_id", null).alias("_d"), F.col("tkey").alias("_t")]
+    mine = best.select("group_id", F.coalesce("m.doc_id", null).alias("d"), F.col("m.tkey").alias("t"))
+    rows = got.where("group_id IS NOT NULL").select("group_id", *key).join(mine, "group_id")
+    gone = staged(rows.where("_d <> d OR _t <> t").select("_d", "_t").distinct(), "jaccard-gone")
+    # The rows of a kept text that repeats under its own id.
+    twice = staged(rows.where("_d = d AND _t = t").groupBy("_d", "_t").count().where("count > 1").select("_d", "_t"), "jaccard-twice")
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.xxhash64("text").alias("_tk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_d"))
-    keep = keep.select(F.coalesce("_id", F.lit(-(1 << 63)).cast("long")).alias("_d"), F.col("_t").alias("_tk"), "_one")
-    w = W.partitionBy("_d", "_tk").orderBy(F.lit(1))
-    j = rows.join(keep, ["_d", "_tk"]).withColumn("_k", F.row_number().over(w))
-    return j.where("NOT _one OR _k = 1").select("_row.*")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), null).alias("_d"), F.xxhash64("text").alias("_t"))
+    held = held.join(small_side(gone, 1_000_000), ["_d", "_t"], "left_anti")
+    if twice.isEmpty():
+        return held.select("_row.*")
+    again = small_side(twice, 1_000_000)
+    single = held.join(again, ["_d", "_t"], "left_anti").select("_row")
+    return single.union(held.join(again, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select("_row")).select("_row.*")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

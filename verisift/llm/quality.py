@@ -182,8 +182,9 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs whose verdict is kept. doc_id identifies a document: rows that
     share one share the verdict of the worst of them; a null doc_id is its own key."""
-    verdicts = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("_kept")).where("_kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    bad = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("_kept")).where("NOT _kept").select(F.col("doc_id").alias("_id"))
+    bad = staged(bad, "quality-rejected")
+    return docs.join(small_side(bad, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
