@@ -7,8 +7,8 @@ filters, each surviving pair verified once on the full sets, then components of
 2. A set of n shingles can only reach similarity t with a set that shares k of its first n - ceil(t n) + k
    shingles, so these prefixes are what is joined, with k a twentieth of the least overlap. Within a task
    a set is emitted once, so copies do not pile up on their shingles.
-3. Each class first tries one partner: the neighbour (by size) with which it shares most prefix shingles.
-   These links already join most of every near-copy group. After that, only pairs across
+3. In a few rounds, each class tries one partner of another component: a neighbour with which it shares
+   most prefix shingles. These links join most of every near-copy group. After that, only pairs across
    components matter, and all of those that share k prefix shingles and pass length and positional filters are
    tried. Nothing is capped: pairs within a component are the ones left out, since they cannot change it.
 4. A pair is verified by the suffix filter and then by the exact intersection.
@@ -39,6 +39,8 @@ NUM, DEN = 75, 100
 BITS = 18
 #: Prefixes are longer by 1 / MORE of the least overlap, and a pair must share so many more of their shingles.
 MORE = 20
+#: Most rounds of single partners before the pass over all pairs that are left.
+ROUNDS = 6
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _STEP = mix(np.arange(1, WORDS + 2, dtype=np.uint64)) | np.uint64(1)
@@ -158,14 +160,11 @@ def _may_link(n1, p1, n2, p2):
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that stand in the prefix of two sets or more, with the previous set by size."""
-    w = W.partitionBy("tok").orderBy("n", "vid")
-    near = postings.select(
-        "*", F.lag(F.struct("vid", "n", "pos")).over(w).alias("prev"), F.lead("vid").over(w).alias("next")
-    )
+    """Postings of shingles that stand in the prefix of two sets or more, one for each set."""
+    group = W.partitionBy("tok")
+    near = postings.select("*", F.lag("vid").over(group.orderBy("vid")).alias("prev"), F.min("vid").over(group).alias("lo"), F.max("vid").over(group).alias("hi"))
     # One set may come from several tasks: its rows stand side by side, and one of them stays.
-    once = near.where(F.col("prev").isNull() | (F.col("prev.vid") != F.col("vid")))
-    return once.where(F.col("prev").isNotNull() | (F.col("next") != F.col("vid")) | F.col("next").isNull() & F.col("prev").isNotNull())
+    return near.where("lo < hi AND (prev IS NULL OR prev <> vid)").select("tok", "vid", "n", "pos")
 
 
 def sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -292,17 +291,31 @@ def classes(docs: DataFrame) -> DataFrame:
         needed = staged(sig.where("n > 0").join(ends, "vid", "left_semi").groupBy("vid").agg(F.min("tkey").alias("tkey")).select("tkey"), "jaccard-needed")
         return staged(sets_of(docs, needed), "jaccard-sets")
 
-    p = posts.where(F.col("prev").isNotNull()).where(_may_link(F.col("n"), F.col("pos"), F.col("prev.n"), F.col("prev.pos")))
-    tried = p.groupBy(F.col("vid").alias("v"), F.col("prev.vid").alias("w")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("n", "prev.n")).alias("s"))
-    best = tried.where(2 * MORE * DEN * F.col("k") >= NUM * F.col("s")).groupBy("v").agg(F.max(F.struct("k", "w")).alias("m"))
-    best = staged(best.select(F.least("v", "m.w").alias("a"), F.greatest("v", "m.w").alias("b")).distinct(), "jaccard-best")
-    first = staged(verified(best, sets(best)), "jaccard-first")
-    roots = components(first.where("ok").select("a", "b"))
-
-    c = posts.select("tok", "vid", "n", "pos").join(roots.withColumnRenamed("v", "vid"), "vid", "left").select("tok", "vid", "n", "pos", F.coalesce("root", "vid").alias("c"))
-    more = staged(cross_pairs(staged(c, "jaccard-labelled")).join(first.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
-    second = staged(verified(more, sets(more)), "jaccard-second")
-    roots = components(first.where("ok").select("a", "b").union(second.where("ok").select("a", "b")))
+    # Rounds of one partner for each class, in other components only: near-copy groups grow together.
+    labelled, held, tests, roots = posts.withColumn("c", F.col("vid")), None, None, None
+    for turn in range(ROUNDS):
+        w = W.partitionBy("tok").orderBy(*(("n", "vid") if turn == 0 else (F.xxhash64("vid", F.lit(turn)), "vid")))
+        p = labelled.withColumn("prev", F.lag(F.struct("vid", "n", "pos", "c")).over(w)).where("prev.c <> c")
+        p = p.where(_may_link(F.col("n"), F.col("pos"), F.col("prev.n"), F.col("prev.pos")))
+        best = p.groupBy(F.col("vid").alias("v"), F.col("prev.vid").alias("w")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("n", "prev.n")).alias("s"))
+        best = best.where(2 * MORE * DEN * F.col("k") >= NUM * F.col("s")).groupBy("v").agg(F.max(F.struct("k", "w")).alias("m"))
+        best = best.select(F.least("v", "m.w").alias("a"), F.greatest("v", "m.w").alias("b")).distinct()
+        if tests is not None:
+            best = best.join(tests.select("a", "b"), ["a", "b"], "left_anti")
+        best = staged(best, "jaccard-best")
+        if held is None:
+            held = sets(best)  # later rounds stay within these classes; the last pass fetches what it needs
+        done = staged(verified(best, held), "jaccard-tested")
+        n, hits = done.agg(F.count(F.lit(1)), F.count_if("ok")).first()
+        tests = done if tests is None else tests.union(done)
+        if hits:
+            roots = components(tests.where("ok").select("a", "b"))
+            labelled = posts.join(small_side(roots.withColumnRenamed("v", "vid"), 200_000), "vid", "left").select("tok", "vid", "n", "pos", F.coalesce("root", "vid").alias("c"))
+        if hits * 50 <= n:
+            break
+    more = staged(cross_pairs(staged(labelled, "jaccard-labelled")).join(tests.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
+    second = staged(verified(more, sets(more)), "jaccard-tested")
+    roots = components(tests.union(second).where("ok").select("a", "b"))
 
     each = staged(sig.where("n > 0").groupBy("vid").agg(F.min("doc_id").alias("least")), "jaccard-classes")
     g = each.join(roots.withColumnRenamed("v", "vid"), "vid", "left").select("vid", "least", F.coalesce("root", "vid").alias("group_id"))
