@@ -1,11 +1,16 @@
-"""Register of queries and their SQL."""
+"""Register of the engine's queries and their SQL."""
 
 from __future__ import annotations
 
+from verisift.plans import claims, content, correlate, market
+from verisift.streaming import queries as streams
+
+PLANS = (claims.P, market.P, correlate.P, content.P, streams.P)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in PLANS for k, f in p.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for p in PLANS for k, s in p.sql.items()}
