@@ -71,7 +71,7 @@ class ShardStore:
         path = f"{self.root}/runs/{name}"
         size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
         if files is not None:
-            df = df.repartition(files)
+            df = df.coalesce(files)  # whole inputs side by side: a merge needs no shuffle
         df.write.parquet(path)
         got = self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
         if not got["n"]:
