@@ -34,7 +34,8 @@ SAMPLE = 20_000
 SHARD, BLOCK = 1200, 2400
 OVERLAP = 2
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
-BEAM, SLACK = 8, 0.03
+FAR = 48
+BEAM, SLACK = 16, 0.03
 AUDIT, TARGET = 128, 0.98
 #: Medoids have a cosine below this.
 APART = 0.85
@@ -147,6 +148,12 @@ def graph(x: np.ndarray, same: np.ndarray | None, block: int = 1024) -> tuple[np
         by = np.argsort(-v, axis=1, kind="stable")
         cand[a : a + block], sims[a : a + block] = np.take_along_axis(top, by, 1), np.take_along_axis(v, by, 1)
     kept = prune(x, cand, sims)
+    # Near candidates alone leave tight groups apart: some far ones, pruned alike, keep the graph navigable.
+    far = np.random.default_rng(7).integers(0, m, (m, FAR))
+    s = np.concatenate([np.einsum("ijk,ik->ij", x[far[a : a + 256]], x[a : a + 256]) for a in range(0, m, 256)])
+    s[far == np.arange(m)[:, None]] = -np.inf
+    by = np.argsort(-s, axis=1, kind="stable")
+    kept = np.concatenate([kept, prune(x, np.take_along_axis(far, by, 1), np.take_along_axis(s, by, 1))[:, : DEGREE // 2]], 1)
     u = np.repeat(np.arange(m), kept.shape[1])
     v = kept.ravel()
     u, v = u[v >= 0], v[v >= 0]

@@ -97,7 +97,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
     out = []
     for k in range(n):
         if k % 12 == 5:  # hardly any structure
-            out.append(f"<html data-y=1><body data-y=1>{_paras(r, r.randint(1, 6), 1)}</body></html>")
+            page = f"<html data-y=1><body data-y=1>{_paras(r, r.randint(1, 6), 1, *r.choice(((8, 90), (200, 900))))}</body></html>"
+            out.append(page if k % 24 == 5 else page.translate({ord(c): None for c in ".,?!"}))
             continue
         before = "".join(r.choice(_boiler(r))() for _ in range(r.randint(0, 4)))
         after = "".join(r.choice(_boiler(r))() for _ in range(r.randint(0, 3)))
