@@ -10,6 +10,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.helpers import EDGES, LONG, docs, grouped
 from verisift.llm import embedding, html_pages, html_text, jaccard, toxicity
+from verisift.llm import components as connected
 from verisift.llm.components import components
 
 
@@ -140,7 +141,9 @@ def test_jaccard_edges(spark):
     assert jaccard.classes(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("together", [0, 1_000_000])
+def test_components(spark, monkeypatch, together):
+    monkeypatch.setattr(connected, "TOGETHER", together)
     r = random.Random(9)
     links = [(i, i + 1) for i in range(40)] + [(100 + r.randrange(30), 100 + r.randrange(30)) for _ in range(25)]
     got = {x.v: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
