@@ -358,3 +358,13 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+o AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+p AS (SELECT a.rid AS a, b.rid AS b FROM o a JOIN o b ON a.rid <> b.rid AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r(v, u) AS (SELECT rid, rid FROM v UNION SELECT r.v, p.b FROM r JOIN p ON p.a = r.u),
+g AS (SELECT v, min(vec_id) AS component_id FROM r JOIN v w ON w.rid = r.u GROUP BY r.v),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN g ON g.v = v.rid LEFT JOIN n ON n.a = v.rid"""

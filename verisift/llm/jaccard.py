@@ -351,3 +351,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = classes(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, x FROM (SELECT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d)),
+k AS (SELECT rid, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS cls FROM s GROUP BY rid),
+c AS (SELECT cls, min(rid) AS rep, min(n) AS n FROM k GROUP BY cls),
+t AS (SELECT rep, n, x FROM c JOIN s ON s.rid = c.rep),
+p AS (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 175 * count(*) >= 75 * (a.n + b.n)),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(v, u) AS (SELECT rep, rep FROM c UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u),
+g AS (SELECT v, min(u) AS root FROM r GROUP BY v),
+m AS (SELECT k.rid, k.n, g.root FROM k JOIN c USING (cls) JOIN g ON g.v = c.rep),
+l AS (SELECT root, min(doc_id) AS component_id FROM m JOIN d USING (rid) GROUP BY root)
+SELECT d.doc_id, coalesce(m.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id FROM d LEFT JOIN m USING (rid) LEFT JOIN l USING (root)"""
