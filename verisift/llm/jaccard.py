@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verisift.llm.common import parts, small_side, staged, table
+from verisift.llm.common import parts, small_batches, small_side, staged, table
 from verisift.llm.components import components
 from verisift.llm.spans import mix, prefix_sums, span_hashes
 from verisift.llm.tokens import chunks
@@ -279,6 +279,7 @@ def cross_pairs(postings: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, n, vid, component_id, group_id of every row (group_id: the component's own key, null without words)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
     sig, counts = signatures(docs)
     order = np.zeros(1 << BITS, np.int64)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verisift.llm.common import small_side, staged, table
+from verisift.llm.common import small_batches, small_side, staged, table
 from verisift.llm.tokens import chunks, default_tokenizer, token_ids
 
 PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, local long"
@@ -169,6 +169,7 @@ def cut(docs: DataFrame, size: int, tokenizer: str, end_id: int) -> DataFrame:
             names = ["part", "doc_id", "piece", "start", "length", "ids_crc32", "local"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 
 

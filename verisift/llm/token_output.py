@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verisift.llm.common import fresh_path, parts, small_side, staged, table
+from verisift.llm.common import fresh_path, parts, small_batches, small_side, staged, table
 from verisift.llm.tokens import chunks, default_tokenizer, token_ids
 
 #: Ids of a shard: bounds a worker's memory and the work of one random access.
@@ -58,6 +58,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
         if held:
             yield flush()
 
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     # Rows that share a doc_id would all fall into one range: the text's hash spreads them.
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))

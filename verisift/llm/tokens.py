@@ -26,8 +26,8 @@ L, N, O, S, D, X = range(6)  # noqa: E741
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _END = 0x110000
 #: Code points of texts that are handled together, and pre-tokens kept by a worker.
-CHUNK = 1 << 20
-KEPT = 1 << 21
+CHUNK = 1 << 19
+KEPT = 1 << 20
 
 
 @functools.cache
@@ -208,7 +208,7 @@ def chunks(batches: Iterable, column: str = "text") -> Iterator[tuple]:
 
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
-        group = np.cumsum(sizes) // (2 * CHUNK)
+        group = np.cumsum(sizes) // CHUNK
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm.common import small_side, staged, table
+from verisift.llm.common import small_batches, small_side, staged, table
 from verisift.llm.spans import prefix_sums, span_hashes
 from verisift.llm.tokens import chunks
 
@@ -204,6 +204,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
     """A model from the labelled rows that are not held out; and the share of toxic labels."""
+    small_batches(docs.sparkSession)
     rows = _labelled(docs, labels)
     counts = np.zeros((2, (1 << BITS) + 1))
     for r in class_counts(rows).toLocalIterator():  # at most 2**BITS + 1 rows
