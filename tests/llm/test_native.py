@@ -89,6 +89,19 @@ def test_licences(spark):
     assert len(got) == len(rows) and licenses.scan(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_whole_licences_and_runs(spark):
+    from verisift.llm.license_texts import ISC, whole_texts
+
+    texts = [(k, t) for k, t in whole_texts() if len(t) > 5000]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= {k for k, _ in texts}
+    rows = [(i, t, "en", "a") for i, (_, t) in enumerate(texts)]
+    rows += [(100, "A tool.\n\n" + ISC + "\n\nUsage: run it.", "en", "a"), (101, ISC.split("\n\n")[0], "en", "a"), (102, "Notes.\n\n" + dict(texts)["GPL-3.0"] + "\n\nEnd.", "en", "a")]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [got[i].license for i in range(len(texts))] == [k for k, _ in texts]
+    assert [(got[i].license, got[i].notices) for i in (100, 101)] == [(None, "ISC"), (None, "")]
+    assert got[102].license is None and "GPL-3.0" in got[102].notices.split(",")
+
+
 def test_store(spark):
     df = docs(spark, EDGES)
     store = sharding.ShardStore(spark, fresh_path(spark, "store"), small=64, fanout=2)

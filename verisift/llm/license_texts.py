@@ -1,8 +1,11 @@
 """Public licence texts and notices that the scan knows.
 
 Fixed values: these are the public wordings of the licences. Copyright lines are left out, as the canonical form drops them.
+The longer licences stand whole in license_files.
 """
 
+from pathlib import Path
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -75,3 +78,15 @@ TEXTS = {
     "MPL-2.0": [MPL2_NOTICE, "SPDX-License-Identifier: MPL-2.0"],
 }
 TEXTS["MIT"].append("SPDX-License-Identifier: MIT")
+
+#: Licence -> file of its whole text. Where a text does not say so, its name leaves open whether later versions count.
+FILES = {
+    "Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2",
+    "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of all known texts, the files included."""
+    folder = Path(__file__).parent / "license_files"
+    return [(k, t) for k, texts in TEXTS.items() for t in texts] + [(k, (folder / f"{f}.txt").read_text("utf-8")) for k, f in FILES.items()]

@@ -3,7 +3,11 @@
 A text's canonical form: lower case, copyright lines dropped, equivalent spellings made one, everything but letters and
 digits turned into single blanks. Whole texts are matched by hash join with the digests of known
 licence texts; a text's lines and paragraphs are texts of their own, so that a notice inside a document is found by
-the same join. The known digests come from the same expressions and are a few dozen rows.
+the same join. So are runs of as many paragraphs as a known text has; they are hashed where the first paragraph is that of
+a known text. The known digests come from the same expressions and are a few dozen rows.
+
+SQL knows the texts of TEXTS alone, and their lines and single paragraphs: it agrees where no text of license_files and no licence of
+several paragraphs stands in a document.
 
 Edge cases: null and empty texts have the digest of the empty form and match nothing; repeated rows are
 scanned one by one; an empty table gives an empty result; columns other than doc_id and text are not read.
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.llm.common import table
-from verisift.llm.license_texts import TEXTS
+from verisift.llm.license_texts import TEXTS, whole_texts
 
 #: Lines that say who holds the copyright.
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright( \(c\)| ©)?|©|\(c\)|all rights reserved)[^\n]*$"
@@ -40,29 +44,47 @@ def canonical(text: Column) -> Column:
     return F.when(F.rlike(t, F.lit(hint)), F.trim(spelled)).otherwise(t)
 
 
+def paragraphs(text: Column) -> Column:
+    """Canonical forms of a text's paragraphs without the empty ones (those of copyright lines, say)."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), canonical), lambda x: x != "")
+
+
 def known(spark: SparkSession) -> DataFrame:
-    """(digest, license): a few dozen rows, from the texts in license_texts.py."""
-    rows = [(k, t) for k, texts in TEXTS.items() for t in texts]
-    return spark.createDataFrame(rows, "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").distinct()
+    """(digest, license, first, n): a few dozen rows, from the texts in license_texts.py; first is the digest of the
+    first of the text's n paragraphs."""
+    rows = spark.createDataFrame(whole_texts(), "license string, text string").withColumn("p", paragraphs(F.col("text")))
+    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", F.sha2(F.get("p", F.lit(0)), 256).alias("first"), F.size("p").alias("n")).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, license (of the whole text, null if unknown), notices (licences that lines or
-    paragraphs of the text are, in order of name, joined by a comma; empty if none)."""
+    """doc_id, digest, license (of the whole text, null if unknown), notices (licences that lines, paragraphs or
+    runs of paragraphs of the text are, in order of name, joined by a comma; empty if none)."""
     spark = docs.sparkSession
-    held = [(r["digest"], r["license"]) for r in known(spark).collect()]
+    rows = known(spark).collect()
+    held = sorted({(r["digest"], r["license"]) for r in rows})
     names = F.create_map(*[F.lit(x) for row in held for x in row])  # the catalogue is in the code: a literal
+    lengths: dict[str, set[int]] = {}
+    for r in rows:
+        if r["n"] > 1:
+            lengths.setdefault(r["first"], set()).add(r["n"])
+    begins = F.create_map(*[c for first, ns in sorted(lengths.items()) for c in (F.lit(first), F.array(*map(F.lit, sorted(ns))))])
     digest = F.sha2(canonical(F.col("text")), 256)
     # Lines that can be a notice hold one of these words; others are not hashed.
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n"), lambda x: F.rlike(x, F.lit(r"(?i)licen[sc]e|permission|redistribut")))
-    paragraphs = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), lambda x: F.rlike(x, F.lit(r"(?i)licen[sc]e|permission|redistribut")))
-    found = F.transform(F.concat(lines, paragraphs), lambda x: F.element_at(names, F.sha2(canonical(x), 256)))
-    has = F.rlike("text", F.lit(r"(?i)licen[sc]e|permission|redistribut"))
-    notices = F.when(has, F.array_join(F.sort_array(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")).otherwise(F.lit(""))
-    rows = docs.select("doc_id", digest.alias("digest"), F.coalesce(notices, F.lit("")).alias("notices"))
+    hint = r"(?i)licen[sc]e|permission|redistribut"
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n"), lambda x: F.rlike(x, F.lit(hint)))
+    whole = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), lambda x: F.rlike(x, F.lit(hint)))
+    single = F.transform(F.concat(lines, whole), lambda x: F.element_at(names, F.sha2(canonical(x), 256)))
+    # Every known text holds such a word, so a document without one has no run either.
+    has = F.coalesce(F.rlike("text", F.lit(hint)), F.lit(False))
+    split = docs.select("doc_id", "text", F.when(has, paragraphs(F.col("text"))).alias("_p"))
+    of = lambda i, n: F.element_at(names, F.sha2(F.array_join(F.slice("_p", i + 1, n), " "), 256))
+    runs = F.flatten(F.transform("_p", lambda x, i: F.transform(F.coalesce(F.element_at(begins, F.sha2(x, 256)), F.array().cast("array<int>")), lambda n: of(i, n))))
+    found = F.array_distinct(F.filter(F.concat(single, runs), lambda x: x.isNotNull()))
+    notices = F.when(F.col("_p").isNotNull(), F.array_join(F.sort_array(found), ",")).otherwise(F.lit(""))
+    out = split.select("doc_id", digest.alias("digest"), F.coalesce(notices, F.lit("")).alias("notices"))
     # The join proper: digests of whole texts with the known ones.
     catalogue = F.broadcast(spark.createDataFrame(held, "digest string, license string"))
-    return rows.join(catalogue, "digest", "left").select("doc_id", "digest", "license", "notices")
+    return out.join(catalogue, "digest", "left").select("doc_id", "digest", "license", "notices")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
