@@ -40,6 +40,25 @@ def test_grammar_compresses_and_keeps_wide_ids():
     assert shard.doc_ids == [None] and (shard.document(0) == ids).all() and len(shard.symbols) < 500
 
 
+def test_grammar_goes_on_until_no_rule_pays():
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 5000, 700).astype(np.uint32)
+    shard = repair.Shard(repair.pack(list(range(60)), [one] * 60))
+    assert len(shard.symbols) == 60 and (shard.document(59) == one).all()
+    # A pair that occurs 40 times in a large shard gets a rule as it does in a small one.
+    ids = rng.integers(0, 40_000, 700_000).astype(np.uint32)
+    at = np.arange(40) * 1000
+    ids[at], ids[at + 1] = 41_000, 41_001
+    shard = repair.Shard(repair.pack([0], [ids]))
+    assert [41_000, 41_001] in shard.rules.tolist() and (shard.all_ids() == ids).all()
+    s, pair = shard.symbols[:-1].astype(np.uint64), shard.symbols[1:].astype(np.uint64)
+    assert np.unique(s << np.uint64(32) | pair, return_counts=True)[1].max() <= repair.RULE // 2
+    # Where 16 bits run out, rules go on with wide symbols.
+    ids = np.tile(rng.permutation(65_000).astype(np.uint32), 12)
+    shard = repair.Shard(repair.pack([0], [ids]))
+    assert shard.wide == 4 and len(shard.symbols) <= 12 and (shard.all_ids() == ids).all()
+
+
 def test_output_edges(spark):
     df = docs(spark, EDGES)
     path = fresh_path(spark, "test")

@@ -2,7 +2,9 @@
 
 A shard's ids are compressed by rounds: each round counts all neighbouring pairs, makes a
 rule for every pair that is frequent enough, most frequent first, and replaces its
-occurrences. Rules never reach over the end of a document. The shard stores the rules,
+occurrences. Rounds go on, with lower and lower counts, until no pair is left whose rule would save more bytes than
+it takes; that count is the same for every size of shard. Where 16 bits run out, rounds go on with wide symbols, and the
+shorter form is kept. Rules never reach over the end of a document. The shard stores the rules,
 their expansion lengths, the compressed symbols and, for each document, where its symbols and
 its ids begin, so that one document (or a span of it) is decoded without the others.
 
@@ -23,20 +25,27 @@ MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sBIIIQQ")
 #: Buckets of the counting filter in front of the exact counts.
 _BINS = 21
-#: A round's rules occur at least so often for each million symbols; then the next round.
+#: A first round's rules occur at least so often for each million symbols; then half as often from round to round.
 ROUNDS = (2000, 500, 150, 60)
+#: Bytes of a rule: left, right and expansion length.
+RULE = 12
 #: Symbols stay below this as long as the ids do, so that they fit 16 bits.
 NARROW = 1 << 16
 
 
 def _pairs_to_replace(s: np.ndarray, last: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the most frequent pairs (descending) and, for each position, the rank of its pair or -1."""
+    """Keys of the most frequent pairs (descending) and, for each position, the rank of its pair or -1. In a run of one
+    symbol every other position counts, so occurrences of a pair never overlap."""
     key = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
     with np.errstate(over="ignore"):
         h = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
     ok = ~last[:-1]
-    h[~ok] = 0
-    n = np.bincount(h, minlength=1 << _BINS)
+    twin = np.flatnonzero(ok & (s[:-1] == s[1:]))
+    if twin.size:
+        begins = np.concatenate([[True], np.diff(twin) > 1])
+        place = np.arange(len(twin)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        ok[twin[place % 2 == 1]] = False
+    n = np.bincount(h[ok], minlength=1 << _BINS)
     cand = np.flatnonzero((n[h] >= least) & ok)
     rank = np.full(len(key), -1, np.int32)
     if not cand.size:
@@ -53,6 +62,42 @@ def _pairs_to_replace(s: np.ndarray, last: np.ndarray, least: int, most: int) ->
     return keys[order], rank
 
 
+def _rounds(s: np.ndarray, last: np.ndarray, first: int, rules: list[np.ndarray], room: int, lowest: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], bool]:
+    """Symbols, document ends and rules after all rounds down to the lowest count; and whether the room ran out first."""
+    made = sum(map(len, rules))
+    steps = [max(lowest, len(s) * x // 1_000_000) for x in ROUNDS]
+    least = lowest if rules else steps.pop(0)
+    while len(s) > 1:
+        if made >= room:
+            return s, last, rules, True
+        keys, rank = _pairs_to_replace(s, last, least, room - made)
+        take = np.empty(0, np.int64)
+        if len(keys):
+            # An occurrence is replaced if no overlapping one has a better rank.
+            big = np.int32(2**31 - 1)
+            r = np.where(rank < 0, big, rank)
+            left = np.concatenate([[big], r[:-1]])
+            right = np.concatenate([r[1:], [big]])
+            take = np.flatnonzero((r < big) & (r < left) & (r <= right))
+            # A pair that lost too many occurrences to better ones waits for the next round. The best pair loses none.
+            used = np.bincount(rank[take], minlength=len(keys)) >= least
+            take = take[used[rank[take]]]
+        if len(take):
+            number = np.cumsum(used) - 1
+            s[take] = first + made + number[rank[take]]
+            last[take] |= last[take + 1]
+            keep = np.ones(len(s), bool)
+            keep[take + 1] = False
+            s, last = s[keep], last[keep]
+            keys = keys[used]
+            rules = [*rules, np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)]
+            made += len(keys)
+        elif least == lowest:
+            break
+        least = steps.pop(0) if steps else max(lowest, least // 2)
+    return s, last, rules, False
+
+
 def compress(ids: np.ndarray, doc_starts: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """First nonterminal, rules (left, right), symbols, and each document's first symbol."""
     s = ids.astype(np.uint32)
@@ -61,33 +106,31 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray) -> tuple[int, np.ndarray,
     last[ends[ends > 0] - 1] = True
     first = int(s.max()) + 1 if len(s) else 0
     rules: list[np.ndarray] = []
-    made = 0
-    room = NARROW - first if first < NARROW else 1 << 20
-    for per_million in ROUNDS:
-        if len(s) < 2 or made >= room:
-            break
-        least = max(4, len(s) * per_million // 1_000_000)
-        keys, rank = _pairs_to_replace(s, last, least, room - made)
-        if not len(keys):
-            continue
-        # An occurrence is replaced if no overlapping one has a better rank; among equals the left one is.
-        big = np.int32(2**31 - 1)
-        r = np.where(rank < 0, big, rank)
-        left = np.concatenate([[big], r[:-1]])
-        right = np.concatenate([r[1:], [big]])
-        take = np.flatnonzero((r < big) & (r < left) & (r <= right))
-        s[take] = first + made + rank[take]
-        last[take] |= last[take + 1]
-        keep = np.ones(len(s), bool)
-        keep[take + 1] = False
-        s, last = s[keep], last[keep]
-        rules.append(np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        made += len(keys)
+    room, full = NARROW - first, True
+    if room > 0:
+        s, last, rules, full = _rounds(s, last, first, rules, room, RULE // 2 + 1)
+    if full:
+        # Symbols of four bytes: a rule pays sooner, but all symbols grow.
+        wide = _rounds(s.copy(), last.copy(), first, rules, 2**32 - 1 - first, RULE // 4 + 1)
+        if room <= 0 or _bytes(wide[0], wide[2], 4) < _bytes(s, rules, 2):
+            s, last, rules, _ = wide
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     sym_starts = np.concatenate([[0], np.flatnonzero(last) + 1])[: len(doc_starts)] if len(doc_starts) else np.empty(0, np.int64)
     return first, table, s, sym_starts
 
 
+def _bytes(s: np.ndarray, rules: list[np.ndarray], wide: int) -> int:
+    return wide * len(s) + RULE * sum(map(len, rules))
+
+
+def lengths(first: int, rules: np.ndarray) -> np.ndarray:
+    """Expansion length of every rule."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((1 if a < first else out[a - first]) + (1 if b < first else out[b - first]))
+    return np.array(out, np.int64)
+
+
 def expansions(first: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets, lengths and flat ids of all symbols that are rules."""
     length = np.ones(len(rules), np.int64)
@@ -107,7 +150,7 @@ def pack(doc_ids: list, docs: list[np.ndarray]) -> bytes:
     starts = np.cumsum(sizes) - sizes
     ids = np.concatenate(docs) if docs else np.empty(0, np.uint32)
     first, rules, symbols, sym_starts = compress(ids, starts)
-    _, length, _ = expansions(first, rules)
+    length = lengths(first, rules)
     wide = 4 if first + len(rules) > NARROW else 2
     head = HEAD.pack(MAGIC, wide, first, len(rules), len(docs), len(symbols), len(ids))
     return b"".join([
