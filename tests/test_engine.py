@@ -118,6 +118,15 @@ def test_stream_twins(spark, sf):
     assert streams.s_surveillance(spark, sf).agg(F.sum("n")).first()[0] == 1000
 
 
+def test_correlation_over_shuffled_files(spark, sf, tmp_path):
+    d = str(tmp_path)
+    spark.read.parquet(f"{sf}/events.parquet").repartition(20, "event_id").write.parquet(f"{d}/events.parquet")
+    want = sorted((r.crash_id, r.news_id) for r in correlate.causal_candidates(spark, d).collect())
+    assert len(want) == 120 and sorted((r.crash_id, r.news_id) for r in streams.s_correlate(spark, d).collect()) == want
+    rows = streams.s_warroom(spark, d).collect()
+    assert len(rows) == 93 and sum(r.n_candidates for r in rows) == 120
+
+
 def test_entry_point():
     import __spark_entry__ as e
 

@@ -15,7 +15,7 @@ from verisift.plans.base import Plan
 from verisift.plans.content import FEED, rss_items
 
 P = Plan()
-#: Lateness that the state waits for, and the horizon of the correlation.
+#: Lateness that the windows' state waits for, and the horizon of the correlation in minutes.
 LATE, HORIZON = "10 minutes", 30
 
 
@@ -58,11 +58,13 @@ def s_surveillance(spark, d):
 
 
 def correlated(spark: SparkSession, d: str) -> DataFrame:
+    """Without a watermark: the files of a table come in any order, so a row of a later batch may be of any time. The
+    state holds both sides until the run ends."""
     e = event_stream(spark, d)
     width = HORIZON * 60
-    crash = e.where("event_type = 'error'").select(F.col("event_id").alias("crash_id"), F.col("ts").alias("crash_ts")).withWatermark("crash_ts", LATE)
+    crash = e.where("event_type = 'error'").select(F.col("event_id").alias("crash_id"), F.col("ts").alias("crash_ts"))
     crash = crash.withColumn("b", F.explode(F.array(*[F.floor(F.unix_seconds("crash_ts") / width) - k for k in (0, 1)])))
-    art = e.where("event_type <> 'error'").select(F.col("event_id").alias("news_id"), F.col("ts").alias("published")).withWatermark("published", LATE)
+    art = e.where("event_type <> 'error'").select(F.col("event_id").alias("news_id"), F.col("ts").alias("published"))
     art = art.withColumn("nb", F.floor(F.unix_seconds("published") / width))
     near = (F.col("b") == F.col("nb")) & (F.col("published") < F.col("crash_ts")) & (F.col("published") >= F.col("crash_ts") - F.expr(f"INTERVAL {HORIZON} MINUTES"))
     return crash.join(art, near).select("crash_id", "news_id")
