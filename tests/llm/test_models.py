@@ -101,6 +101,13 @@ def test_html_by_hand(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before", ["<head><title>T</title><meta charset=x>", "<title>T</title>", "<head><script>'</head>'</script><title>T</title></head>", "<object data=x>", "<svg><path d=x>", "<select><option>Pick", "<svg><svg></svg>", "<audio>", "<head><svg></head>"])
+def test_html_unclosed(before):
+    told = [_ for _ in html_text.Page(f"<html>{before}<body><article><p>One two.</p><svg>x</svg><p>Three.</p></article>").blocks]
+    assert [t for _, t in told] == ["One two.", "Three."]
+    assert html_text.default_model().text(f"<html>{before}<body><article><h1>A title</h1><p>{LONG[:400]}.</p><p>{LONG[:300]}.</p></article></body></html>").endswith(LONG[:300].strip() + ("." if LONG[299] != " " else " ."))
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])

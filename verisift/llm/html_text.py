@@ -27,7 +27,10 @@ from verisift.llm.common import table
 from verisift.llm.html_pages import labelled_pages
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("script style noscript template svg math iframe object head select textarea canvas audio video".split())
+#: Elements without text of the page. The raw ones hold no tags and run to the end of the page if nothing closes them; another one
+#: that nothing closes ends at the next tag of a block.
+_RAW = frozenset("script style textarea title".split())
+_DROP = _RAW | frozenset("noscript template svg math iframe object select canvas audio video".split())
 _BLOCK = frozenset(
     "html body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup label legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul".split()
@@ -45,6 +48,18 @@ _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _ends(name: str, low: str) -> dict[int, int]:
+    """Where each start tag of an element that is closed has its end tag's end; start and end tags pair like brackets."""
+    out, open_ = {}, []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*+(?:>|\Z)", low):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 class Page:
     """Nodes in page order (a parent stands before its children) and the blocks of text."""
 
@@ -81,12 +96,15 @@ class Page:
                     self.pieces[node] += 1
 
         at, n, low = 0, len(html), None
+        ends_of: dict[str, dict[int, int]] = {}
+        skip = False  # within a dropped element that nothing closes
         while at < n:
             m = _TAG.search(html, at)
             if not m:
-                text.append(html[at:])
+                if not skip:
+                    text.append(html[at:])
                 break
-            if m.start() > at:
+            if m.start() > at and not skip:
                 raw = html[at : m.start()]
                 text.append(raw)
                 if in_link:
@@ -96,13 +114,24 @@ class Page:
             if not name:
                 continue
             closing, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
+            if name == "head":
+                continue  # its elements are dropped by themselves; text or any other element ends it, as in browsers
+            skip = skip and name not in _BLOCK
             if name == "br" or name == "hr":
                 text.append(" ")
             if name in _DROP:
                 if not closing and not attrs.endswith("/"):
                     low = html.lower() if low is None else low
-                    end = low.find("</" + name, at)
-                    at = n if end < 0 else (low.find(">", end) + 1 or n)
+                    if name in _RAW:
+                        end = low.find("</" + name, at)
+                        at = n if end < 0 else (low.find(">", end) + 1 or n)
+                    else:
+                        if name not in ends_of:
+                            ends_of[name] = _ends(name, low)
+                        end = ends_of[name].get(m.start())
+                        at, skip = (at, True) if end is None else (end, skip)
+                continue
+            if skip and not closing:
                 continue
             if closing:
                 k = len(stack) - 1
