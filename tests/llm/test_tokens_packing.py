@@ -110,6 +110,14 @@ def test_reduction_keeps_the_optimum(seed):
     assert all(sum(p) <= size for p, _ in plan)
 
 
+def test_three_short_pieces_beat_one():
+    items = [87, 85, 10, 5, 4, 4, 4]
+    h = np.bincount(items, minlength=101)
+    fixed = packing.reduce_dominated(h)
+    rest = sorted((s for s in range(101) for _ in range(h[s])), reverse=True)
+    assert sum(n for _, n in fixed) + optimum(rest, 100) == optimum(items, 100) == 2
+
+
 def test_packing_edges(spark):
     df = docs(spark, EDGES)
     got = packing.pack_documents(df, size=64).toPandas()

@@ -34,8 +34,8 @@ def reduce_dominated(h: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
     For the longest piece j and the room c beside it, a set holding j dominates all others if
     it is {j} and nothing fits; {j, k} where k fills c exactly; {j, k} where k is the longest that
-    fits and no two pieces fit together; {j, k} where k is at least as long as any two that fit, since
-    they could then stand in its place. Pieces that no rule fixes are left for best fit.
+    fits and no two pieces fit together; {j, k} where k is at least as long as any two that fit and no three fit, or
+    all others that fit are no longer than k together, since they could then stand in its place. Pieces that no rule fixes are left for best fit.
     """
     size = len(h) - 1
     fixed = []
@@ -49,7 +49,7 @@ def reduce_dominated(h: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
             else:
                 k = int(fits[-1])
                 two = _best_two(h, fits, c)
-                if k == c or two is None or two <= k:
+                if k == c or two is None or (two <= k and _no_more(h, fits, c)):
                     n = (h[j] + 1) // 2 if k == j else min(h[j] + 1, h[k])
                     found = (j, k)
                     if k != j and h[k] <= 2 and k < c and two is not None:
@@ -65,6 +65,13 @@ def reduce_dominated(h: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return fixed
 
 
+def _no_more(h: np.ndarray, fits: np.ndarray, c: int) -> bool:
+    """Whether no three pieces fit into c, or all that fit but the longest are no longer than it together."""
+    least = np.repeat(fits[:3], np.minimum(h[fits[:3]], 3))[:3]
+    k = int(fits[-1])
+    return len(least) < 3 or int(least.sum()) > c or int((fits * h[fits]).sum()) - k <= k
+
+
 def _best_two(h: np.ndarray, fits: np.ndarray, c: int) -> int | None:
     """The greatest sum of two pieces that is at most c; None if no two fit."""
     lo, hi, best = 0, len(fits) - 1, None
