@@ -61,6 +61,23 @@ def test_toxicity_edges(spark):
     assert toxicity.reject_toxic(df, labels.limit(0)).count() == len(EDGES)
 
 
+def test_every_passage_and_repeats(spark):
+    bad = "vileword nastyword foulword crudeword meanword awfulword".split()
+    r = random.Random(2)
+    plain = lambda n: [f"p{'abcdefghij'[r.randrange(10)]}{'abcdefghij'[r.randrange(10)]}" for _ in range(n)]
+    rows = [(i, " ".join([*plain(r.randint(20, 900)), *(bad if i % 3 == 0 else [r.choice(bad)] if i % 3 == 1 else []), *plain(r.randint(20, 900))]), "en", "a") for i in range(600)]
+    # Each word alone, then all in one place, twice.
+    singles = [w for b in bad for w in (*plain(200), b)]
+    rows.append((9000, " ".join([*singles, *plain(200), *bad, *plain(200), *bad, *plain(50)]), "en", "a"))
+    rows.append((9001, " ".join([*plain(40), bad[0], *plain(40)]), "en", "a"))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity.scored(docs(spark, rows), labels).where("doc_id >= 9000").collect()}
+    text = rows[-2][1]
+    assert [text[p.start : p.end] for p in got[9000].passages] == [" ".join(bad)] * 2
+    assert all(p.p_value <= toxicity.LEVEL for p in got[9000].passages) and got[9000].n_segments == 2
+    assert got[9001].passages == [] and got[9001].n_segments == 0 and got[9001].best > 0
+
+
 def test_marginals():
     r = random.Random(4)
     for _ in range(60):

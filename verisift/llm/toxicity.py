@@ -5,9 +5,10 @@ two classes under a Dirichlet prior centred on all texts. Tokens are runs of
 letters in lower case; beside the whole word, its beginnings are counted, and each beginning is the prior
 of the next longer one, so rare words lean on their stems. Every token drifts, so that ordinary text has a
 negative expectation. One linear scan then finds all maximal segments of a text, each a passage whose score no
-extension or part beats. The greatest one is judged by an extreme-value law: the location of the
-maximum grows with the logarithm of the text's length. A logistic curve over that
-standardised excess, the sum of all segments and the length, fitted on labelled rows, gives the score.
+extension or part beats. Each is judged by an extreme-value law: the location of the
+maximum grows with the logarithm of the text's length. All segments whose p-value is at most LEVEL are passages. A logistic curve over
+the standardised excess of the greatest segment, the sum of the passages and the length, fitted on labelled rows, gives the score.
+A word counts once in a passage: its repeats only drift until the running sum of scores has fallen back to zero.
 
 The model is of fixed size: features are hashed into 2**BITS slots, so it is broadcast whatever the vocabulary.
 Counts cover all labelled training rows; only the curve is fitted on a bounded sample (CURVE_ROWS).
@@ -42,7 +43,10 @@ LEAST = 1.5
 DRIFT = 0.1
 #: Labelled rows that the curve is fitted on, about, chosen by hash of the doc_id.
 CURVE_ROWS = 40_000
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_segments long, best double, best_start long, best_end long, total double"
+#: Greatest p-value of a passage: the chance that a clean text of that length has a segment as great.
+LEVEL = 0.01
+PASSAGE = "struct<start: bigint, end: bigint, score: double, p_value: double>"
+SCORED = f"doc_id long, held_out boolean, n_tokens long, n_segments long, best double, best_start long, best_end long, total double, passages array<{PASSAGE}>"
 
 
 @functools.cache
@@ -156,16 +160,26 @@ class Model:
         return np.log(p / (1 - p)) - np.log(self.share / (1 - self.share))
 
     def words(self, slots: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Score of each word; a word that stood before in its text only drifts."""
+        """Score of each word; a word that stood before in its passage only drifts. A passage ends with its text, or where
+        the running sum of scores falls back to zero."""
         if not 0 < self.share < 1 or not len(slots):
             return np.full(len(slots), -DRIFT)
         out = self.log_odds(slots)
         out[out < LEAST] = 0.0
         toxic = np.flatnonzero(out > 0)
-        _, first = np.unique((text[toxic] << BITS) | slots[toxic, 0], return_index=True)
-        again = np.ones(len(toxic), bool)
-        again[first] = False
-        out[toxic[again]] = 0.0
+        again, seen, sum_, before, last_text = [], set(), 0.0, -1, -1
+        for i, w, t, word in zip(toxic.tolist(), out[toxic].tolist(), text[toxic].tolist(), slots[toxic, 0].tolist(), strict=True):
+            sum_ -= DRIFT * (i - before - 1)
+            if t != last_text or sum_ <= 0:
+                seen, sum_ = set(), 0.0
+            if word in seen:
+                again.append(i)
+                sum_ -= DRIFT
+            else:
+                seen.add(word)
+                sum_ += w - DRIFT
+            before, last_text = i, t
+        out[again] = 0.0
         return out - DRIFT
 
     def excess(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -173,6 +187,10 @@ class Model:
         a, b = self.location
         return (best - a - b * np.log(n + 1.0)) / self.scale
 
+    def p_value(self, scores: np.ndarray, n: int) -> np.ndarray:
+        """Gumbel's chance of a maximum as great in a clean text of n words; its mean is the location plus Euler's constant times the scale."""
+        return -np.expm1(-np.exp(-np.clip(self.excess(scores, n) + np.euler_gamma, -20, 700)))
+
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Segments of every text, one row for each row of docs (doc_id, text)."""
@@ -189,13 +207,16 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 found = segments(w[a:b])
                 top = max(found, default=(0.0, 0, 0))
-                span = (int(begin[a + top[1]]), int(end[a + top[2] - 1])) if found else (0, 0)
-                rows.append((b - a, len(found), top[0], *span, sum(x[0] for x in found)))
+                place = lambda x: (int(begin[a + x[1]]), int(end[a + x[2] - 1]))  # noqa: B023, E731
+                p = m.p_value(np.array([x[0] for x in found]), b - a).tolist()
+                passages = [dict(zip(("start", "end", "score", "p_value"), (*place(x), x[0], q), strict=True)) for x, q in zip(found, p, strict=True) if q <= LEVEL]
+                rows.append((b - a, len(passages), top[0], *(place(top) if found else (0, 0)), sum(x["score"] for x in passages), passages))
             cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+            spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), spans)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                names=["doc_id", "held_out", "n_tokens", "n_segments", "best", "best_start", "best_end", "total"],
+                names=["doc_id", "held_out", "n_tokens", "n_segments", "best", "best_start", "best_end", "total", "passages"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
@@ -217,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
     part = int(1_000_000 * min(1.0, CURVE_ROWS / texts.sum()))  # by hash, so that no task sorts or gathers texts
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < part)
     y = staged(some.select("doc_id", "text", "toxic"), "toxicity-curve")
-    seen = scan(y, model).join(y.select("doc_id", "toxic"), "doc_id").select("n_tokens", "best", "total", "toxic").toPandas()
+    seen = _scanned(y, model)
     if not 0 < (seen["toxic"] > 0).mean() < 1:
         return model, share
     n, best, is_toxic = seen["n_tokens"].to_numpy(float), seen["best"].to_numpy(float), seen["toxic"].to_numpy() > 0
@@ -226,11 +247,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
     model.location = (float(a), float(b))
     # Gumbel: the standard deviation is scale * pi / sqrt(6).
     model.scale = float(max(np.std(best[clean] - a - b * np.log(n[clean] + 1)) * np.sqrt(6) / np.pi, 0.1))
+    # The sum of the passages needs the law: the sample is scanned once more with it.
+    seen = _scanned(y, model)
+    n, best, is_toxic = seen["n_tokens"].to_numpy(float), seen["best"].to_numpy(float), seen["toxic"].to_numpy() > 0
     x = np.stack([np.clip(model.excess(best, n), -20, 20), np.log1p(seen["total"].to_numpy(float)), np.log1p(n)], 1)
     model.curve = _logistic(x, is_toxic)
     return model, share
 
 
+def _scanned(y: DataFrame, model: Model):
+    return scan(y, model).join(y.select("doc_id", "toxic"), "doc_id").select("n_tokens", "best", "total", "toxic").toPandas()
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
     """Intercept and slopes by Newton's method, with Platt's smoothed targets."""
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
@@ -247,7 +275,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and the best passage (code points) of every row of docs."""
+    """doc_id, held_out, score, predicted, the best segment and all passages (code points) of every row of docs."""
     model, share = train(docs, labels)
     if not 0 < share < 1:
         out = scan(docs, model).withColumn("score", F.lit(share))
@@ -257,7 +285,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         excess = (F.col("best") - lo - F.lit(by) * F.log1p(F.col("n_tokens").cast("double"))) / model.scale
         z = F.lit(a) + F.lit(b) * F.greatest(F.lit(-20.0), F.least(F.lit(20.0), excess)) + F.lit(c) * F.log1p("total") + F.lit(e) * F.log1p(F.col("n_tokens").cast("double"))
         out = scan(docs, model).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z)))))
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "n_segments", "best", "best_start", "best_end")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "n_segments", "best", "best_start", "best_end", "passages")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
