@@ -10,7 +10,6 @@ import pytest
 import corpus_pipeline
 from tests.llm.helpers import EDGES, LONG, docs, grouped
 from verisift.llm import embedding, html_pages, html_text, jaccard, toxicity
-from verisift.llm import components as connected
 from verisift.llm.components import components
 
 
@@ -155,6 +154,42 @@ def test_jaccard_brute(spark, seed):
     assert sorted((x.doc_id, x.n, x.component_id) for x in got.collect()) == brute_groups(rows)
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    one, two = thue_morse(4096)
+    rows = [(1, f"{one} b c d e", "en", "s"), (2, f"{two} b c d e", "en", "s")]
+    assert {(x.doc_id, x.component_id) for x in jaccard.classes(docs(spark, rows)).collect()} == {(1, 1), (2, 2)}
+    slots = toxicity.features([one, two])[0]
+    assert slots[0, 0] != slots[1, 0]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_large_families(spark, seed):
+    """Families round one text, some of them near each other, with members beyond the pivot's reach, shortened members and members that share edits."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(4000)}" for _ in range(120)]
+    other = [*base[:100], *[f"u{r.randrange(4000)}" for _ in range(20)]]
+    rows = []
+    for k in range(260):
+        w = (base if k % 3 else other)[:]
+        if k % 5 == 0:
+            w = w[: r.randint(80, 120)]
+        if k % 7 == 0:
+            w[10:13] = ["same", "edit", f"e{k % 2}"]
+            w[40] = w[60] = w[80] = "edit"
+        for _ in range(r.choice([0, 1, 2, 3, 4, 6, 9])):
+            w[r.randrange(len(w))] = f"v{r.randrange(9999)}"
+        rows.append((k, " ".join(w)))
+    got = jaccard.classes(docs(spark, [(i, t, "en", "s") for i, t in rows]).repartition(6))
+    assert sorted((x.doc_id, x.n, x.component_id) for x in got.collect()) == brute_groups(rows)
+
+
 def test_jaccard_edges(spark):
     df = docs(spark, [*EDGES, (9, "X", "en", "z"), (10, EDGES[0][1].upper(), "en", "z")])
     got = {(x.doc_id, x.n, x.component_id) for x in jaccard.classes(df).collect()}
@@ -165,9 +200,7 @@ def test_jaccard_edges(spark):
     assert jaccard.classes(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("together", [0, 1_000_000])
-def test_components(spark, monkeypatch, together):
-    monkeypatch.setattr(connected, "TOGETHER", together)
+def test_components(spark):
     r = random.Random(9)
     links = [(i, i + 1) for i in range(40)] + [(100 + r.randrange(30), 100 + r.randrange(30)) for _ in range(25)]
     got = {x.v: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}

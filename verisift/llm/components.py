@@ -1,76 +1,38 @@
 """Connected components of a table of links.
 
-Up to TOGETHER distinct links (counted first), one executor task joins them; beyond that, large and small stars alternate:
-every round is two joins over staged tables, so skewed vertices are split by the engine and
-a lost executor costs a re-read; nothing is gathered on the driver but a count. The number of
-rounds grows with the logarithm of a component's size.
+Large and small stars alternate until every vertex points to the least one of its component. Each step is a
+join over staged tables, so skewed vertices are split by the engine and a lost executor costs a re-read; nothing
+is gathered on the driver or in one task. The number of rounds grows with the logarithm of a component's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verisift.llm.common import drop_staged, staged
 
 
-#: Links that one task may hold: two arrays of so many numbers.
-TOGETHER = 1_000_000
-
-
-def _roots(batches: Iterator) -> Iterator:
-    """(v, root) of all links in the batches, by hooking roots onto lesser ones and halving the paths."""
-    import pyarrow as pa
-
-    u, v = [], []
-    for b in batches:
-        u.append(b.column("u").to_numpy())
-        v.append(b.column("v").to_numpy())
-    if not u:
-        return
-    ids, at = np.unique(np.concatenate([*u, *v]), return_inverse=True)
-    a, b = np.split(at, 2)
-    root = np.arange(len(ids))
-    while True:
-        x, y = root[a], root[b]
-        if (x == y).all():
-            break
-        low = np.minimum(x, y)
-        np.minimum.at(root, x, low)
-        np.minimum.at(root, y, low)
-        while (root != root[root]).any():
-            root = root[root]
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["v", "root"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) -> staged (v, root): every vertex of a link with the least
     vertex of its component. An empty table gives an empty result; loops and repeated
     links change nothing."""
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    if edges.count() <= TOGETHER:
-        out = staged(edges.coalesce(1).mapInArrow(_roots, "v long, root long"), "cc-roots")
-        drop_staged(edges)
-        return out
-    before = None
     while True:
+        # A vertex with two targets, or one that is target and source, is not settled yet.
+        places = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).union(edges.select("v").distinct().select("v", F.lit(1).cast("long")))
+        if places.groupBy("u").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
+            break
         # Large star: neighbours above u move to u's least neighbour.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
         # Small star: neighbours below u, and u, move to the least of them.
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
-        small = staged(
-            large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc"
-        )
-        mark = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_staged(edges, least, large, low)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = staged(small, "cc")
+        drop_staged(edges, large)
         edges = small
-        if mark == before:
-            break
-        before = mark
-    # All edges now point to roots; a root stands for itself.
-    return staged(edges.select(F.col("u").alias("v"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root"))).distinct(), "cc-roots")
+    out = staged(edges.select(F.col("u").alias("v"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct()), "cc-roots")
+    drop_staged(edges)
+    return out

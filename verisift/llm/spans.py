@@ -1,25 +1,14 @@
-"""Vectorised hashing of spans of code points or bytes (numpy)."""
+"""Vectorised hashing of spans of code points or bytes (numpy).
+
+Each value is hashed with its place in its span, and a span's hash is the mixed sum of these, so there is no
+algebra between neighbours that structured texts could meet (a polynomial modulo 2**64 gives one hash to
+the two Thue-Morse words of 4,096 letters). Sums run over the whole text, so beginnings of a span cost nothing more.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-_B = np.uint64(0x9E3779B97F4A7C15)
-_BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_pow = _inv = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n; kept by each worker, and grown by doubling."""
-    global _pow, _inv
-    while len(_pow) < n:
-        m = len(_pow)
-        with np.errstate(over="ignore"):
-            _pow = np.concatenate([_pow, _pow * (_pow[-1] * _B)])
-            _inv = np.concatenate([_inv, _inv * (_inv[-1] * _BI)])
-        assert len(_pow) == 2 * m
-    return _pow, _inv
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
@@ -29,21 +18,25 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums s with s[j] - s[i] the polynomial of values[i:j], still multiplied by B**i."""
-    power, _ = _powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
+def prefix_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Running sums of the values' hashes; a value's place counts from the last of the starts (ascending) at or before it."""
+    n = len(values)
+    out = np.zeros(n + 1, np.uint64)
+    base = np.zeros(n, np.int64)
+    base[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(base)
     with np.errstate(over="ignore"):
-        v = values.astype(np.uint64)
-        v += np.uint64(1)
-        v *= power[: len(values)]
+        v = (place.view(np.uint64) << np.uint64(21)) + values
+        v += np.uint64(0x9E3779B97F4A7C15)
+        v *= np.uint64(0xBF58476D1CE4E5B9)
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0x94D049BB133111EB)
+        v ^= v >> np.uint64(32)
         np.cumsum(v, out=out[1:])
     return out
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans, equal for equal content wherever it stands."""
-    _, inverse = _powers(len(sums))
+    """64-bit hashes of spans that begin at the starts of the sums, equal for equal content wherever it stands."""
     with np.errstate(over="ignore"):
-        h = (sums[ends] - sums[starts]) * inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -122,7 +122,7 @@ class TokenIds:
             return
         starts = self._starts(cp, kind)
         stops = np.append(starts[1:], len(cp))
-        hashes = span_hashes(prefix_sums(cp), starts, stops)
+        hashes = span_hashes(prefix_sums(cp, starts), starts, stops)
         is_end = kind[starts] == D
         hashes[is_end] = 0
         entries = self._entries(joined, starts, stops, hashes)

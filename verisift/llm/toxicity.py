@@ -72,7 +72,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     ends = np.cumsum([len(t) + 1 for t in texts])
     edge = np.diff(np.concatenate([[False], letter[cp], [False]]).astype(np.int8))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = prefix_sums(cp)
+    sums = prefix_sums(cp, a)
     h = np.empty((len(a), 1 + len(STEMS)), np.uint64)
     h[:, 0] = span_hashes(sums, a, b)
     for k, n in enumerate(STEMS, 1):
