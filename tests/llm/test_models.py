@@ -240,6 +240,34 @@ def test_blocks_of_a_large_shard(spark, monkeypatch):
     assert got.n_links.sum() >= 0.97 * link.sum() and (got.n_links.to_numpy()[got.vec_id.argsort()] <= link.sum(1)).all()
 
 
+def test_large_shards_are_split(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "BLOCK", 60)
+    monkeypatch.setattr(embedding, "SHARD", 20)
+    monkeypatch.setattr(embedding, "MOST_CENTRES", 8)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([b + 0.05 * rng.normal(size=(k, 24)) for b, k in zip(rng.normal(size=(180, 24)), [1, 2, 9] * 60, strict=True)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding.near_duplicates(df).toPandas().sort_values("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    assert got.n_links.sum() >= 0.95 * link.sum() and (got.n_links.to_numpy() <= link.sum(1)).all()
+
+
+def test_embedding_ids_repeat_and_are_null(spark):
+    v = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(7, v), (7, v), (None, [2.0, 4.0, 6.0]), (None, None), (9, [3.0, -1.0, 0.5])], "vec_id long, embedding array<double>")
+    got = sorted((x.vec_id if x.vec_id is not None else -1, x.n_links, x.component_id, x.kept) for x in embedding.near_duplicates(df).collect())
+    assert got == [(-1, 0, None, False), (-1, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (9, 0, 9, True)]
+
+
+def test_audit_below_the_target_fails(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "TARGET", 1.1)
+    monkeypatch.setattr(embedding, "MOST_OVERLAP", 4)
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.01])], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError):
+        embedding.near_duplicates(df)
+
+
 def test_pipeline(spark, sf):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "quality_rules", "ngram_jaccard", "source_mix", "packing"]

@@ -1,16 +1,16 @@
 """Near-duplicate embeddings by range search on a robust-pruned flat graph.
 
 1. Vectors with equal bytes are one class. Medoids come from a bounded sample (SAMPLE vectors); every class
-   goes to its OVERLAP nearest medoids' shards. A shard beyond BLOCK classes is split into blocks, and each pair of
-   blocks is a task of its own, so a task's size is bounded however many vectors share a place.
+   goes to its OVERLAP nearest medoids' shards. A shard beyond BLOCK classes gets medoids of its own, again from a bounded sample, and is
+   split by them, as often as that helps; what no medoid can split is cut into blocks, and each pair of blocks is a task.
 2. Each task links every class to its nearest ones and prunes the candidates robustly (one that is
-   much closer to a kept neighbour than to the node goes). The adjacency lists of a task's blocks and the
-   reverse edges are united.
-3. Every class is a query: greedy search walks from the task's medoid to it, then the range expands: neighbours of
-   everything within reach are tried until nothing new is found. Hits are verified by cosine in double precision.
-4. A pair that shares several shards counts in the first of them alone, so tasks return counts and a
-   spanning forest of their links, never the pairs of a group.
-5. Recall is audited: AUDIT queries are compared with all vectors. Below TARGET, the build is repeated with more overlap.
+   much closer to a kept neighbour than to the node goes); a few random neighbours keep tight groups reachable.
+3. The lists of all shards and the reverse edges are united by class.
+4. Every class is a query once, in its nearest shard, on the united lists: greedy search walks from the shard's medoid and the query's own node,
+   then the range expands: neighbours of everything within reach are tried until nothing new is found. Hits are verified by cosine
+   in double precision. Links that a list holds to classes outside of that shard are added from the lists.
+5. Tasks return counts and a spanning forest of their links, never the pairs of a group.
+6. Recall is audited: AUDIT queries are compared with all vectors. Below TARGET, the build is repeated with more overlap, and in the end fails.
 
 Edge cases: null, zero and empty vectors and vectors with null or non-finite components link with nothing (n_links 0,
 component their own id); vectors of different lengths do not link; rows that share a vec_id are rows of their
@@ -26,17 +26,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm.common import drop_staged, parts, staged, table
+from verisift.llm.common import drop_staged, small_side, staged, table
 from verisift.llm.components import components
 
 LEAST = 0.95
+ROUTES = "key long, blob binary, copies long, shard long, home boolean"
 SAMPLE = 20_000
-SHARD, BLOCK = 1200, 2400
-OVERLAP = 2
-DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
-FAR = 48
-BEAM, SLACK = 16, 0.03
+#: Classes of a shard on average, at most (beyond, it is split), and rows of a task that splits one.
+SHARD, BLOCK, ROUTED = 300, 2400, 20_000
+OVERLAP, MOST_OVERLAP = 4, 12
+#: Nearest ones that stay whatever the pruning says, kept candidates, candidates, and random neighbours of a node.
+NEAREST, DEGREE, CANDIDATES, ALPHA, FAR = 4, 10, 24, 1.2, 6
+BEAM, SLACK = 4, 0.03
 AUDIT, TARGET = 128, 0.98
+MOST_CENTRES = 4096
 #: Medoids have a cosine below this.
 APART = 0.85
 
@@ -95,21 +98,79 @@ def medoids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return x[kept]
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, overlap: int) -> np.ndarray:
+    """The overlap nearest centres of each row, nearest first."""
+    d = min(x.shape[1], centres.shape[1])
+    s = x[:, :d] @ centres[:, :d].T
+    k = min(overlap, s.shape[1])
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+
+
 def route(one: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
-    """(key, blob, shards): the overlap nearest shards of each class."""
+    """(key, blob, copies, shard, home): a row for each of the overlap nearest shards; home: the nearest one."""
 
     def near(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             x, _ = _matrix(batch.column("blob").to_pylist())
-            d = min(x.shape[1], centres.shape[1])
-            s = x[:, :d] @ centres[:, :d].T
-            k = min(overlap, s.shape[1])
-            top = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("blob"), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["key", "blob", "shards"])
+            top = _nearest(x, centres, overlap)
+            at = np.repeat(np.arange(len(x)), top.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(at)) for c in ("key", "blob", "copies")), pa.array(top.ravel().astype(np.int64)), pa.array(np.tile(np.arange(top.shape[1]) == 0, len(x)))],
+                names=["key", "blob", "copies", "shard", "home"],
+            )
 
-    return one.mapInArrow(near, "key long, blob binary, shards array<int>")
+    return one.select("key", "blob", "copies").mapInArrow(near, ROUTES)
+
+
+def split_large(rows: DataFrame, overlap: int) -> DataFrame:
+    """rows, with each shard of more than BLOCK classes split by medoids of its own as often as that helps. A class goes to the two nearest
+    parts, and is at home in the nearest part of the shard where it was at home."""
+    import pandas as pd
+
+    done = rows.limit(0)
+    for level in range(8):
+        sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("m"))
+        large = staged(sizes.where(F.col("m") > BLOCK), "graph-large")
+        if large.isEmpty():
+            break
+        some = rows.join(small_side(large), "shard").where(F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1_000_000)) * F.col("m") < 1_000_000 * SAMPLE // 4)
+
+        def centres(pdf):
+            x, _ = _matrix(pdf["blob"].tolist())
+            m = int(pdf["m"].iloc[0])
+            c = medoids(x, min(len(x), MOST_CENTRES, max(2, -(-m * overlap // SHARD))))
+            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "m": [m], "centres": [c.astype("<f8").tobytes()], "k": [len(c)]})
+
+        found = staged(some.select("shard", "m", "blob").groupBy("shard").applyInPandas(centres, "shard long, m long, centres binary, k int"), "graph-centres")
+        able = found.where("k > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / ROUTED).cast("int") - 1)))
+        salts = found.where("k > 1").select("shard", "m").select("shard", F.ceil(F.col("m") / ROUTED).cast("int").alias("salts"))
+        moved = rows.join(small_side(staged(salts, "graph-salts")), "shard").withColumn("salt", F.pmod(F.xxhash64("key", F.lit(level + 100)), F.col("salts")).cast("int")).drop("salts")
+
+        def part(left, right):
+            if left.empty or right.empty:
+                return pd.DataFrame(columns=["key", "blob", "copies", "shard", "home", "old"])
+            x, _ = _matrix(left["blob"].tolist())
+            c = np.frombuffer(right["centres"].iloc[0], "<f8").reshape(int(right["k"].iloc[0]), -1)
+            top = _nearest(x, c, 2)
+            out = left.loc[left.index.repeat(top.shape[1])].reset_index(drop=True)
+            first = np.tile(np.arange(top.shape[1]) == 0, len(x))
+            # Ids of parts are spread over the longs, so that they meet no other shard's.
+            new = np.array([hash((int(s), int(t))) for s, t in zip(out["shard"], top.ravel(), strict=True)], np.int64)
+            return pd.DataFrame({"key": out["key"], "blob": out["blob"], "copies": out["copies"], "shard": new, "home": out["home"].to_numpy() & first, "old": out["shard"]})
+
+        parts_ = staged(moved.groupBy("shard", "salt").cogroup(able.groupBy("shard", "salt")).applyInPandas(part, f"{ROUTES}, old long"), "graph-parts")
+        # A split helps if no part keeps most of its shard.
+        most = parts_.groupBy("old", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("old").agg(F.max("n").alias("n"))
+        split = most.join(large.withColumnRenamed("shard", "old"), "old").where("10 * n <= 7 * m").select("old")
+        split = small_side(staged(split, "graph-split"))
+        done = staged(done.union(rows.join(split.withColumnRenamed("old", "shard"), "shard", "left_anti").select(rows.columns)), "graph-routes")
+        rows = parts_.join(split, "old", "left_semi").select(done.columns)
+        if rows.isEmpty():
+            break
+    return done.union(rows)
 
 
 def prune(x: np.ndarray, cand: np.ndarray, sim: np.ndarray) -> np.ndarray:
@@ -133,8 +194,8 @@ def prune(x: np.ndarray, cand: np.ndarray, sim: np.ndarray) -> np.ndarray:
     return out
 
 
-def graph(x: np.ndarray, same: np.ndarray | None, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """United adjacency lists as offsets and targets."""
+def graph(x: np.ndarray, same: np.ndarray | None, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (from, to, cosine) of each node to its nearest ones, to those that pruning keeps, and to random ones."""
     m = len(x)
     k = min(CANDIDATES, m - 1)
     cand, sims = np.empty((m, k), np.int64), np.empty((m, k))
@@ -147,19 +208,13 @@ def graph(x: np.ndarray, same: np.ndarray | None, block: int = 1024) -> tuple[np
         v = np.take_along_axis(s, top, 1)
         by = np.argsort(-v, axis=1, kind="stable")
         cand[a : a + block], sims[a : a + block] = np.take_along_axis(top, by, 1), np.take_along_axis(v, by, 1)
-    kept = prune(x, cand, sims)
-    # Near candidates alone leave tight groups apart: some far ones, pruned alike, keep the graph navigable.
+    near = np.where(np.isfinite(sims), cand, -1)[:, :NEAREST]
     far = np.random.default_rng(7).integers(0, m, (m, FAR))
-    s = np.concatenate([np.einsum("ijk,ik->ij", x[far[a : a + 256]], x[a : a + 256]) for a in range(0, m, 256)])
-    s[far == np.arange(m)[:, None]] = -np.inf
-    by = np.argsort(-s, axis=1, kind="stable")
-    kept = np.concatenate([kept, prune(x, np.take_along_axis(far, by, 1), np.take_along_axis(s, by, 1))[:, : DEGREE // 2]], 1)
-    u = np.repeat(np.arange(m), kept.shape[1])
-    v = kept.ravel()
-    u, v = u[v >= 0], v[v >= 0]
-    # Nearest neighbours stay linked both ways whatever the pruning says; reverse edges are united with the lists.
-    edges = np.unique(np.concatenate([u * m + v, v * m + u]))
-    return np.searchsorted(edges // m, np.arange(m + 1)), edges % m
+    to = np.concatenate([near, prune(x, cand, sims), far], 1)
+    u, v = np.repeat(np.arange(m), to.shape[1]), to.ravel()
+    edge = np.unique((u * m + v)[(v >= 0) & (u != v)])
+    u, v = edge // m, edge % m
+    return u, v, np.einsum("ij,ij->i", x[u], x[v])
 
 
 def _expand(off: np.ndarray, to: np.ndarray, q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +236,16 @@ def range_search(x: np.ndarray, off: np.ndarray, to: np.ndarray, start: int, que
         beam = np.full((n, BEAM), start)
         score = np.full((n, BEAM), -np.inf)
         score[:, 0] = x[qs] @ x[start]
-        done = np.ones((n, BEAM), bool)
-        done[:, 0] = False
+        # A query is a node itself, so the walk goes on from there too.
+        beam[:, 1], score[:, 1] = qs, np.where(qs == start, -np.inf, 1.0)
+        done = ~np.isfinite(score)
         seen[:, start] = True
+        seen[rows, qs] = True
         found_q, found_v, found_s = [rows], [np.full(n, start)], [score[:, 0].copy()]
+        own = qs != start
+        found_q.append(rows[own])
+        found_v.append(qs[own])
+        found_s.append(np.ones(int(own.sum())))
         active = rows
         while len(active):
             open_ = np.where(done[active], -np.inf, score[active])
@@ -240,65 +301,86 @@ def range_search(x: np.ndarray, off: np.ndarray, to: np.ndarray, start: int, que
         yield qs[q], v
 
 
-def _task(pdf, least: float):
-    """Links of one pair of blocks of one shard: rows (key, links, root)."""
+def _lists(pdf, least: float):
+    """Adjacency lists of one pair of blocks of one shard, and which of the neighbours are links: rows (key, nbrs, near)."""
+    import pandas as pd
+
+    if len(pdf) < 2:
+        return pd.DataFrame({"key": pdf["key"], "nbrs": [[]] * len(pdf), "near": [[]] * len(pdf)})
+    x, dims = _matrix(pdf["blob"].tolist())
+    keys = pdf["key"].to_numpy()
+    u, v, s = graph(x, dims if (dims != dims[0]).any() else None)
+    # Reverse edges: each edge stands in both lists.
+    u, v, s = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([s, s])
+    edge, at = np.unique(u * len(x) + v, return_index=True)
+    u, v = edge // len(x), edge % len(x)
+    hit = (s[at] >= least) & (dims[u] == dims[v])
+    cuts = np.searchsorted(u, np.arange(1, len(x)))
+    close = np.searchsorted(u[hit], np.arange(1, len(x)))
+    return pd.DataFrame({"key": keys, "nbrs": np.split(keys[v], cuts), "near": np.split(keys[v[hit]], close)})
+
+
+def _hooked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's component under the links a - b."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _search(pdf, least: float):
+    """Links of the queries that are at home in one pair of blocks of one shard: rows (key, links, root)."""
     import pandas as pd
 
     pdf = pdf.sort_values("key").reset_index(drop=True)
-    shard, lo, hi = int(pdf["shard"].iloc[0]), int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-    m = len(pdf)
+    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    m, home = len(pdf), np.flatnonzero(pdf["home"].to_numpy())
     none = pd.DataFrame({"key": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-    if m < 2:
+    if m < 2 or not len(home):
         return none
     x, dims = _matrix(pdf["blob"].tolist())
-    off, to = graph(x, dims if (dims != dims[0]).any() else None)
-    mean = x.mean(0)
-    start = int((x @ mean).argmax())
-    # The task owns a pair if no earlier shard has both, and if its blocks are the pair's blocks.
-    width = max(len(s) for s in pdf["shards"])
-    member = np.full((m, width), -1)
-    for i, s in enumerate(pdf["shards"]):
-        member[i, : len(s)] = s
-    block, copies, keys = pdf["block"].to_numpy(), pdf["copies"].to_numpy(), pdf["key"].to_numpy()
-    links = np.zeros(m, np.int64)
-    root = np.arange(m)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for q, v in range_search(x, off, to, start, np.arange(m), least):
-        ok = (q != v) & (dims[q] == dims[v])
-        q, v = q[ok], v[ok]
-        first = np.full(len(q), np.iinfo(np.int64).max)
-        for k in range(width):
-            both = (member[v] == member[q, k][:, None]).any(1) & (member[q, k] >= 0)
-            first = np.where(both, np.minimum(first, member[q, k]), first)
-        own = (first == shard) & (np.minimum(block[q], block[v]) == lo) & (np.maximum(block[q], block[v]) == hi)
-        q, v = q[own], v[own]
-        np.add.at(links, q, copies[v])
-        up = q < v
-        for i, j in zip(q[up].tolist(), v[up].tolist(), strict=True):
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    at = np.flatnonzero(links)
-    if not len(at):
-        return none
-    return pd.DataFrame({"key": keys[at], "links": links[at], "root": keys[[find(i) for i in at.tolist()]]})
+    keys, copies, block = pdf["key"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
+    # The united lists, as far as they lead to classes of this task.
+    count = np.array([len(n) for n in pdf["nbrs"]])
+    u, to = np.repeat(np.arange(m), count), np.concatenate([*pdf["nbrs"], np.empty(0, np.int64)]).astype(np.int64)
+    v = np.minimum(np.searchsorted(keys, to), m - 1)
+    here = keys[v] == to
+    u, v = u[here], v[here]
+    off = np.searchsorted(u, np.arange(m + 1))
+    start = int((x @ x.mean(0)).argmax())
+    links, root = np.zeros(m, np.int64), np.arange(m)
+    for q, w in range_search(x, off, v, start, home, least):
+        ok = (q != w) & (dims[q] == dims[w]) & (np.minimum(block[q], block[w]) == lo) & (np.maximum(block[q], block[w]) == hi)
+        q, w = q[ok], w[ok]
+        np.add.at(links, q, copies[w])
+        # What this batch links is hooked onto what the earlier ones did.
+        root = _hooked(m, np.concatenate([np.arange(m), q]), np.concatenate([root, w]))
+    at = np.flatnonzero((links > 0) | (root != np.arange(m)) | np.isin(np.arange(m), root[root != np.arange(m)]))
+    return pd.DataFrame({"key": keys[at], "links": links[at], "root": keys[root[at]]}) if len(at) else none
 
 
 def linked(routed: DataFrame, least: float) -> DataFrame:
-    """(key, links, root) from every task; a class has a row for each task that found links of it."""
-    rows = routed.select("key", "blob", "copies", "shards", F.explode("shards").alias("shard"))
-    size = staged(rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), "graph-shards")
-    rows = rows.join(F.broadcast(size), "shard")  # as many rows as there are medoids
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    """(key, links, root) from every task and from the lists; a class has a row for each that found links of it."""
+    size = staged(routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), "graph-shards")
+    rows = routed.join(small_side(size), "shard").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("lo"), F.greatest(i, F.col("block")).alias("hi")))
-    rows = rows.withColumn("p", F.explode(pairs)).select("key", "blob", "copies", "shards", "shard", "block", "p.lo", "p.hi")
-    return rows.groupBy("shard", "lo", "hi").applyInPandas(lambda pdf: _task(pdf, least), "key long, links long, root long")
+    rows = rows.withColumn("p", F.explode(pairs)).select("key", "blob", "copies", "shard", "home", "block", "p.lo", "p.hi")
+    lists = rows.select("key", "blob", "shard", "lo", "hi").groupBy("shard", "lo", "hi").applyInPandas(lambda pdf: _lists(pdf[["key", "blob"]], least), "key long, nbrs array<long>, near array<long>")
+    united = lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    united = staged(united, "graph-lists")
+    found = rows.join(united.select("key", "nbrs"), "key").groupBy("shard", "lo", "hi").applyInPandas(lambda pdf: _search(pdf, least), "key long, links long, root long")
+    # Links of the lists that lead out of the query's shard.
+    at_home = routed.where("home").select("key", F.col("shard").alias("s"))
+    near = united.where(F.size("near") > 0).select("key", F.explode("near").alias("to")).join(at_home, "key")
+    out = near.join(routed.select(F.col("key").alias("to"), F.col("shard").alias("s")), ["to", "s"], "left_anti")
+    out = out.join(routed.where("home").select(F.col("key").alias("to"), "copies"), "to").select("key", F.col("copies").alias("links"), F.col("to").alias("root"))
+    return found.union(out)
 
 
 def audit(one: DataFrame, links: DataFrame, least: float) -> float:
@@ -330,20 +412,22 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     rows = staged(classes(vectors), "vectors")
     one = staged(rows.where("key IS NOT NULL").groupBy("key").agg(F.first("blob").alias("blob"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")), "vector-classes")
     n = one.count()
+    part = int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))  # by hash, so that no task sorts vectors
+    x, _ = _matrix(one.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < part).select("key", "blob").toPandas().sort_values("key")["blob"].tolist())
     overlap = OVERLAP
     while True:
-        some = one.orderBy(F.xxhash64("key")).limit(SAMPLE).select("blob").toPandas()["blob"].tolist()
-        x, _ = _matrix(some)
-        k = max(1, min(4096, -(-n * overlap // SHARD)))
+        k = max(1, min(MOST_CENTRES, -(-n * overlap // SHARD)))
         centres = medoids(x, min(k, len(x))) if len(x) else np.zeros((1, 1))
-        routed = staged(route(one.select("key", "blob"), centres, overlap).join(one.select("key", "copies"), "key").repartition(parts(vectors.sparkSession)), "graph-routes")
+        routed = split_large(staged(route(one, centres, overlap), "graph-routes"), overlap)
         found = staged(linked(routed, least), "graph-links")
         links = staged(found.groupBy("key").agg(F.sum("links").alias("links")), "graph-counts")
         recall = audit(one, links, least)
-        if recall >= TARGET or overlap >= 6:
+        if recall >= TARGET:
             break
-        overlap += 2
-        drop_staged(routed, found, links)
+        if overlap >= MOST_OVERLAP:
+            raise RuntimeError(f"recall {recall:.4f} of the audited links is below {TARGET} at an overlap of {overlap}")
+        overlap *= 2
+        drop_staged(found, links)
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     label = one.select("key", "copies", "least").join(links, "key", "left").join(roots.withColumnRenamed("v", "key"), "key", "left")
     label = staged(label.select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("g")), "vector-labels")
