@@ -3,8 +3,11 @@
 import itertools
 import math
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -99,7 +102,7 @@ def test_html_held_out():
     model = html_text.default_model()
     wrong = total = 0
     for html in html_pages.labelled_pages(120, seed=77):
-        page = html_text.Page(html)
+        page = html_text.Page(html, labelled=True)
         p = model.content(page)
         for i, _ in page.blocks:
             total += 1
@@ -124,6 +127,63 @@ def test_html_unclosed(before):
     assert html_text.default_model().text(f"<html>{before}<body><article><h1>A title</h1><p>{LONG[:400]}.</p><p>{LONG[:300]}.</p></article></body></html>").endswith(LONG[:300].strip() + ("." if LONG[299] != " " else " ."))
 
 
+class Article(HTMLParser):
+    """The blocks of the element article, read with the standard library's parser."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.raw, self.blocks = False, False, [""]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.raw |= tag in ("script", "style")
+        if tag in ("h1", "h2", "h3", "p", "ul", "ol", "li", "blockquote", "pre", "table", "tr", "td", "figure", "figcaption", "section", "div"):
+            self.blocks.append("")
+        if tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        self.raw &= tag not in ("script", "style")
+        if tag not in ("b", "i", "em", "strong", "a", "span", "code"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.raw:
+            self.blocks[-1] += data
+
+
+def test_articles_of_the_given_pages():
+    """The given pages come from another hand than the pages that train the model."""
+    model = html_text.default_model()
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        want = [" ".join(b.split()) for b in Article(r["html"]).blocks]
+        assert model.text(r["html"]) == "\n".join(b for b in want if b), r["page_id"]
+
+
+def test_html_keeps_positions_and_reads_no_labels():
+    body = "<body><article><h1>A title of it</h1><p>" + LONG[:600] + ".</p></article></body>"
+    want = html_text.default_model().text(body)
+    assert LONG[:300] in want
+    for before in ("<p>" + "\u0130" * 30 + "</p><script>x('</scripts>')</script>", "<SCRIPT>\u0130</ScRiPt >", "<style>\u0130" * 3 + "</style>"):
+        assert html_text.default_model().text(before + body).endswith(LONG[:300].strip() + want[-1]) or LONG[:300] in html_text.default_model().text(before + body)
+    for y in ("12.5", "", "x", "1"):
+        assert html_text.default_model().text(body.replace("<article>", f'<article data-y="{y}">')) == want
+
+
+@pytest.mark.parametrize("piece", ["</b>", "<b></i>", "<div></b>", "<td>", "<li><div>", "<a b='x>", '<a b="x>', "<svg>", "<!-", "<p></td>"])
+def test_html_takes_linear_time(piece):
+    def took(n):
+        start = time.process_time()
+        html_text.Page("<body>" + "<div>" * 3000 + piece * n + "text")
+        return time.process_time() - start
+
+    took(1000)
+    assert took(40_000) < 12 * max(took(10_000), 0.05)
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])

@@ -17,6 +17,8 @@ from __future__ import annotations
 import functools
 import math
 import re
+import string
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -44,6 +46,8 @@ _CLOSES = {
 }
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|data-y)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""", re.I)
+#: A-Z alone: the text keeps its length, which lower() does not promise.
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -60,10 +64,16 @@ def _ends(name: str, low: str) -> dict[int, int]:
     return out
 
 
+@functools.cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)")
+
+
 class Page:
-    """Nodes in page order (a parent stands before its children) and the blocks of text."""
+    """Nodes in page order (a parent stands before its children) and the blocks of text. labelled: the attribute data-y of a node is its label."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, labelled: bool = False):
+        self.labelled = labelled
         self.parent, self.tag, self.names, self.label = [-1], ["#root"], [()], [0]
         self.blocks: list[tuple[int, str]] = []
         self.length, self.links, self.marks, self.pieces = [0], [0], [0], [0]
@@ -74,7 +84,7 @@ class Page:
         self.parent.append(parent)
         self.tag.append(tag)
         self.names.append(tuple(dict.fromkeys(_NAME.findall(" ".join(v for k, v in found.items() if k != "data-y").lower()))))
-        self.label.append(int(found.get("data-y", 0)))
+        self.label.append(int(self.labelled and found.get("data-y") == "1"))
         for x in (self.length, self.links, self.marks, self.pieces):
             x.append(0)
         return len(self.parent) - 1
@@ -82,7 +92,14 @@ class Page:
     def _parse(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones carry their block's node
         text: list[str] = []
-        in_link = 0
+        in_link, held = 0, Counter()  # open elements by name
+
+        def cut(k: int) -> None:
+            nonlocal in_link
+            for t, _ in stack[k:]:
+                held[t] -= 1
+                in_link -= t == "a"
+            del stack[k:]
 
         def flush() -> None:
             if text:
@@ -121,10 +138,10 @@ class Page:
                 text.append(" ")
             if name in _DROP:
                 if not closing and not attrs.endswith("/"):
-                    low = html.lower() if low is None else low
+                    low = html.translate(_LOWER) if low is None else low
                     if name in _RAW:
-                        end = low.find("</" + name, at)
-                        at = n if end < 0 else (low.find(">", end) + 1 or n)
+                        found = _raw_end(name).search(low, at)
+                        at = found.end() if found else n
                     else:
                         if name not in ends_of:
                             ends_of[name] = _ends(name, low)
@@ -134,32 +151,34 @@ class Page:
             if skip and not closing:
                 continue
             if closing:
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] != name:
-                    k -= 1
-                if k > 0:
+                if held[name] > 0:
+                    k = len(stack) - 1
+                    while stack[k][0] != name:
+                        k -= 1
                     if any(t in _BLOCK for t, _ in stack[k:]):
                         flush()
-                    in_link -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    cut(k)
                 continue
             if name in _VOID:
                 continue
             if name in _BLOCK:
                 flush()
                 ends, stops = _CLOSES.get(name, ((), ()))
+                if not any(held[t] > 0 for t in ends):
+                    ends = stops = ()
                 for k in range(len(stack) - 1, 0, -1):
                     t = stack[k][0]
                     if t == "p" or t in ends:
-                        in_link -= sum(x == "a" for x, _ in stack[k:])
-                        del stack[k:]
+                        cut(k)
                         if t != "p":
                             break
                     elif t in stops or (t in _BLOCK and not ends):
                         break
                 stack.append((name, self._node(stack[-1][1], name, attrs)))
+                held[name] += 1
             elif not attrs.endswith("/"):
                 stack.append((name, stack[-1][1]))
+                held[name] += 1
                 in_link += name == "a"
         flush()
 
@@ -242,7 +261,7 @@ class Model:
 
 def train(pages: list[str], steps: int = 120, rate: float = 0.25, ridge: float = 0.004) -> Model:
     """Maximum likelihood of the pages' labels, by gradient steps scaled with Adam."""
-    parsed = [Page(h) for h in pages]
+    parsed = [Page(h, labelled=True) for h in pages]
     index: dict[str, int] = {}
     rows = [[[index.setdefault(f, len(index)) for f in fs] for fs in p.features()] for p in parsed]
     flat = [np.array([k for fs in page for k in fs]) for page in rows]
