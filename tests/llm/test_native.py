@@ -1,11 +1,13 @@
 """Quality rules, mixing, licences and shards: SQL twins and edge cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import EDGES, docs
-from verisift.llm import licenses, mixing, quality, queries, sharding
-from verisift.llm.common import fresh_path
+from verisift.llm import licenses, mixing, quality, queries, sharding, toxicity
+from verisift.llm.common import fresh_path, text_keys
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -115,3 +117,28 @@ def test_store(spark):
     with pytest.raises(sharding.Conflict):
         store.commit(first, first["runs"], "late")
     assert store.vacuum() > 0 and store.read().count() == len(EDGES)
+
+
+def test_fences_follow_their_group(spark):
+    """One rate is kept where it is usual and rejected where it is not."""
+    r = random.Random(8)
+    word = lambda lo, hi: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(lo, hi)))
+    text = lambda lo, hi: " ".join(word(lo, hi) for _ in range(120))
+    rows = [(i, text(3, 6), "en", "short") for i in range(80)] + [(100 + i, text(8, 12), "en", "long") for i in range(80)]
+    same = text(8, 12)
+    rows += [(900, same, "en", "short"), (901, same, "en", "long")]
+    got = {x.doc_id: x.kept for x in quality.judge(docs(spark, rows)).collect()}
+    assert (got.pop(900), got.pop(901)) == (False, True) and all(got.values())
+
+
+def test_verdicts_by_row(spark, monkeypatch):
+    """A bad row takes no row along that shares its id, and clashing names do no harm."""
+    good = "a quiet text of plain words that says nothing in particular and goes on for a while"
+    rows = [(None, good, "en", "s"), (None, "too short", "en", "s"), (1, good, "en", "s"), (1, "short", "en", "s"), (1, None, "en", "s")]
+    df = docs(spark, rows).withColumn("_id", F.lit(1)).withColumn("k1", F.lit(2)).withColumn("_lang", F.lit("x")).withColumn("b1", F.lit(0)).withColumn("kept", F.lit(True))
+    kept = quality.keep(df)
+    assert kept.columns == df.columns and sorted(map(str, (x.doc_id for x in kept.collect()))) == ["1", "None"]
+    verdict = lambda d, _: d.select(*text_keys(F.coalesce("text", F.lit(""))), F.coalesce(F.col("text").contains("short"), F.lit(False)).cast("int").alias("predicted"))
+    monkeypatch.setattr(toxicity, "scored", verdict)
+    left = toxicity.reject_toxic(df.withColumn("toxic", F.lit("x")), None)
+    assert left.columns == [*df.columns, "toxic"] and sorted(str((x.doc_id, x.text is None)) for x in left.collect()) == ["(1, False)", "(1, True)", "(None, False)"]

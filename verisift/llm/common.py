@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -78,5 +78,23 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def text_keys(text: Column) -> list[Column]:
+    """k1 and k2: two hashes that tell texts apart."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(20_011), text).alias("k2")]
+
+
+def rows_without(docs: DataFrame, bad: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """The rows of docs whose text (null: empty), and other columns `more`, are not in bad (staged; k1, k2 and more). Columns of docs keep out of
+    the way, whatever their names."""
+    more = more or []
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    held = docs.select(row, *text_keys(F.coalesce("text", F.lit(""))), *[F.col(c).alias(f"_{c}") for c in more])
+    b = bad.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), *[F.col(c).alias(f"b_{c}") for c in more])
+    same = (F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))
+    for c in more:
+        same = same & F.col(f"_{c}").eqNullSafe(F.col(f"b_{c}"))
+    return held.join(small_side(b, 1_000_000), same, "left_anti").select("_row.*")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,10 +1,11 @@
 """Quality rules with adaptive thresholds (native: DataFrame functions only).
 
-Every document gets a handful of integer metrics. For each metric a quantile sketch
+Every document gets a handful of rates: a count over an exposure, such as letters over words. For each rate a quantile sketch
 is kept per (lang, source): a log-linear histogram whose buckets are derived from the
 value alone, so sketches merge by adding counts and the result does not depend on the
-order of rows, tasks or merges. Fences come from the quartiles of the sketches:
-a document is rejected when a metric lies beyond its group's fence. Groups with too
+order of rows, tasks or merges. Fences come from the sketches alone: they stand as far beyond the 0.9 (0.1) quantile as that is from the
+median. A document is rejected when its count lies beyond its group's fence by more than chance allows, which is a Poisson
+count's deviation and so shrinks against the rate as texts grow. Groups with too
 few documents use the merged sketch of their language, and then of everything.
 
 Edge cases: null and empty texts have no words and fail the base rule; null lang or
@@ -19,25 +20,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verisift.llm.common import SPACE_RE, small_side, staged, table
+from verisift.llm.common import SPACE_RE, rows_without, small_side, staged, table, text_keys
 
 SYMBOLS = "[#*$%&|<>]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
-#: Linear sub-buckets per power of two: quantiles have a relative error of 1/32 at most.
-SUB = 32
+#: Linear sub-buckets per power of two: quantiles have a relative error of 1 / SUB at most.
+SUB_BITS = 7
+SUB = 1 << SUB_BITS
 #: Below so many base-passing documents a group borrows its parent's sketch.
 MIN_GROUP = 64
-#: Fence distance in interquartile ranges; slack is the least distance of each metric,
-#: so that groups with almost no spread do not reject ordinary documents.
-FENCE = 6.0
-#: metric -> (least distance above the upper quartile, least distance below the lower
-#: quartile; None: no fence on that side). All metrics are integers per million or per thousand.
+#: Fence distance in distances of the outer quantile from the median, and deviations that chance is given.
+REACH, CHANCE = 1, 3.0
+#: metric -> (count, exposure, scale of the rate, words or letters that come together, whether it has a lower fence). Repeats come in
+#: passages, of two windows at least.
 METRICS = {
-    "m_word_len": (4_000, 2_500),
-    "m_symbols": (30_000, None),
-    "m_dup_lines": (500_000, None),
-    "m_repeats": (180_000, None),
-    "m_punct_caps": (200_000, None),
+    "m_word_len": ("word_chars", "n_words", 1_000, 1, True),
+    "m_symbols": ("n_symbols", "word_chars", 1_000_000, 1, False),
+    "m_dup_lines": ("n_dup_lines", "n_lines", 1_000_000, 1, False),
+    "m_repeats": ("n_repeat_words", "n_words", 1_000_000, 10, False),
+    "m_punct_caps": ("n_caps", "word_chars", 1_000_000, 1, False),
 }
 
 
@@ -51,11 +52,11 @@ def _windows(words: Column) -> Column:
 
 
 def doc_metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts of the contract and the per-mille metrics."""
+    """doc_id, lang, source, two hashes of the text, the counts and the rates."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", "lang", "source", text.alias("t"))
     one = base.select(
-        "doc_id", "lang", "source", "t",
+        "doc_id", "lang", "source", *text_keys(F.col("t")), "t",
         F.array_remove(F.split("t", SPACE_RE), "").alias("words"),
         F.filter(F.split("t", "\n"), lambda ln: F.rlike(ln, F.lit(NOT_SPACE))).alias("lines"),
         (F.length("t") - F.regexp_count("t", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
@@ -63,7 +64,7 @@ def doc_metrics(docs: DataFrame) -> DataFrame:
         F.regexp_count("t", F.lit("[A-Z!]")).cast("long").alias("n_caps"),
     )
     two = one.select(
-        "doc_id", "lang", "source", "word_chars", "n_symbols", "n_caps",
+        "doc_id", "lang", "source", "k1", "k2", "word_chars", "n_symbols", "n_caps",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -84,21 +85,17 @@ def doc_metrics(docs: DataFrame) -> DataFrame:
         "n_repeat_words",
         F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")),
     ).drop("p")
-    per = lambda a, b, k: F.when(F.col(b) > 0, F.expr(f"{a} * {k} div {b}")).otherwise(F.lit(0)).cast("long")
+    rate = lambda k, n, scale, *_: F.when(F.col(n) > 0, F.expr(f"{k} * {scale} div {n}")).otherwise(F.lit(0)).cast("long")
     return five.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", "k1", "k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
-        per("word_chars", "n_words", 1000).alias("m_word_len"),
-        per("n_symbols", "word_chars", 1000000).alias("m_symbols"),
-        per("n_dup_lines", "n_lines", 1000000).alias("m_dup_lines"),
-        per("n_repeat_words", "n_words", 1000000).alias("m_repeats"),
-        per("n_caps", "word_chars", 1000000).alias("m_punct_caps"),
+        *[rate(*how).alias(name) for name, how in METRICS.items()],
     )
 
 
 def _bucket(v: str) -> str:
     """SQL of the log-linear bucket of a value >= 0."""
-    e = f"(length(bin({v})) - 6)"
+    e = f"(length(bin({v})) - {SUB_BITS + 1})"
     return f"CASE WHEN {v} < {SUB} THEN {v} ELSE CAST({e} + 1 AS BIGINT) * {SUB} + ({v} div CAST(pow(2, greatest({e}, 0)) AS BIGINT)) - {SUB} END"
 
 
@@ -121,8 +118,8 @@ def merged(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sk: DataFrame, by: list[str]) -> DataFrame:
-    """by, metric, total, q1, q3 read from sketches. A group has a few hundred buckets at most."""
+def quantiles(sk: DataFrame, by: list[str]) -> DataFrame:
+    """by, metric, total, q1, q5, q9 (tenths) read from sketches. A group has a few hundred buckets at most."""
     w = W.partitionBy(*by, "metric")
     cum = sk.select(
         *by, "metric", "bucket",
@@ -130,61 +127,63 @@ def quartiles(sk: DataFrame, by: list[str]) -> DataFrame:
         F.sum("n").over(w).alias("total"),
     )
     value = F.expr(_lower("bucket"))
-    reach = lambda k: F.min(F.when(4 * F.col("cum") >= k * F.col("total"), value))
-    return cum.groupBy(*by, "metric").agg(F.max("total").alias("total"), reach(1).alias("q1"), reach(3).alias("q3"))
+    reach = lambda k: F.min(F.when(10 * F.col("cum") >= k * F.col("total"), value)).alias(f"q{k}")
+    return cum.groupBy(*by, "metric").agg(F.max("total").alias("total"), reach(1), reach(5), reach(9))
 
 
 def fences(metrics: DataFrame) -> DataFrame:
     """One row per (lang, source) with lo_* and hi_* for each metric."""
     names = list(METRICS)
     fine = staged(sketch(metrics.where("not base_failed"), names, ["lang", "source"]), "quality-sketch")
-    by_lang = quartiles(merged(fine, ["lang"]), ["lang"])
-    by_all = quartiles(merged(fine, []), [])
-    own = quartiles(fine, ["lang", "source"])
+    by_lang = quantiles(merged(fine, ["lang"]), ["lang"])
+    by_all = quantiles(merged(fine, []), [])
+    own = quantiles(fine, ["lang", "source"])
     j = (
         own.alias("o")
         .join(by_lang.alias("g"), F.col("o.lang").eqNullSafe(F.col("g.lang")) & (F.col("o.metric") == F.col("g.metric")))
         .join(F.broadcast(by_all).alias("a"), F.col("o.metric") == F.col("a.metric"))  # one row per metric
     )
-    pick = lambda q: F.when(F.col("o.total") >= MIN_GROUP, F.col(f"o.{q}")).when(F.col("g.total") >= MIN_GROUP, F.col(f"g.{q}")).otherwise(F.col(f"a.{q}"))
-    rows = j.select("o.lang", "o.source", "o.metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    spread = lambda slack: F.greatest((F.lit(FENCE) * (F.col("q3") - F.col("q1"))).cast("long"), F.lit(slack).cast("long"))
-    hi = F.lit(None).cast("long")
-    lo = F.lit(None).cast("long")
-    for name, (up, down) in METRICS.items():
-        is_it = F.col("metric") == name
-        hi = F.when(is_it, F.col("q3") + spread(up)).otherwise(hi)
-        if down is not None:
-            lo = F.when(is_it, F.col("q1") - spread(down)).otherwise(lo)
-    rows = rows.select("lang", "source", "metric", hi.alias("hi"), lo.alias("lo"))
+    pick = lambda q: F.when(F.col("o.total") >= MIN_GROUP, F.col(f"o.{q}")).when(F.col("g.total") >= MIN_GROUP, F.col(f"g.{q}")).otherwise(F.col(f"a.{q}")).alias(q)
+    rows = j.select("o.lang", "o.source", "o.metric", pick("q1"), pick("q5"), pick("q9"))
+    hi = F.col("q9") + REACH * (F.col("q9") - F.col("q5"))
+    lo = F.greatest(F.lit(0), F.col("q1") - REACH * (F.col("q5") - F.col("q1")))
+    rows = rows.select("lang", "source", "metric", hi.cast("long").alias("hi"), lo.cast("long").alias("lo"))
     aggs = []
     for name in names:
         aggs += [F.max(F.when(F.col("metric") == name, F.col(k))).alias(f"{k}_{name}") for k in ("hi", "lo")]
     return rows.groupBy("lang", "source").agg(*aggs)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: the counts, base_failed, kept."""
+def _within(name: str) -> Column:
+    """Whether the counts of a metric lie within its fences, by more than chance."""
+    k, n, scale, unit, lower = METRICS[name]
+    due = lambda fence: F.col(n).cast("double") * F.col(f"{fence}_{name}") / scale
+    ok = F.col(k) <= due("hi") + CHANCE * F.sqrt(due("hi") * unit) + CHANCE * CHANCE * unit
+    if lower:
+        ok = ok & (F.col(k) >= due("lo") - CHANCE * F.sqrt(due("lo") * unit))
+    return F.coalesce(ok, F.lit(True))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     m = staged(doc_metrics(docs), "quality-metrics")
     f = staged(fences(m), "quality-fences").withColumnRenamed("lang", "f_lang").withColumnRenamed("source", "f_source")
     j = m.join(small_side(f), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     ok = F.lit(True)
-    for name, (_, down) in METRICS.items():
-        ok = ok & F.coalesce(F.col(name) <= F.col(f"hi_{name}"), F.lit(True))
-        if down is not None:
-            ok = ok & F.coalesce(F.col(name) >= F.col(f"lo_{name}"), F.lit(True))
-    return j.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ok).alias("kept"), *METRICS,
-    )
+    for name in METRICS:
+        ok = ok & _within(name)
+    return j.withColumn("kept", ~F.col("base_failed") & ok)
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: the counts, base_failed, kept."""
+    return _judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *METRICS)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose verdict is kept. doc_id identifies a document: rows that
-    share one share the verdict of the worst of them; a null doc_id is its own key."""
-    bad = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("_kept")).where("NOT _kept").select(F.col("doc_id").alias("_id"))
-    bad = staged(bad, "quality-rejected")
-    return docs.join(small_side(bad, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of docs whose verdict is kept. A verdict follows from text, lang and source, so rows are told apart by these, whatever
+    their doc_id: rows that share an id, or have none, are judged one by one."""
+    bad = staged(_judged(docs).where("NOT kept").select("k1", "k2", "lang", "source").distinct(), "quality-rejected")
+    return rows_without(docs, bad, ["lang", "source"])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,22 +193,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     ws = r"[\x20\x09-\x0D]"
     unions = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS metric, {n} AS v FROM m WHERE NOT base_failed" for n in METRICS)
-    bucket = f"CASE WHEN v < {SUB} THEN v ELSE (length(bin(v)) - 5)::BIGINT * {SUB} + (v // (1::BIGINT << greatest(length(bin(v)) - 6, 0)::INT)) - {SUB} END"
+    bucket = f"CASE WHEN v < {SUB} THEN v ELSE (length(bin(v)) - {SUB_BITS})::BIGINT * {SUB} + (v // (1::BIGINT << greatest(length(bin(v)) - {SUB_BITS + 1}, 0)::INT)) - {SUB} END"
     lower = f"CASE WHEN bucket < {SUB} THEN bucket ELSE ({SUB} + bucket % {SUB}) * (1::BIGINT << greatest(bucket // {SUB} - 1, 0)::INT) END"
 
-    def quart(name: str, src: str, by: str) -> str:
+    def quant(name: str, src: str, by: str) -> str:
         keys = f"{by}, " if by else ""
+        reach = ", ".join(f"min({lower}) FILTER (WHERE 10 * cum >= {k} * total) AS q{k}" for k in (1, 5, 9))
         return f"""
 {name}_c AS (SELECT {keys}metric, bucket, sum(n) OVER (PARTITION BY {keys}metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {keys}metric) AS total
   FROM (SELECT {keys}metric, bucket, sum(n) AS n FROM {src} GROUP BY ALL)),
-{name} AS (SELECT {keys}metric, max(total) AS total, min({lower}) FILTER (WHERE 4 * cum >= total) AS q1, min({lower}) FILTER (WHERE 4 * cum >= 3 * total) AS q3
-  FROM {name}_c GROUP BY ALL)"""
-
-    up = "CASE metric " + " ".join(f"WHEN '{n}' THEN {u}" for n, (u, _) in METRICS.items()) + " END"
-    down = "CASE metric " + " ".join(f"WHEN '{n}' THEN {d}" for n, (_, d) in METRICS.items() if d is not None) + " ELSE NULL END"
-    checks = " AND ".join(
-        f"coalesce({n} <= f.hi['{n}'], true)" + (f" AND coalesce({n} >= f.lo['{n}'], true)" if d is not None else "") for n, (_, d) in METRICS.items()
-    )
+{name} AS (SELECT {keys}metric, max(total) AS total, {reach} FROM {name}_c GROUP BY ALL)"""
+
+    picks = ", ".join(f"CASE WHEN o.total >= {MIN_GROUP} THEN o.q{k} WHEN g1.total >= {MIN_GROUP} THEN g1.q{k} ELSE a1.q{k} END AS q{k}" for k in (1, 5, 9))
+    due = lambda name, fence: f"({METRICS[name][1]}::DOUBLE * f.{fence}['{name}'] / {METRICS[name][2]}.0::DOUBLE)"
+    checks = []
+    for name, (k, _, _, unit, two) in METRICS.items():
+        hi, lo = due(name, "hi"), due(name, "lo")
+        checks.append(f"coalesce({k} <= {hi} + {CHANCE}::DOUBLE * sqrt({hi} * {unit}) + {CHANCE * CHANCE * unit}::DOUBLE" + (f" AND {k} >= {lo} - {CHANCE}::DOUBLE * sqrt({lo} * {unit})" if two else "") + ", true)")
+    checks = " AND ".join(checks)
+    rates = ",\n  ".join(f"CASE WHEN {n} > 0 THEN {k} * {scale} // {n} ELSE 0 END AS {name}" for name, (k, n, scale, *_) in METRICS.items())
     metric_cols = ", ".join(METRICS)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -225,20 +227,15 @@ k AS (SELECT d.rid, doc_id, lang, source, coalesce(n_words, 0) AS n_words, lengt
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN rep USING (rid) LEFT JOIN ld USING (rid)),
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS m_word_len,
-  CASE WHEN word_chars > 0 THEN n_symbols * 1000000 // word_chars ELSE 0 END AS m_symbols,
-  CASE WHEN n_lines > 0 THEN n_dup_lines * 1000000 // n_lines ELSE 0 END AS m_dup_lines,
-  CASE WHEN n_words > 0 THEN n_repeat_words * 1000000 // n_words ELSE 0 END AS m_repeats,
-  CASE WHEN word_chars > 0 THEN n_caps * 1000000 // word_chars ELSE 0 END AS m_punct_caps FROM k),
+  {rates} FROM k),
 s AS (SELECT lang, source, metric, {bucket} AS bucket, count(*) AS n FROM ({unions}) GROUP BY ALL),
-{quart("o", "s", "lang, source")},
-{quart("g1", "s", "lang")},
-{quart("a1", "s", "")},
-p AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.total >= {MIN_GROUP} THEN o.q1 WHEN g1.total >= {MIN_GROUP} THEN g1.q1 ELSE a1.q1 END AS q1,
-  CASE WHEN o.total >= {MIN_GROUP} THEN o.q3 WHEN g1.total >= {MIN_GROUP} THEN g1.q3 ELSE a1.q3 END AS q3
+{quant("o", "s", "lang, source")},
+{quant("g1", "s", "lang")},
+{quant("a1", "s", "")},
+p AS (SELECT o.lang, o.source, o.metric, {picks}
   FROM o JOIN g1 ON o.lang IS NOT DISTINCT FROM g1.lang AND o.metric = g1.metric JOIN a1 ON o.metric = a1.metric),
-f AS (SELECT lang, source, map_from_entries(list((metric, (q3 + greatest({int(FENCE)} * (q3 - q1), {up}))::BIGINT))) AS hi,
-  map_from_entries(list((metric, (q1 - greatest({int(FENCE)} * (q3 - q1), {down}))::BIGINT))) AS lo FROM p GROUP BY lang, source)
+f AS (SELECT lang, source, map_from_entries(list((metric, (q9 + {REACH} * (q9 - q5))::BIGINT))) AS hi,
+  map_from_entries(list((metric, greatest(0, q1 - {REACH} * (q5 - q1))::BIGINT))) AS lo FROM p GROUP BY lang, source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND {checks} AS kept, {metric_cols}
 FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source"""

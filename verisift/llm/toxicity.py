@@ -6,8 +6,9 @@ letters in lower case; beside the whole word, its beginnings are counted, and ea
 of the next longer one, so rare words lean on their stems. Every token drifts, so that ordinary text has a
 negative expectation. One linear scan then finds all maximal segments of a text, each a passage whose score no
 extension or part beats. Each is judged by an extreme-value law: the location of the
-maximum grows with the logarithm of the text's length. All segments whose p-value is at most LEVEL are passages. A logistic curve over
-the standardised excess of the greatest segment, the sum of the passages and the length, fitted on labelled rows, gives the score.
+maximum grows with the logarithm of the text's length. All segments whose tail probability is at most LEVEL are passages. A logistic curve over
+the greatest segment's surprise (minus the logarithm of its tail probability), the passages' evidence (the sum of theirs) and the length,
+fitted on labelled rows, gives the score.
 A word counts once in a passage: its repeats only drift until the running sum of scores has fallen back to zero.
 
 The model is of fixed size: features are hashed into 2**BITS slots, so it is broadcast whatever the vocabulary.
@@ -22,6 +23,7 @@ score is the share of toxic labels (0 without labels).
 from __future__ import annotations
 
 import functools
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm.common import small_batches, small_side, staged, table
+from verisift.llm.common import rows_without, small_batches, small_side, staged, table, text_keys
 from verisift.llm.spans import prefix_sums, span_hashes
 from verisift.llm.tokens import chunks
 
@@ -45,8 +47,10 @@ DRIFT = 0.1
 CURVE_ROWS = 40_000
 #: Greatest p-value of a passage: the chance that a clean text of that length has a segment as great.
 LEVEL = 0.01
+#: Surprise beyond which a segment says no more about its text.
+MOST = 30.0
 PASSAGE = "struct<start: bigint, end: bigint, score: double, p_value: double>"
-SCORED = f"doc_id long, held_out boolean, n_tokens long, n_segments long, best double, best_start long, best_end long, total double, passages array<{PASSAGE}>"
+SCORED = f"doc_id long, held_out boolean, k1 long, k2 long, toxic int, n_tokens long, n_segments long, best double, best_start long, best_end long, surprise double, evidence double, passages array<{PASSAGE}>"
 
 
 @functools.cache
@@ -192,8 +196,9 @@ class Model:
         return -np.expm1(-np.exp(-np.clip(self.excess(scores, n) + np.euler_gamma, -20, 700)))
 
 
-def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """Segments of every text, one row for each row of docs (doc_id, text)."""
+def scan(docs: DataFrame, model: Model, label: str | None = None) -> DataFrame:
+    """Segments of every text, one row for each row of docs (doc_id, text). The column label is passed on as toxic."""
+    kept = ["doc_id", "held_out", "k1", "k2", "toxic"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB whatever the input
 
     def run(batches: Iterator) -> Iterator:
@@ -209,18 +214,20 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                 top = max(found, default=(0.0, 0, 0))
                 place = lambda x: (int(begin[a + x[1]]), int(end[a + x[2] - 1]))  # noqa: B023, E731
                 p = m.p_value(np.array([x[0] for x in found]), b - a).tolist()
+                likely = float(m.p_value(np.array([top[0]]), b - a)[0])
                 passages = [dict(zip(("start", "end", "score", "p_value"), (*place(x), x[0], q), strict=True)) for x, q in zip(found, p, strict=True) if q <= LEVEL]
-                rows.append((b - a, len(passages), top[0], *(place(top) if found else (0, 0)), sum(x["score"] for x in passages), passages))
+                rows.append((b - a, len(passages), top[0], *(place(top) if found else (0, 0)), -math.log(likely), -sum(math.log(x["p_value"]) for x in passages), passages))
             cols = list(zip(*rows, strict=True))
             spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), spans)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), spans)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                names=["doc_id", "held_out", "n_tokens", "n_segments", "best", "best_start", "best_end", "total", "passages"],
+                [*(batch.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                names=[*kept, "n_tokens", "n_segments", "best", "best_start", "best_end", "surprise", "evidence", "passages"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, SCORED)
+    toxic = F.col(label) if label else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(F.coalesce("text", F.lit(""))), toxic.cast("int").alias("toxic"), "text")
+    return rows.withColumn("held_out", F.coalesce(held_out(), F.lit(False))).select(*kept, "text").mapInArrow(run, SCORED)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
@@ -236,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
     if not 0 < share < 1:
         return model, share
     part = int(1_000_000 * min(1.0, CURVE_ROWS / texts.sum()))  # by hash, so that no task sorts or gathers texts
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < part)
+    # Rows that share id and text count once, so that no repeated row can swell the sample.
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_000)) < part).dropDuplicates(["doc_id", "text"])
     y = staged(some.select("doc_id", "text", "toxic"), "toxicity-curve")
     seen = _scanned(y, model)
     if not 0 < (seen["toxic"] > 0).mean() < 1:
@@ -247,16 +255,16 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
     model.location = (float(a), float(b))
     # Gumbel: the standard deviation is scale * pi / sqrt(6).
     model.scale = float(max(np.std(best[clean] - a - b * np.log(n[clean] + 1)) * np.sqrt(6) / np.pi, 0.1))
-    # The sum of the passages needs the law: the sample is scanned once more with it.
+    # Tail probabilities need the law: the sample is scanned once more with it.
     seen = _scanned(y, model)
     n, best, is_toxic = seen["n_tokens"].to_numpy(float), seen["best"].to_numpy(float), seen["toxic"].to_numpy() > 0
-    x = np.stack([np.clip(model.excess(best, n), -20, 20), np.log1p(seen["total"].to_numpy(float)), np.log1p(n)], 1)
+    x = np.stack([np.minimum(seen["surprise"].to_numpy(float), MOST), np.log1p(seen["evidence"].to_numpy(float)), np.log1p(n)], 1)
     model.curve = _logistic(x, is_toxic)
     return model, share
 
 
 def _scanned(y: DataFrame, model: Model):
-    return scan(y, model).join(y.select("doc_id", "toxic"), "doc_id").select("n_tokens", "best", "total", "toxic").toPandas()
+    return scan(y, model, "toxic").select("n_tokens", "best", "surprise", "evidence", "toxic").toPandas()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
@@ -281,18 +289,16 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         out = scan(docs, model).withColumn("score", F.lit(share))
     else:
         a, b, c, e = model.curve
-        lo, by = model.location
-        excess = (F.col("best") - lo - F.lit(by) * F.log1p(F.col("n_tokens").cast("double"))) / model.scale
-        z = F.lit(a) + F.lit(b) * F.greatest(F.lit(-20.0), F.least(F.lit(20.0), excess)) + F.lit(c) * F.log1p("total") + F.lit(e) * F.log1p(F.col("n_tokens").cast("double"))
+        z = F.lit(a) + F.lit(b) * F.least(F.lit(MOST), F.col("surprise")) + F.lit(c) * F.log1p("evidence") + F.lit(e) * F.log1p(F.col("n_tokens").cast("double"))
         out = scan(docs, model).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z)))))
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "n_segments", "best", "best_start", "best_end", "passages")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "n_segments", "best", "best_start", "best_end", "passages", "k1", "k2")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not that of a text predicted toxic."""
-    bad = staged(scored(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct(), "toxicity-rejected")
-    return docs.join(small_side(bad, 1_000_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of docs whose text is not predicted toxic. A score follows from the text, so rows that share an id, or have none, are judged one by one."""
+    bad = staged(scored(docs, labels).where("predicted = 1").select("k1", "k2").distinct(), "toxicity-rejected")
+    return rows_without(docs, bad)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k1", "k2")
