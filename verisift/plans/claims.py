@@ -26,7 +26,8 @@ def bucket(v: Column) -> Column:
 
 
 BUCKET = "CASE WHEN lower(verdict) IN ('true', '1', 'real') THEN 'True' WHEN lower(verdict) IN ('misleading', 'partially true', 'mixed') THEN 'Misleading' ELSE 'False' END"
-NO_REASON = "Verdict determined by the verification pipeline."
+#: Fixed value: what stands for a reason where there is none.
+NO_REASON = "AI-verified claim from live news feed."
 
 
 @P.query(f"WITH {CLAIMS} SELECT id, {normalize_sql('claim_text')} AS normalized_text FROM claims_v")
@@ -217,11 +218,11 @@ def dashboard_topup(spark, d):
     r = recent(spark, d).withColumn("sampled", F.lit(0))
     s = hash_sample(claims(spark, d).where("status = 'pending'"), "id", 15, 1)
     s = s.select("id", F.col("claim_text").alias("claim"), bucket(F.col("verdict")).alias("verdict"), F.lit("").alias("explanation"), F.lit(1).alias("sampled"))
-    real = r.agg(F.greatest(F.lit(15), F.count(F.lit(1))).alias("most"))
     from pyspark.sql import Window as W
 
     u = r.unionByName(s).withColumn("k", F.row_number().over(W.orderBy("sampled", "id")))  # 45 rows at most
-    return u.join(F.broadcast(real), F.col("k") <= F.col("most")).select("id", "claim", "verdict", "sampled")
+    u = u.withColumn("most", F.greatest(F.lit(15), F.count_if(F.col("sampled") == 0).over(W.partitionBy())))
+    return u.where("k <= most").select("id", "claim", "verdict", "sampled")
 
 
 @P.query(f"WITH {EVIDENCE} SELECT claim_id, ordinal, CASE stance WHEN 'supporting' THEN 'support' WHEN 'refuting' THEN 'refute' ELSE 'neutral' END AS stance, '' AS source_url FROM evidence_v")

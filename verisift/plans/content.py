@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verisift.functions.text import bracket_span, fence_strip as strip_fence, mojibake_fix as fix, not_empty, strip_block
+from verisift.functions.text import MOJIBAKE, bracket_span, fence_slice, fence_split, fence_strip as strip_fence, mojibake_fix as fix, not_empty, strip_block
+from verisift.operators.numbering import numbered
 from verisift.plans.base import Plan
 from verisift.sources.views import ITEMS, NEWS, events, items, k_of, news, table
 
@@ -18,6 +21,10 @@ def literal(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def values(rows: list[tuple]) -> str:
     q = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
     return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
@@ -40,9 +47,10 @@ LIMITS = {"news": 5, "paparazzi": 15, "fan_wars": 20}
 
 @P.query(f"WITH {ITEMS}, r AS (SELECT seq, source, row_number() OVER (PARTITION BY source ORDER BY seq) AS k FROM items_v) SELECT seq, source FROM r WHERE k <= CASE source WHEN 'news' THEN 5 WHEN 'paparazzi' THEN 15 ELSE 20 END")
 def per_source_limit(spark, d):
-    most = F.when(F.col("source") == "news", 5).when(F.col("source") == "paparazzi", 15).otherwise(20)
-    r = items(spark, d).select("seq", "source", F.row_number().over(W.partitionBy("source").orderBy("seq")).alias("k"))
-    return r.where(F.col("k") <= most).select("seq", "source")
+    i = items(spark, d).select("seq", "source")
+    # Each source's top rows are cut in every task before they meet.
+    top = [i.where(F.col("source") == s).orderBy("seq").limit(n) for s, n in LIMITS.items()]
+    return top[0].unionByName(top[1]).unionByName(top[2])
 
 
 @P.query(f"WITH {NEWS} SELECT title, min(news_id) AS position, arg_max(panic_score, news_id) AS panic_score FROM news_v GROUP BY title")
@@ -87,11 +95,11 @@ def sentiment_band(spark, d):
 
 
 # Mentions: pages from the web, conversation turns from social media.
-MENTIONS = "m AS (SELECT 'web' AS source, page_id AS id, url, '' AS author, coalesce(url, '') || ' - ' || substr(html, 1, 80) AS content, length(html) AS n FROM pages UNION ALL SELECT 'twitter', conv_id * 1000 + turn, '', role, text, length(text) FROM conversations)"
+MENTIONS = "m AS (SELECT 'web' AS source, page_id AS id, url, '' AS author, coalesce(url, '') || ' - ' || coalesce(html, '') AS content, length(html) AS n FROM pages UNION ALL SELECT 'twitter', conv_id * 1000 + turn, '', role, text, length(text) FROM conversations)"
 
 
 def mentions(spark, d) -> DataFrame:
-    p = table(spark, d, "pages").select(F.lit("web").alias("source"), F.col("page_id").alias("id"), "url", F.lit("").alias("author"), F.concat_ws(" - ", F.coalesce("url", F.lit("")), F.substring("html", 1, 80)).alias("content"), F.length("html").alias("n"))
+    p = table(spark, d, "pages").select(F.lit("web").alias("source"), F.col("page_id").alias("id"), "url", F.lit("").alias("author"), F.concat_ws(" - ", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("content"), F.length("html").alias("n"))
     c = table(spark, d, "conversations").select(F.lit("twitter").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("").alias("url"), F.col("role").alias("author"), F.col("text").alias("content"), F.length("text").alias("n"))
     return p.unionByName(c)
 
@@ -110,8 +118,8 @@ def mentions_exclude_author(spark, d):
 @P.query(f"WITH {MENTIONS}, t AS (SELECT source, id, substr(coalesce(nullif(content, ''), nullif(url, ''), author), 1, 200) AS text FROM m) SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY id, text) || '. [' || source || '] ' || text AS line FROM t")
 def mention_text(spark, d):
     t = mentions(spark, d).select("source", "id", F.substring(F.coalesce(not_empty("content"), not_empty("url"), F.col("author")), 1, 200).alias("text"))
-    k = F.row_number().over(W.partitionBy("source").orderBy("id", "text"))
-    return t.select("id", "source", F.concat(k.cast("string"), F.lit(". ["), "source", F.lit("] "), "text").alias("line"))
+    n = numbered(t, ["source"], ["id", "text"], "k")
+    return n.select("id", "source", F.concat(F.col("k").cast("string"), F.lit(". ["), "source", F.lit("] "), "text").alias("line"))
 
 
 RISK = "CASE WHEN n % 7 = 0 THEN 'HIGH' WHEN n % 5 = 0 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -178,9 +186,9 @@ def movie_slug(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")).alias("slug"))
 
 
-@P.query("SELECT p_partkey AS id, replace(p_name, ' ', '+') AS encoded FROM part WHERE regexp_full_match(p_name, '[A-Za-z0-9 ]*')")
+@P.query("SELECT p_partkey AS id, replace(replace(replace(url_encode(p_name), '%20', '+'), '~', '%7E'), '%2A', '*') AS encoded FROM part")
 def keyword_encode(spark, d):
-    p = table(spark, d, "part").where(F.rlike("p_name", F.lit("^[A-Za-z0-9 ]*$")))
+    p = table(spark, d, "part")
     return p.select(F.col("p_partkey").alias("id"), F.url_encode("p_name").alias("encoded"))
 
 
@@ -216,25 +224,52 @@ def html_block_strip(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), strip_block(strip_block("html", "nav"), "footer").alias("html"))
 
 
-@P.query("SELECT doc_id AS id, text FROM documents")
+SPOILT = "|".join(bad for bad, _ in MOJIBAKE)
+MENDED = functools.reduce(lambda x, p: f"replace({x}, {quoted(p[0])}, {quoted(p[1])})", MOJIBAKE, f"concat(text, {quoted(SPOILT)})")
+
+
+@P.query(f"SELECT doc_id AS id, {MENDED} AS text FROM documents")
 def mojibake_fix(spark, d):
-    """Texts spoilt in one known way and mended again."""
-    spoilt = F.concat("text", F.lit("â€™"))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.rtrim(fix(spoilt), F.lit("’")).alias("text"))
+    """Texts with every known wrong sequence behind them, mended."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), fix(F.concat("text", F.lit(SPOILT))).alias("text"))
+
+
+@P.query(f"SELECT event_id AS id, {K} AS by_slice, {K} AS by_split FROM events")
+def fence_variants(spark, d):
+    fenced, amid = F.concat(F.lit("```json"), "props", F.lit("```")), F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone."))
+    k = lambda x: F.from_json(x, "k int")["k"]
+    return events(spark, d).select(F.col("event_id").alias("id"), k(fence_slice(fenced)).alias("by_slice"), k(fence_split(amid)).alias("by_split"))
+
+
+@P.query("SELECT doc_id AS id, substr(text, 1, 1000) AS long, substr(text, 1, 500) AS short FROM documents")
+def explanation_cut(spark, d):
+    t = F.col("text").cast("string")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(t, 1, 1000).alias("long"), F.substring(t, 1, 500).alias("short"))
+
+
+@P.query("SELECT event_id AS id, upper(event_type) AS ticker, event_type AS key FROM events")
+def input_clean(spark, d):
+    """Tickers as typed, and keys with the quotes of a settings file round them."""
+    e = events(spark, d)
+    typed, quoted_ = F.concat(F.lit("  "), "event_type", F.lit(" ")), F.concat(F.lit("'\""), "event_type", F.lit("\"'"))
+    return e.select(F.col("event_id").alias("id"), F.upper(F.trim(typed)).alias("ticker"), F.btrim(quoted_, F.lit("\"'")).alias("key"))
 
 
 FEED = [
     (1, "<rss><channel><item><title> Storm hits coast </title><link> http://a.example/1 </link></item><item><title></title><link>http://a.example/2</link></item></channel></rss>"),
     (2, "<rss><channel><item><title>Bank denies rumour</title><link>http://b.example/9</link></item><item><title>Second</title><link>http://b.example/8</link></item></channel></rss>"),
     (3, "<rss><channel></channel></rss>"),
+    (4, "<rss><channel><item><title>No link here</title></item><item><title>Own link</title><link>http://d.example/2</link></item></channel></rss>"),
+    (5, "no feed at all"),
 ]
-PARSED = [(1, 0, "Storm hits coast", "http://a.example/1"), (2, 0, "Bank denies rumour", "http://b.example/9"), (2, 1, "Second", "http://b.example/8")]
+PARSED = [(1, 0, "Storm hits coast", "http://a.example/1"), (2, 0, "Bank denies rumour", "http://b.example/9"), (2, 1, "Second", "http://b.example/8"), (4, 0, "No link here", ""), (4, 1, "Own link", "http://d.example/2")]
 
 
 def rss_items(xml: Column, most: int) -> Column:
-    titles, links = F.xpath(xml, F.lit("//item/title/text()")), F.xpath(xml, F.lit("//item[normalize-space(title)]/link/text()"))
-    pairs = F.arrays_zip(F.filter(F.transform(titles, lambda t: F.trim(t)), lambda t: t != "").alias("title"), F.transform(links, lambda t: F.trim(t)).alias("link"))
-    return F.slice(pairs, 1, most)
+    """The first items with a title: title and link of each, an empty link where it has none; no items where the document cannot be read."""
+    i = F.from_xml(xml, "channel struct<item: array<struct<title: string, link: string>>>")["channel"]["item"]
+    told = F.filter(F.coalesce(i, F.array().cast("array<struct<title: string, link: string>>")), lambda x: F.coalesce(x["title"], F.lit("")) != "")
+    return F.slice(F.transform(told, lambda x: F.struct(F.trim(x["title"]).alias("title"), F.trim(F.coalesce(x["link"], F.lit(""))).alias("link"))), 1, most)
 
 
 @P.query(f"SELECT * FROM (VALUES {values(PARSED)}) t(feed, pos, title, link)")

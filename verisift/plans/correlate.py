@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.operators.intervals import interval_join
+from verisift.operators.intervals import asof_within, interval_join
 from verisift.operators.merge import merge_update
 from verisift.plans.base import Plan
-from verisift.plans.market import STATS, STATUS, stats, status
+from verisift.plans.market import STATS, STATUS, TREND, TREND_LOSS, stats, status, trend
 from verisift.sources.views import NEWS, PRICES, events, news, prices
 
 P = Plan()
@@ -32,14 +32,18 @@ def candidates(spark, d) -> DataFrame:
 
 def guns(spark, d) -> DataFrame:
     """The latest article before each crash; of equal ones the least id."""
-    pick = F.min_by(F.struct("news_id", "latency_us", "panic_score", "title"), F.struct("latency_us", "news_id"))
-    g = candidates(spark, d).groupBy("crash_id", "crash_ticker", "crash_ts").agg(pick.alias("g"), F.count(F.lit(1)).alias("total_candidates"))
-    return g.select("crash_id", "crash_ticker", "crash_ts", "g.*", "total_candidates")
+    n = news(spark, d).select("news_id", "published", "panic_score", "title")
+    g = asof_within(crashes(spark, d), n, "crash_ts", "published", "news_id", MINUTES, "total_candidates")
+    return g.select("crash_id", "crash_ticker", "crash_ts", "news_id", "latency_us", "panic_score", "title", "total_candidates")
 
 
-def scored(spark, d) -> DataFrame:
+def score(g: DataFrame) -> DataFrame:
     near = F.greatest(F.lit(0.0), 100 - 3 * (F.col("latency_us").cast("double") / 60_000_000))
-    return guns(spark, d).withColumn("correlation_confidence", (F.lit(0.6) * near + F.lit(0.4) * F.col("panic_score")).cast("int"))
+    return g.withColumn("correlation_confidence", (F.lit(0.6) * near + F.lit(0.4) * F.col("panic_score")).cast("int"))
+
+
+def scored(spark, d) -> DataFrame:
+    return score(guns(spark, d))
 
 
 @P.query(f"WITH {NEWS}, {CAND} SELECT crash_id, news_id, latency_us FROM cand")
@@ -84,6 +88,37 @@ def warroom(spark, d):
     return gated(spark, d).where("status = 'ATTACK'").select("crash_id", "ticker", "z_score", F.abs("z_score").alias("severity"), "news_id", "latency_us", "correlation_confidence")
 
 
+ARCHIVE = f"""{FULL}, {TREND}, x AS (SELECT st.*, g.title, g.panic_score FROM st JOIN gun g USING (crash_id) WHERE status = 'ATTACK')
+SELECT concat(ticker::VARCHAR, '_', strftime(crash_ts, '%Y%m%d_%H%M%S')) AS event_id, ticker, crash_ts AS crash_timestamp, round(z.latest, 4) AS current_price, t.projected_loss, z_score, title AS smoking_gun_headline, '' AS smoking_gun_link,
+  panic_score, correlation_confidence, round(latency_us::DOUBLE / 60000000, 2) AS latency_minutes, NULL::VARCHAR AS responses, false AS response_deployed FROM x JOIN z USING (ticker) LEFT JOIN (SELECT ticker, {TREND_LOSS} AS projected_loss FROM f) t USING (ticker)"""
+
+
+def archived(guns_: DataFrame, spark, d) -> DataFrame:
+    """The attack packages of crashes and their articles: those that pass all gates, with the archive's thirteen columns. responses come from a model and are null."""
+    z = stats(prices(spark, d)).select("ticker", "z", F.round("latest", 4).alias("current_price"))
+    j = score(guns_).withColumnRenamed("crash_ticker", "ticker").join(z, "ticker").where((status(F.col("z")) == "SIGMA_EVENT") & (F.col("correlation_confidence") >= GATE))
+    j = j.join(trend(spark, d).select("ticker", "projected_loss"), "ticker", "left")
+    key = F.concat(F.col("ticker").cast("string"), F.lit("_"), F.date_format("crash_ts", "yyyyMMdd_HHmmss"))
+    return j.select(
+        key.alias("event_id"), "ticker", F.col("crash_ts").alias("crash_timestamp"), "current_price", "projected_loss", F.round("z", 4).alias("z_score"), F.col("title").alias("smoking_gun_headline"), F.lit("").alias("smoking_gun_link"),
+        "panic_score", "correlation_confidence", F.round(F.col("latency_us").cast("double") / 60_000_000, 2).alias("latency_minutes"), F.lit(None).cast("string").alias("responses"), F.lit(False).alias("response_deployed"),
+    )
+
+
+@P.query(f"WITH {ARCHIVE}")
+def threat_archive(spark, d):
+    return archived(guns(spark, d), spark, d)
+
+
+@P.query("""WITH a AS (SELECT event_id AS news_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'n/a' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS published FROM events)
+SELECT news_id, try_strptime(published, '%Y-%m-%dT%H:%M:%S') AS published FROM a WHERE try_strptime(published, '%Y-%m-%dT%H:%M:%S') IS NOT NULL""")
+def news_timestamps(spark, d):
+    """Articles whose time is missing or cannot be read are left out."""
+    raw = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    e = events(spark, d).select(F.col("event_id").alias("news_id"), F.try_to_timestamp(raw, F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("published"))
+    return e.where("published IS NOT NULL")
+
+
 @P.query("SELECT event_id AS id, concat(user_id::VARCHAR, '_', strftime(ts, '%Y%m%d_%H%M%S')) AS event_id FROM events WHERE event_type = 'error'")
 def event_id(spark, d):
     e = events(spark, d).where("event_type = 'error'")
@@ -122,5 +157,5 @@ def deploy_measure(spark, d):
 
 @P.query(f"WITH {NEWS}, {CAND}, {GUN}, {ASK} SELECT ask_id, threat_id, 404 AS code FROM ask WHERE threat_id NOT IN (SELECT crash_id FROM gun)")
 def deploy_rejects(spark, d):
-    threats = candidates(spark, d).select(F.col("crash_id").alias("threat_id"))
+    threats = guns(spark, d).select(F.col("crash_id").alias("threat_id"))
     return asks(spark, d).join(threats, "threat_id", "left_anti").select("ask_id", "threat_id", F.lit(404).alias("code"))

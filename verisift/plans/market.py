@@ -39,9 +39,13 @@ def volatility_status(spark, d):
     return stats(prices(spark, d)).select("ticker", status(F.col("z")).alias("volatility_status"))
 
 
-@P.query(f"""WITH {PRICES}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, seq DESC) AS k FROM prices_v), l AS (SELECT ticker, close, k, max(k) OVER (PARTITION BY ticker) AS n FROM r WHERE k <= 10),
-f AS (SELECT ticker, regr_slope(close, (n - k)::DOUBLE) AS a, regr_intercept(close, (n - k)::DOUBLE) AS b, max(n) AS n, arg_min(close, k) AS latest FROM l GROUP BY ticker HAVING count(*) >= 2)
-SELECT ticker, round(a, 6) AS slope, round(a * (n + 12) + b, 4) AS projected_price_1hr, round((a * (n + 12) + b - latest) / latest * 100, 4) AS projected_loss, CASE WHEN a < -0.1 THEN 'DOWN' WHEN a > 0.1 THEN 'UP' ELSE 'SIDEWAYS' END AS trend FROM f""")
+TREND = """r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, seq DESC) AS k FROM prices_v), l AS (SELECT ticker, close, k, max(k) OVER (PARTITION BY ticker) AS n FROM r WHERE k <= 10),
+f AS (SELECT ticker, regr_slope(close, (n - k)::DOUBLE) AS a, regr_intercept(close, (n - k)::DOUBLE) AS b, max(n) AS n, arg_min(close, k) AS latest FROM l GROUP BY ticker HAVING count(*) >= 2)"""
+TREND_LOSS = "round((a * (n + 12) + b - latest) / latest * 100, 4)"
+
+
+@P.query(f"""WITH {PRICES}, {TREND}
+SELECT ticker, round(a, 6) AS slope, round(a * (n + 12) + b, 4) AS projected_price_1hr, {TREND_LOSS} AS projected_loss, CASE WHEN a < -0.1 THEN 'DOWN' WHEN a > 0.1 THEN 'UP' ELSE 'SIDEWAYS' END AS trend FROM f""")
 def trend(spark, d):
     w = W.partitionBy("ticker").orderBy(F.desc("ts"), F.desc("seq"))
     last = prices(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 10")
@@ -66,9 +70,8 @@ LAST2 = "l AS (SELECT ticker, close, lag(close) OVER (PARTITION BY ticker ORDER
 
 
 def previous(spark, d) -> DataFrame:
-    w = W.partitionBy("ticker").orderBy("ts", "seq")
     back = W.partitionBy("ticker").orderBy(F.desc("ts"), F.desc("seq"))
-    return prices(spark, d).select("ticker", "close", F.lag("close").over(w).alias("prev"), F.row_number().over(back).alias("k")).where("k = 1")
+    return prices(spark, d).select("ticker", "close", F.lead("close").over(back).alias("prev"), F.row_number().over(back).alias("k")).where("k = 1")
 
 
 @P.query(f"WITH {PRICES}, {LAST2} SELECT ticker, round(close, 4) AS last_close, round((close - prev) / prev * 100, 4) AS change_percent FROM l WHERE k = 1 AND prev <> 0")
@@ -106,8 +109,8 @@ def recovery(spark, d):
 @P.query(f"WITH {MEASURES} SELECT id, ticker FROM measures_v WHERE deployed_at >= (SELECT max(deployed_at) FROM measures_v) - INTERVAL 2 HOURS")
 def recent_measures(spark, d):
     m = measures(spark, d)
-    anchor = m.agg(F.max("deployed_at").alias("anchor"))
-    return m.join(F.broadcast(anchor), F.col("deployed_at") >= F.expr("anchor - INTERVAL 2 HOURS")).select("id", "ticker")
+    since = m.agg(F.max("deployed_at") - F.expr("INTERVAL 2 HOURS")).scalar()
+    return m.where(F.col("deployed_at") >= since).select("id", "ticker")
 
 
 @P.query("SELECT user_id AS ticker, count(value) AS n_closes, round(sum(value), 2) AS total FROM events GROUP BY user_id")
