@@ -10,7 +10,3 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in the order of a seeded hash of key: a uniform sample that reruns agree on. n <= 0 gives none."""
     h = F.sha2(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")), 256)
     return df.orderBy(h, key).limit(max(0, n))
-
-
-def random_sample(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(max(0, n))

@@ -9,7 +9,9 @@ from verisift.functions.text import claim_hash as hashed
 from verisift.functions.text import hash_sql, normalize, normalize_sql, not_empty
 from verisift.operators.merge import first_of, merge_update
 from verisift.operators.sampling import hash_sample
+from verisift.operators.staging import fresh
 from verisift.plans.base import Plan
+from verisift.sources.datasets import csv_scan, csv_sink
 from verisift.sources.views import CLAIMS, EVIDENCE, claims, events, evidence, table
 
 P = Plan()
@@ -277,6 +279,14 @@ def dataset_scan(spark, d):
     return dataset(spark, d).dropna(subset=["title"]).select("seq", F.col("title").alias("claim"), F.coalesce("label", F.lit(0)).cast("int").alias("label"))
 
 
+@P.query(f"WITH {DATA} SELECT title AS claim, coalesce(label, 0)::INT AS label FROM data WHERE title IS NOT NULL")
+def dataset_scan_csv(spark, d):
+    """The labelled table written as CSV and read back, with line ends and quotes in its texts."""
+    path = fresh(spark, "dataset-csv")
+    csv_sink(dataset(spark, d).select("title", "label"), path)
+    return csv_scan(spark, path)
+
+
 @P.query(f"WITH {DATA} SELECT seq, CASE WHEN coalesce(label, 0) = 1 THEN 'True' ELSE 'False' END AS verdict FROM data")
 def dataset_label(spark, d):
     return dataset(spark, d).select("seq", F.when(F.coalesce("label", F.lit(0)) == 1, "True").otherwise("False").alias("verdict"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,19 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.functions.text import claim_hash
+from verisift.operators.staging import fresh
+from verisift.plans import correlate
 from verisift.plans.base import Plan
 from verisift.plans.content import FEED, rss_items
+from verisift.sources.views import k_of
 
 P = Plan()
 #: Lateness that the windows' state waits for, and the horizon of the correlation in minutes.
 LATE, HORIZON = "10 minutes", 30
 
 
-def shared(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-
-
 def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     path = f"{d}/{name}.parquet"
     schema = spark.read.parquet(path).schema
@@ -36,11 +32,18 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def finish(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs to the end of the input; what was emitted lies in the shared folder. Under "update" a row of a later batch replaces
+    earlier ones, which the caller settles by the column batch."""
     spark = df.sparkSession
-    name = f"s_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out, marks = fresh(spark, "stream"), fresh(spark, "stream-state")
+    schema = df.schema
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
+    if mode == "append":
+        w.format("parquet").start(out).awaitTermination()
+        return spark.read.schema(schema).parquet(out)
+    # A batch that is run again replaces itself.
+    w.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{out}/batch={number}")).start().awaitTermination()
+    return spark.read.schema(schema.add("batch", "long")).parquet(out)
 
 
 @P.query()
@@ -49,12 +52,18 @@ def s_claim_dedup(spark, d):
     return finish(stream(spark, d, "documents").select(claim_hash("text").alias("claim_hash")).dropDuplicates(["claim_hash"]))
 
 
+def surveyed(e: DataFrame, late: str | None = LATE) -> DataFrame:
+    """Population statistics of each ticker in windows of five minutes. late: how long a window's state waits; None for the files of a
+    table, which come in any order."""
+    e = e.withWatermark("ts", late) if late else e
+    a = e.groupBy(F.window("ts", "5 minutes").alias("w"), F.col("user_id").alias("ticker")).agg(F.avg(1000 - F.col("value")).alias("mean"), F.stddev_pop(1000 - F.col("value")).alias("std_dev"), F.count(F.lit(1)).alias("n"))
+    return a.select("ticker", F.col("w.start").alias("start"), F.round("mean", 4).alias("mean"), F.round("std_dev", 4).alias("std_dev"), "n")
+
+
 @P.query()
 def s_surveillance(spark, d):
-    """Population statistics of each ticker in windows of five minutes."""
-    w = event_stream(spark, d).withWatermark("ts", LATE).groupBy(F.window("ts", "5 minutes").alias("w"), F.col("user_id").alias("ticker"))
-    a = w.agg(F.avg(1000 - F.col("value")).alias("mean"), F.stddev_pop(1000 - F.col("value")).alias("std_dev"), F.count(F.lit(1)).alias("n"))
-    return finish(a, "complete").select("ticker", F.col("w.start").alias("start"), F.round("mean", 4).alias("mean"), F.round("std_dev", 4).alias("std_dev"), "n")
+    rows = finish(surveyed(event_stream(spark, d), None), "update")
+    return rows.groupBy("ticker", "start").agg(*[F.max_by(c, "batch").alias(c) for c in ("mean", "std_dev", "n")])
 
 
 def correlated(spark: SparkSession, d: str) -> DataFrame:
@@ -62,42 +71,54 @@ def correlated(spark: SparkSession, d: str) -> DataFrame:
     state holds both sides until the run ends."""
     e = event_stream(spark, d)
     width = HORIZON * 60
-    crash = e.where("event_type = 'error'").select(F.col("event_id").alias("crash_id"), F.col("ts").alias("crash_ts"))
+    crash = e.where("event_type = 'error'").select(F.col("event_id").alias("crash_id"), F.col("user_id").alias("crash_ticker"), F.col("ts").alias("crash_ts"))
     crash = crash.withColumn("b", F.explode(F.array(*[F.floor(F.unix_seconds("crash_ts") / width) - k for k in (0, 1)])))
-    art = e.where("event_type <> 'error'").select(F.col("event_id").alias("news_id"), F.col("ts").alias("published"))
+    title = F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"))
+    art = e.where("event_type <> 'error'").select(F.col("event_id").alias("news_id"), F.col("ts").alias("published"), k_of().alias("panic_score"), title.alias("title"))
     art = art.withColumn("nb", F.floor(F.unix_seconds("published") / width))
     near = (F.col("b") == F.col("nb")) & (F.col("published") < F.col("crash_ts")) & (F.col("published") >= F.col("crash_ts") - F.expr(f"INTERVAL {HORIZON} MINUTES"))
-    return crash.join(art, near).select("crash_id", "news_id")
+    us = F.unix_micros("crash_ts") - F.unix_micros("published")
+    return crash.join(art, near).select("crash_id", "crash_ticker", "crash_ts", "news_id", us.alias("latency_us"), "panic_score", "title")
 
 
 @P.query()
 def s_correlate(spark, d):
-    return finish(correlated(spark, d))
+    return finish(correlated(spark, d).select("crash_id", "news_id"))
+
+
+def _best(rows: DataFrame, count) -> DataFrame:
+    pick = F.min_by(F.struct("news_id", "latency_us", "panic_score", "title"), F.struct("latency_us", "news_id"))
+    g = rows.groupBy("crash_id", "crash_ticker", "crash_ts").agg(pick.alias("g"), count.alias("total_candidates"))
+    return g.select("crash_id", "crash_ticker", "crash_ts", "g.*", "total_candidates")
 
 
 @P.query()
 def s_warroom(spark, d):
-    """Candidates archived batch by batch: each batch adds one row for each of its crashes to the archive."""
-    folder = f"{shared(spark)}/archive-{uuid.uuid4().hex}"
-    schema = "crash_id long, news_id long, n_candidates long"
+    """Attack packages archived from the stream: each batch keeps the nearest article of each of its crashes; the nearest of all batches goes
+    through the gates, and the archive has the thirteen columns of threat_archive."""
+    pairs = correlated(spark, d)
+    folder = fresh(spark, "archive")
+    kind = _best(spark.createDataFrame([], pairs.schema), F.count(F.lit(1))).schema
 
-    def archive(batch: DataFrame, number: int) -> None:
-        best = batch.groupBy("crash_id").agg(F.max("news_id").alias("news_id"), F.count(F.lit(1)).alias("n_candidates"))
-        best.write.mode("overwrite").parquet(f"{folder}/batch={number}")  # a batch that is run again replaces itself
+    def keep(batch: DataFrame, number: int) -> None:
+        _best(batch, F.count(F.lit(1))).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    correlated(spark, d).writeStream.foreachBatch(archive).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema(schema).parquet(folder)
-    return out.groupBy("crash_id").agg(F.max("news_id").alias("news_id"), F.sum("n_candidates").alias("n_candidates"))
+    pairs.writeStream.option("checkpointLocation", fresh(spark, "archive-state")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return correlate.archived(_best(spark.read.schema(kind).parquet(folder), F.sum("total_candidates")), spark, d)
 
 
 @P.query()
 def s_rss_ingest(spark, d):
     """Feeds land as text, one document a line: items, hashes, and the first of each hash."""
-    folder = f"{shared(spark)}/feeds-{uuid.uuid4().hex}"
+    folder = fresh(spark, "feeds")
     spark.createDataFrame(FEED, "feed int, value string").select("value").write.text(folder)
-    raw = spark.readStream.text(folder)
+    return finish(ingested(spark.readStream.text(folder)))
+
+
+def ingested(raw: DataFrame) -> DataFrame:
+    """New items of landed feeds (value: a document). For a live folder start it with a trigger of 900 seconds."""
     items = raw.select(F.explode(rss_items(F.col("value"), 5)).alias("x")).select(F.col("x")["title"].alias("title"), F.col("x")["link"].alias("link"))
-    return finish(items.withColumn("claim_hash", claim_hash("title")).dropDuplicates(["claim_hash"]))
+    return items.withColumn("claim_hash", claim_hash("title")).dropDuplicates(["claim_hash"])
 
 
 STEPS = {"signup": "pending", "view": "in_progress", "click": "in_progress", "purchase": "completed", "error": "failed"}
