@@ -1,6 +1,7 @@
 """Quality rules, mixing, licences and shards: SQL twins and edge cases."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def test_store(spark):
     assert not store.plan(store.manifest()["runs"])
     with pytest.raises(sharding.Conflict):
         store.commit(first, first["runs"], "late")
-    assert store.vacuum() > 0 and store.read().count() == len(EDGES)
+    assert store.vacuum() == 0 and store.vacuum(older_than=0) > 0 and store.read().count() == len(EDGES)
 
 
 def test_fences_follow_their_group(spark):
@@ -142,3 +143,63 @@ def test_verdicts_by_row(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "scored", verdict)
     left = toxicity.reject_toxic(df.withColumn("toxic", F.lit("x")), None)
     assert left.columns == [*df.columns, "toxic"] and sorted(str((x.doc_id, x.text is None)) for x in left.collect()) == ["(1, False)", "(1, True)", "(None, False)"]
+
+
+def test_store_keeps_all_columns(spark):
+    store = sharding.ShardStore(spark, fresh_path(spark, "store"), small=1 << 20, fanout=3)
+    base = docs(spark, EDGES[:3])
+    store.append(base, base.withColumn("extra", F.lit(7)), base.drop("lang").withColumn("Other name", F.lit("x")))
+    for _ in range(2):
+        got = store.read()
+        assert set(got.columns) == {*base.columns, "extra", "Other name"} and got.count() == 9
+        assert got.where("extra = 7").count() == 3 == got.where("`Other name` = 'x'").count() == got.where("source IS NULL").count()
+        store.compact()
+    assert len(store.manifest()["runs"]) == 1
+    with pytest.raises(TypeError):
+        store.append(base.withColumn("extra", F.lit("text")))
+
+
+def test_batches_arrive_in_one_pass(spark):
+    store = sharding.ShardStore(spark, fresh_path(spark, "store"), small=1 << 20, fanout=9)
+    df = docs(spark, EDGES)
+    store.append_batches(df, F.coalesce("doc_id", F.lit(0)) % 4)
+    assert len(store.manifest()["runs"]) == 4 and store.read().columns == df.columns
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, df.collect()))
+    store.append(df)
+    assert store.vacuum(older_than=0) == 0 and store.read().count() == 2 * len(EDGES)
+    assert store.append_batches(df.limit(0), F.lit(1))["version"] == store.manifest()["version"]
+
+
+def test_two_writers(spark):
+    root = fresh_path(spark, "store")
+
+    def write(k):
+        store, lost = sharding.ShardStore(spark, root), 0
+        for i in range(4):
+            while True:
+                try:
+                    store.append(docs(spark, [(100 * k + i, "some text", "en", "a")]))
+                    break
+                except sharding.Conflict:
+                    lost += 1
+        return lost
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, (1, 2)))
+    store = sharding.ShardStore(spark, root)
+    assert sorted(r.doc_id for r in store.read().collect()) == [100, 101, 102, 103, 200, 201, 202, 203] and store.manifest()["version"] == 8
+
+
+def test_licence_lines_of_the_given_documents(spark):
+    """All lines that name a licence, found by their words and not by the catalogue."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lines = {r"MIT License": "MIT", r"Apache License": "Apache-2.0", r"GNU General Public License, version 3": "GPL-3.0", r"CC BY-NC 4\\.0": "CC-BY-NC-4.0"}
+    want = [(r.doc_id, name) for words, name in lines.items() for r in d.where(F.rlike("text", F.lit(rf"(?m)^.*{words}.*$".replace("\\\\", "\\")))).select("doc_id").collect()]
+    got = {r.doc_id: r.notices.split(",") for r in licenses.scan(d).where("notices <> ''").collect()}
+    assert len(want) == 262 and all(name in got[i] for i, name in want)
+
+
+def test_copyright_lines_and_prose(spark):
+    rows = spark.createDataFrame([("Copyright law is a matter\nof states",), ("Copyright (c) 2020 A\nof states",), ("Copyright 2020, B\nof states",), ("(c) you must keep it\nof states",), ("All rights reserved.\nof states",)], "t string")
+    got = [r.c for r in rows.select(licenses.canonical(F.col("t")).alias("c")).collect()]
+    assert got == ["copyright law is a matter of states", "of states", "of states", "c you must keep it of states", "of states"]

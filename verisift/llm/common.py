@@ -23,14 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (a local
-    session, as in tests) is a folder chosen here.
+    A cluster names it in spark.checkpoint.dir, and has to. Only in a local session, as in
+    tests, is a folder chosen where that is unset.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/verisift-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/verisift-shared"
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -79,6 +79,21 @@ TEXTS = {
 }
 TEXTS["MIT"].append("SPDX-License-Identifier: MIT")
 
+#: Licence -> the names that one-line notices call it by.
+NAMES = {
+    "MIT": ["the MIT License", "the MIT license"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "Apache-2.0"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU GPL, version 2", "GPL v2"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU GPL, version 3", "GPL v3"],
+    "LGPL-3.0": ["the GNU Lesser General Public License, version 3"],
+    "AGPL-3.0": ["the GNU Affero General Public License, version 3"],
+    "MPL-2.0": ["the Mozilla Public License, version 2.0"],
+} | {f"CC-{k}-{v}": [f"CC {k} {v}"] for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("3.0", "4.0")}
+#: How one-line notices begin.
+BEGINNINGS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This work is released under", "This software is licensed under", "This file is licensed under")
+for _license, _names in NAMES.items():
+    TEXTS.setdefault(_license, []).extend(f"{b} {n}." for b in BEGINNINGS for n in _names)
+
 #: Licence -> file of its whole text. Where a text does not say so, its name leaves open whether later versions count.
 FILES = {
     "Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2",

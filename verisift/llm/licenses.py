@@ -6,8 +6,9 @@ licence texts; a text's lines and paragraphs are texts of their own, so that a n
 the same join. So are runs of as many paragraphs as a known text has; they are hashed where the first paragraph is that of
 a known text. The known digests come from the same expressions and are a few dozen rows.
 
-SQL knows the texts of TEXTS alone, and their lines and single paragraphs: it agrees where no text of license_files and no licence of
-several paragraphs stands in a document.
+A notice is looked up in the catalogue's digests where its document stands, as a literal of the plan, so that no document is
+shuffled; whole texts go through the join. SQL knows the texts of TEXTS alone, and their lines and single paragraphs: it agrees where no
+text of license_files and no licence of several paragraphs stands in a document.
 
 Edge cases: null and empty texts have the digest of the empty form and match nothing; repeated rows are
 scanned one by one; an empty table gives an empty result; columns other than doc_id and text are not read.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from verisift.llm.common import table
 from verisift.llm.license_texts import TEXTS, whole_texts
 
-#: Lines that say who holds the copyright.
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright( \(c\)| ©)?|©|\(c\)|all rights reserved)[^\n]*$"
+#: Lines that say who holds the copyright: with a sign, a year or "by", so that prose on copyright stays.
+COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright *(\(c\)|©|by )|copyright[^a-z0-9\n]*([0-9]{4}|year|yyyy|<|\[)|(©|\(c\)) *[0-9]{4}|all rights reserved)[^\n]*$"
 #: Equivalent spellings, in the canonical form with blanks around words.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("https", "http"), ("noninfringement", "non infringement"),

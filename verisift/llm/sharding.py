@@ -4,19 +4,23 @@ A store is a folder of immutable runs and of versioned manifests. Arrivals are a
 looks at the manifest alone: runs are put into tiers by size, each tier a few times larger than the one below; a tier
 that holds enough runs is merged into one run, written as files of the target size. Every change
 writes its files first and then the next manifest, whose creation fails if another writer was faster; readers see the
-old or the new version and nothing between. Runs that no manifest names are swept by `vacuum`.
+old or the new version and nothing between. That asks for a store whose rename fails where the target exists, such as HDFS and local
+file systems; an object store without it needs one writer at a time. A manifest holds each run's schema, and a version reads as the union of its runs'
+columns, null where a run lacks one. Runs that no manifest names are swept by `vacuum` once they are old enough to belong to no writer at work.
 
 Edge cases: an empty arrival makes no run; null texts have size 0; repeated rows are stored as often as they come; all
-columns are kept as they are (the store's own file number is not one of them); an empty store reads as no rows.
+columns are kept as they are, whatever their names; a column that comes with another type is refused; an empty store reads as no rows.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from verisift.llm.common import _fs, fresh_path, table
 
@@ -27,6 +31,19 @@ TARGET = 128 << 20
 SMALL = 1 << 20
 
 
+#: Seconds for which an uncommitted run may be the work of another writer.
+YOUNG = 86_400.0
+
+
+def _stats() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")]
+
+
+def _listed(spark: SparkSession, path: str) -> list:
+    fs, p = _fs(spark, path)
+    return list(fs.listStatus(p)) if fs.exists(p) else []
+
+
 class Conflict(RuntimeError):
     """Another writer committed this version."""
 
@@ -54,6 +71,7 @@ class ShardStore:
         """Write the manifest after base. The name of a version can be taken once: the rename of a finished
         file onto it fails if it exists, so half a manifest is never seen."""
         new = {"version": base["version"] + 1, "note": note, "runs": runs}
+        self.schema(runs)
         fs, path = _fs(self.spark, f"{self.root}/manifests/v{new['version']:012d}.json")
         _, draft = _fs(self.spark, f"{self.root}/manifests/.{uuid.uuid4().hex}")
         fs.mkdirs(path.getParent())
@@ -65,18 +83,30 @@ class ShardStore:
             raise Conflict(f"version {new['version']} exists")
         return new
 
+    @staticmethod
+    def schema(runs: list[dict]) -> StructType:
+        """All columns of the runs, in the order in which they first came."""
+        fields: dict[str, StructField] = {}
+        for r in runs:
+            for f in StructType.fromJson(json.loads(r["schema"])).fields:
+                had = fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+                if had.dataType != f.dataType:
+                    raise TypeError(f"column {f.name} is {had.dataType.simpleString()} and {f.dataType.simpleString()}")
+        return StructType(list(fields.values()))
+
     # Runs.
     def _write(self, df: DataFrame, files: int | None, tier_of: str) -> dict | None:
         name = f"{tier_of}-{uuid.uuid4().hex}"
         path = f"{self.root}/runs/{name}"
-        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
         if files is not None:
             df = df.coalesce(files)  # whole inputs side by side: a merge needs no shuffle
         df.write.parquet(path)
-        got = self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-        if not got["n"]:
-            return None
-        return {"run": name, "rows": got["n"], "bytes": got["b"], "lo": got["lo"], "hi": got["hi"]}
+        got = self.spark.read.schema(df.schema).parquet(path).agg(*_stats()).first()
+        return self._run(name, df.schema, got) if got["n"] else None
+
+    @staticmethod
+    def _run(name: str, schema: StructType, got) -> dict:
+        return {"run": name, "rows": got["n"], "bytes": got["b"], "lo": got["lo"], "hi": got["hi"], "schema": schema.json()}
 
     def append(self, *arrivals: DataFrame) -> dict:
         """Store each arrival as a run of its own; one commit for all of them."""
@@ -84,6 +114,16 @@ class ShardStore:
         made = [r for df in arrivals if (r := self._write(df, None, "arrival"))]
         return self.commit(base, base["runs"] + made, f"append {len(made)}") if made else base
 
+    def append_batches(self, df: DataFrame, batch: Column) -> dict:
+        """Store the rows of each value of batch as a run of its own, all of them written in one pass over df; one commit."""
+        base = self.manifest()
+        name, key = f"arrival-{uuid.uuid4().hex}", f"batch_{uuid.uuid4().hex}"
+        path = f"{self.root}/runs/{name}"
+        df.withColumn(key, batch.cast("string")).write.partitionBy(key).parquet(path)
+        got = self.spark.read.schema(StructType([*df.schema.fields, StructField(key, StringType())])).parquet(path).groupBy(key).agg(*_stats()).orderBy(key).collect()  # a row for each arrival
+        made = [self._run(f"{name}/{key}={r[key]}", df.schema, r) for r in got]
+        return self.commit(base, base["runs"] + made, f"append {len(made)}") if made else base
+
     def tier(self, n_bytes: int) -> int:
         t, edge = 0, self.small
         while n_bytes >= edge:
@@ -98,7 +138,7 @@ class ShardStore:
         return [g[: len(g) // self.fanout * self.fanout] for _, g in sorted(tiers.items()) if len(g) >= self.fanout]
 
     def read_runs(self, runs: list[dict]) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.root}/runs/{r['run']}" for r in runs]) if runs else None
+        return self.spark.read.schema(self.schema(runs)).parquet(*[f"{self.root}/runs/{r['run']}" for r in runs]) if runs else None
 
     def compact(self) -> dict:
         """Merge tiers until none is full. Each merge is one commit."""
@@ -117,11 +157,20 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame | None:
         return self.read_runs(self.manifest(version)["runs"])
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete runs that none of the last versions names; the number of deleted runs."""
+    def vacuum(self, keep_versions: int = 1, older_than: float = YOUNG) -> int:
+        """Delete runs that none of the last versions names and that are older than so many seconds (a writer may be about to commit
+        younger ones); the number of deleted runs."""
         live = {r["run"] for v in self.versions()[-keep_versions:] for r in self.manifest(v)["runs"]}
-        fs, p = _fs(self.spark, f"{self.root}/runs")
-        dead = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in live] if fs.exists(p) else []
+        tops = {r.split("/")[0] for r in live}
+        fs, _ = _fs(self.spark, self.root)
+        dead = []
+        for s in _listed(self.spark, f"{self.root}/runs"):
+            name = s.getPath().getName()
+            if s.getModificationTime() / 1000 > time.time() - older_than or name in live:
+                continue
+            # Arrivals that were written together lie in one folder.
+            inner = [x for x in _listed(self.spark, f"{self.root}/runs/{name}") if x.isDirectory()] if name in tops else [s]
+            dead += [x.getPath() for x in inner if x is s or f"{name}/{x.getPath().getName()}" not in live]
         for d in dead:
             fs.delete(d, True)
         return len(dead)
@@ -137,9 +186,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     store = ShardStore(spark, fresh_path(spark, "shards"))
     batch = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(ARRIVALS))
-    store.append(*[docs.where(batch == k) for k in range(ARRIVALS)])
+    store.append_batches(docs, batch)
     store.compact()
-    store.vacuum()
+    store.vacuum(older_than=0)  # nobody else writes to this store
     out = store.read()
     out = docs.limit(0) if out is None else out
     return out.select("doc_id", "lang", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
