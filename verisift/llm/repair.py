@@ -24,7 +24,7 @@ import numpy as np
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sBIIIQQ")
 #: Buckets of the counting filter in front of the exact counts.
-_BINS = 21
+_BINS = 19
 #: A first round's rules occur at least so often for each million symbols; then half as often from round to round.
 ROUNDS = (2000, 500, 150, 60)
 #: Bytes of a rule: left, right and expansion length.
