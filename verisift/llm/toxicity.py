@@ -80,8 +80,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     h = np.empty((len(a), 1 + len(STEMS)), np.uint64)
     h[:, 0] = span_hashes(sums, a, b)
     for k, n in enumerate(STEMS, 1):
-        # A word as short as the stem has no beginning of its own.
-        h[:, k] = np.where(b - a > n, span_hashes(sums, a, np.minimum(a + n, b)) + np.uint64(n), h[:, 0])
+        # A word as short as the stem has no beginning of its own. The stem's length turns upper bits, which make the slot,
+        # so a whole word and the beginning of a longer one are told apart.
+        stem = span_hashes(sums, a, np.minimum(a + n, b)) ^ np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))
+        h[:, k] = np.where(b - a > n, stem, h[:, 0])
     bounds = np.concatenate([[0], np.searchsorted(a, ends)])
     begin = np.repeat(ends - [len(t) + 1 for t in texts], np.diff(bounds))
     return (h >> np.uint64(64 - BITS)).astype(np.int64), bounds, a - begin, b - begin
