@@ -3,6 +3,7 @@
 import random
 from concurrent.futures import ThreadPoolExecutor
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,18 @@ def test_mixing_edges(spark):
     assert mixing.mix(df.limit(0)).count() == mixing.mixed_rows(df.limit(0)).count() == 0
 
 
+def test_mixing_of_repeated_rows_is_the_sql(spark, tmp_path):
+    # Rows of one id and size are one place in the order, however many they are: none of them is taken, or all.
+    rows = [(i if i % 6 else None, "w " * (i * 13 % 29 + 1), "en", f"s{i % 4}") for i in range(160) for _ in range(i * 7 % 11 + 1)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(mixing.SQL).fetchall()
+    got = mixing.op8_source_mixing(spark, str(tmp_path)).collect()
+    key = lambda xs: sorted((x[0] is None, x[0] or 0, x[1], x[2], round(x[3], 6), x[4]) for x in xs)
+    assert key(got) == key(want)
+
+
 def test_mixing_hits_targets(spark):
     rows = [(i, "w " * (i % 37 + 1), "en", f"s{i % 5}") for i in range(3000)]
     got = mixing.mix(docs(spark, rows)).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.first("source_size").alias("s")).collect()

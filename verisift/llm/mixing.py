@@ -28,7 +28,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)
 CAP = 2
 ROUNDS = 6
-BUCKETS = 8192
+#: Buckets of the histogram of ranks; the one where the words run out is a task's share of a source.
+BUCKETS = 65_536
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -117,9 +118,11 @@ def decisions(docs: DataFrame, weights: tuple = WEIGHTS, share: tuple = SHARE, c
         )
         c = crossing.select(F.col("source").alias("_s"), F.col("x.bucket").alias("at"), F.col("x.before").alias("before"))
         inside = rows.join(small_side(c), F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("at")))
-        run = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "oid", "size").rowsBetween(W.unboundedPreceding, 0))
-        over = inside.select("source", "gap", F.struct("q", "oid", "size").alias("key"), "size", run.alias("run")).where(F.col("run") > F.col("gap"))
-        stop = over.groupBy("source").agg(F.min(F.struct("key", (F.col("run") - F.col("size")).alias("taken"))).alias("m"))
+        # Rows of one place in the order are taken together or not at all, so they are summed before the bucket meets in one task.
+        inside = inside.groupBy("source", "gap", "before", "q", "oid", "size").agg(F.sum("size").alias("words"))
+        run = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("q", "oid", "size").rowsBetween(W.unboundedPreceding, 0))
+        over = inside.select("source", "gap", F.struct("q", "oid", "size").alias("key"), "words", run.alias("run")).where(F.col("run") > F.col("gap"))
+        stop = over.groupBy("source").agg(F.min(F.struct("key", (F.col("run") - F.col("words")).alias("taken"))).alias("m"))
         found = crossing.join(stop.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
             F.col("source").alias("_s"), F.coalesce("m.taken", "all_words").alias("taken"), F.col("m.key").cast(STOP).alias("stop")
         )
