@@ -100,7 +100,7 @@ def archived(guns_: DataFrame, spark, d) -> DataFrame:
     j = j.join(trend(spark, d).select("ticker", "projected_loss"), "ticker", "left")
     key = F.concat(F.col("ticker").cast("string"), F.lit("_"), F.date_format("crash_ts", "yyyyMMdd_HHmmss"))
     return j.select(
-        key.alias("event_id"), "ticker", F.col("crash_ts").alias("crash_timestamp"), "current_price", "projected_loss", F.round("z", 4).alias("z_score"), F.col("title").alias("smoking_gun_headline"), F.lit("").alias("smoking_gun_link"),
+        key.alias("event_id"), "ticker", F.col("crash_ts").cast("timestamp_ntz").alias("crash_timestamp"), "current_price", "projected_loss", F.round("z", 4).alias("z_score"), F.col("title").alias("smoking_gun_headline"), F.lit("").alias("smoking_gun_link"),
         "panic_score", "correlation_confidence", F.round(F.col("latency_us").cast("double") / 60_000_000, 2).alias("latency_minutes"), F.lit(None).cast("string").alias("responses"), F.lit(False).alias("response_deployed"),
     )
 

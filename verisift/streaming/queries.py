@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.functions.text import claim_hash
+from verisift.functions.text import claim_hash, hash_sql
 from verisift.operators.staging import fresh
 from verisift.plans import correlate
 from verisift.plans.base import Plan
-from verisift.plans.content import FEED, rss_items
-from verisift.sources.views import k_of
+from verisift.plans.content import FEED, PARSED, rss_items, values
+from verisift.sources.views import NEWS, k_of
 
 P = Plan()
 #: Lateness that the windows' state waits for, and the horizon of the correlation in minutes.
@@ -46,7 +46,7 @@ def finish(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema.add("batch", "long")).parquet(out)
 
 
-@P.query()
+@P.query(f"SELECT DISTINCT {hash_sql('text')} AS claim_hash FROM documents")
 def s_claim_dedup(spark, d):
     """Exact dedup by hash over the whole stream: state grows with the distinct claims."""
     return finish(stream(spark, d, "documents").select(claim_hash("text").alias("claim_hash")).dropDuplicates(["claim_hash"]))
@@ -60,10 +60,12 @@ def surveyed(e: DataFrame, late: str | None = LATE) -> DataFrame:
     return a.select("ticker", F.col("w.start").alias("start"), F.round("mean", 4).alias("mean"), F.round("std_dev", 4).alias("std_dev"), "n")
 
 
-@P.query()
+@P.query("""SELECT user_id AS ticker, time_bucket(INTERVAL 5 MINUTES, ts) AS start, round(avg(1000::DOUBLE - value), 4) AS mean, round(stddev_pop(1000::DOUBLE - value), 4) AS std_dev, count(*) AS n
+FROM events GROUP BY ALL""")
 def s_surveillance(spark, d):
     rows = finish(surveyed(event_stream(spark, d), None), "update")
-    return rows.groupBy("ticker", "start").agg(*[F.max_by(c, "batch").alias(c) for c in ("mean", "std_dev", "n")])
+    last = rows.groupBy("ticker", "start").agg(*[F.max_by(c, "batch").alias(c) for c in ("mean", "std_dev", "n")])
+    return last.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def correlated(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +83,7 @@ def correlated(spark: SparkSession, d: str) -> DataFrame:
     return crash.join(art, near).select("crash_id", "crash_ticker", "crash_ts", "news_id", us.alias("latency_us"), "panic_score", "title")
 
 
-@P.query()
+@P.query(f"WITH {NEWS}, {correlate.CAND} SELECT crash_id, news_id FROM cand")
 def s_correlate(spark, d):
     return finish(correlated(spark, d).select("crash_id", "news_id"))
 
@@ -92,7 +94,7 @@ def _best(rows: DataFrame, count) -> DataFrame:
     return g.select("crash_id", "crash_ticker", "crash_ts", "g.*", "total_candidates")
 
 
-@P.query()
+@P.query(f"WITH {correlate.ARCHIVE}")
 def s_warroom(spark, d):
     """Attack packages archived from the stream: each batch keeps the nearest article of each of its crashes; the nearest of all batches goes
     through the gates, and the archive has the thirteen columns of threat_archive."""
@@ -107,7 +109,7 @@ def s_warroom(spark, d):
     return correlate.archived(_best(spark.read.schema(kind).parquet(folder), F.sum("total_candidates")), spark, d)
 
 
-@P.query()
+@P.query(f"SELECT title, link, {hash_sql('title')} AS claim_hash FROM (VALUES {values(PARSED)}) t(feed, pos, title, link)")
 def s_rss_ingest(spark, d):
     """Feeds land as text, one document a line: items, hashes, and the first of each hash."""
     folder = fresh(spark, "feeds")
@@ -136,7 +138,8 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
     yield pd.DataFrame({"claim_id": [key[0]], "state": [name], "n_changes": [n]})
 
 
-@P.query()
+@P.query(f"""SELECT user_id AS claim_id, CASE arg_max(event_type, (ts, event_id)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in STEPS.items())} END AS state, count(*) AS n_changes
+FROM events GROUP BY user_id""")
 def s_claim_state(spark, d):
     """Claim state machine: the state after the last change in event time, whatever the order of arrival."""
     e = event_stream(spark, d).select(F.col("user_id").alias("claim_id"), "event_id", "event_type", F.unix_micros("ts").alias("us"))
