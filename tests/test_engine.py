@@ -2,13 +2,14 @@
 
 import datetime as dt
 import random
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from verisift.functions import text
-from verisift.operators.enrich import NeutralSentiment, enrich
+from verisift.operators.enrich import NeutralSentiment, RateLimited, enrich
 from verisift.operators.intervals import asof_within, interval_join
 from verisift.operators.merge import merge_update
 from verisift.operators.numbering import numbered
@@ -110,6 +111,23 @@ def test_enrich_pads(spark, answers, padded):
     assert got.count() == 5 and got.where("summary = 'Incomplete analysis'").count() == padded
 
 
+@pytest.mark.parametrize(("limited", "least"), [(False, 0.6), (True, 1.2)])
+def test_enrich_waits(spark, limited, least):
+    class Late(NeutralSentiment):  # fails twice in each worker, then answers
+        calls = 0
+
+        def score(self, texts):
+            self.calls += 1
+            if self.calls < 3:
+                raise (RateLimited if limited else ConnectionError)
+            return super().score(texts)
+
+    df = spark.range(5).select(F.col("id").alias("seq"), F.lit("x").alias("text")).coalesce(1)
+    start = time.time()
+    assert enrich(df, Late(), wait=0.2).where("summary = 'Incomplete analysis'").count() == 0
+    assert time.time() - start >= least
+
+
 def test_stream_twins(spark, sf):
     pairs = lambda df: sorted((r.crash_id, r.news_id) for r in df.collect())
     assert pairs(streams.s_correlate(spark, sf)) == pairs(correlate.causal_candidates(spark, sf))
