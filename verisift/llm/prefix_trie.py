@@ -145,11 +145,12 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     sums = rollup(x, ["n_leaves", "saved_tokens"])
     last = d.join(convs.where("len > 0").select("c", F.col("len").alias("depth")), ["c", "depth"]).select(*key, "c")
     ended = ends_digests(last.unionByName(convs.where("len = 0").select(zero.alias("g1"), zero.alias("g2"), zero.alias("depth"), "c")))
-    # The root's id goes to its children by a one-row broadcast: a join on its key would bring all of them into one task.
-    top = F.broadcast(nodes.where("depth = 0").select(F.col("conv_id").alias("top"), F.lit(1).alias("under")))
+    # The root's id, one value, goes to its children as it is: a join on its key would bring all of them into one task.
+    first = nodes.where("depth = 0").select("conv_id").first()
+    top = F.lit(first[0] if first else None).cast("long")
     up = nodes.select(F.col("g1").alias("p1"), F.col("g2").alias("p2"), (F.col("depth") + 1).alias("depth"), F.col("conv_id").alias("parent_conv_id")).where("depth > 1")
     deep = x.where("depth > 1").join(up, ["p1", "p2", "depth"])
-    flat = x.where("depth <= 1").join(top, F.col("depth") == F.col("under"), "left").withColumn("parent_conv_id", F.col("top")).drop("top", "under")
+    flat = x.where("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, top))
     told = [*key, "conv_id", "parent_conv_id", "n_convs", "n_children"]
     out = deep.select(*told).unionByName(flat.select(*told)).join(sums, key).join(ended, key, "left")
     nothing = F.lit(hashlib.sha256().hexdigest())
