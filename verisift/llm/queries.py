@@ -16,6 +16,7 @@ MODULES = {
     "op8_source_mixing": "mixing",
     "op9_embedding_near_dedup": "embedding",
     "op10_token_output": "token_output",
+    "op11_suffix_dedup": "suffix_dedup",
     "op12_conversation_repair": "conversation_repair",
     "op13_conversation_trie": "prefix_trie",
 }
