@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verisift.functions.text import MOJIBAKE, bracket_span, fence_slice, fence_split, fence_strip as strip_fence, mojibake_fix as fix, not_empty, strip_block
@@ -158,8 +157,9 @@ def alert_rows(spark, d):
 
 @P.query("SELECT event_id AS id, ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 3)::INT AS key_index FROM events")
 def round_robin(spark, d):
-    k = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-    return events(spark, d).select(F.col("event_id").alias("id"), F.pmod(k - 1, F.lit(3)).alias("key_index"))
+    """The keys take turns within a user. Places are counted by ranges, so that one user's calls may be as many as the table."""
+    k = numbered(events(spark, d).select(F.col("event_id").alias("id"), "user_id"), ["user_id"], ["id"], "k")
+    return k.select("id", F.pmod(F.col("k") - 1, F.lit(3)).cast("int").alias("key_index"))
 
 
 @P.query(f"SELECT event_id AS id, {K} AS likes FROM events WHERE event_type <> 'view'")
@@ -169,16 +169,19 @@ def social_posts_typed(spark, d):
     return events(spark, d).select(F.col("event_id").alias("id"), raw.try_cast("int").alias("likes")).where("likes IS NOT NULL")
 
 
-NAMES = [("TATA_MOTORS.NS",), ("RELIANCE.BO",), ("A.NS.BO",), ("PLAIN",), ("X_Y.BO",)]
+TICKER = "concat(upper(event_type), '_', user_id, CASE event_id % 4 WHEN 0 THEN '.NS' WHEN 1 THEN '.BO' WHEN 2 THEN '.NS.BO' ELSE '' END)"
 
 
-@P.query(f"WITH t(ticker) AS (VALUES {values(NAMES)}) SELECT ticker, CASE WHEN contains(ticker, '.NS') THEN replace(ticker, '.NS', '') WHEN contains(ticker, '.BO') THEN replace(ticker, '.BO', '') ELSE ticker END AS symbol, replace(replace(replace(ticker, '.NS', ''), '.BO', ''), '_', ' ') AS company FROM t")
+@P.query(f"WITH t AS (SELECT event_id AS id, {TICKER} AS ticker FROM events) SELECT id, ticker, CASE WHEN contains(ticker, '.NS') THEN replace(ticker, '.NS', '') WHEN contains(ticker, '.BO') THEN replace(ticker, '.BO', '') ELSE ticker END AS symbol, replace(replace(replace(ticker, '.NS', ''), '.BO', ''), '_', ' ') AS company FROM t")
 def ticker_company(spark, d):
-    t = literal(spark, NAMES, "ticker string")
+    """Symbols and company names of tickers with the endings of two exchanges, with both, or with none."""
+    n = F.col("event_id") % 4
+    ending = F.when(n == 0, ".NS").when(n == 1, ".BO").when(n == 2, ".NS.BO").otherwise("")
+    t = events(spark, d).select(F.col("event_id").alias("id"), F.concat(F.upper("event_type"), F.lit("_"), F.col("user_id").cast("string"), ending).alias("ticker"))
     cut = lambda x, s: F.replace(x, F.lit(s), F.lit(""))
     c = F.col("ticker")
     symbol = F.when(F.contains(c, F.lit(".NS")), cut(c, ".NS")).when(F.contains(c, F.lit(".BO")), cut(c, ".BO")).otherwise(c)
-    return t.select("ticker", symbol.alias("symbol"), F.replace(cut(cut(c, ".NS"), ".BO"), F.lit("_"), F.lit(" ")).alias("company"))
+    return t.select("id", "ticker", symbol.alias("symbol"), F.replace(cut(cut(c, ".NS"), ".BO"), F.lit("_"), F.lit(" ")).alias("company"))
 
 
 @P.query("SELECT p_partkey AS id, replace(lower(p_name), ' ', '-') AS slug FROM part")
@@ -255,14 +258,26 @@ def input_clean(spark, d):
     return e.select(F.col("event_id").alias("id"), F.upper(F.trim(typed)).alias("ticker"), F.btrim(quoted_, F.lit("\"'")).alias("key"))
 
 
-FEED = [
-    (1, "<rss><channel><item><title> Storm hits coast </title><link> http://a.example/1 </link></item><item><title></title><link>http://a.example/2</link></item></channel></rss>"),
-    (2, "<rss><channel><item><title>Bank denies rumour</title><link>http://b.example/9</link></item><item><title>Second</title><link>http://b.example/8</link></item></channel></rss>"),
-    (3, "<rss><channel></channel></rss>"),
-    (4, "<rss><channel><item><title>No link here</title></item><item><title>Own link</title><link>http://d.example/2</link></item></channel></rss>"),
-    (5, "no feed at all"),
-]
-PARSED = [(1, 0, "Storm hits coast", "http://a.example/1"), (2, 0, "Bank denies rumour", "http://b.example/9"), (2, 1, "Second", "http://b.example/8"), (4, 0, "No link here", ""), (4, 1, "Own link", "http://d.example/2")]
+#: Pages of a feed, and items that are read of one.
+FEED_PAGES, FEED_ITEMS = 8, 5
+#: Feeds made of pages: every sixth item has no title, every tenth feed is cut short in the middle.
+FEED = rf"""feed AS (SELECT page_id // {FEED_PAGES} AS feed, page_id, url, CASE WHEN page_id % 6 = 0 THEN '' ELSE trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) END AS title FROM pages),
+told AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY page_id) - 1 AS pos FROM feed WHERE title <> '' AND feed % 10 <> 9)"""
+
+
+def feeds(spark, d) -> DataFrame:
+    """feed and its XML document, one for FEED_PAGES pages."""
+    raw = F.trim(F.regexp_replace(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), r"\s+", " "))
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 28).cast("int")), "EEE, d MMM yyyy")
+    item = F.concat(
+        F.lit("<item><title> "), F.when(F.col("page_id") % 6 == 0, "").otherwise(safe(raw)), F.lit(" </title><link>"), safe(F.col("url")), F.lit("</link><pubDate>"), day, F.lit(" 10:00:00 GMT</pubDate><source>"),
+        safe(F.regexp_extract("url", "//([^/]*)/", 1)), F.lit("</source></item>"),
+    )
+    pages = table(spark, d, "pages").select(F.floor(F.col("page_id") / FEED_PAGES).alias("feed"), "page_id", item.alias("item"))
+    f = pages.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("page_id", "item"))).alias("i"))
+    whole = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("i", lambda x: x["item"]), ""), F.lit("</channel></rss>"))
+    return f.select("feed", F.when(F.col("feed") % 10 == 9, F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int"))).otherwise(whole).alias("xml"))
 
 
 def rss_items(xml: Column, most: int) -> Column:
@@ -272,22 +287,19 @@ def rss_items(xml: Column, most: int) -> Column:
     return F.slice(F.transform(told, lambda x: F.struct(F.trim(x["title"]).alias("title"), F.trim(F.coalesce(x["link"], F.lit(""))).alias("link"))), 1, most)
 
 
-@P.query(f"SELECT * FROM (VALUES {values(PARSED)}) t(feed, pos, title, link)")
+@P.query(f"WITH {FEED} SELECT feed, pos::INT AS pos, title, url AS link FROM told WHERE pos < {FEED_ITEMS}")
 def rss_parse(spark, d):
-    f = literal(spark, FEED, "feed int, xml string")
-    x = f.select("feed", F.posexplode(rss_items(F.col("xml"), 5)).alias("pos", "item"))
+    x = feeds(spark, d).select("feed", F.posexplode(rss_items(F.col("xml"), FEED_ITEMS)).alias("pos", "item"))
     return x.select("feed", "pos", F.col("item")["title"].alias("title"), F.col("item")["link"].alias("link"))
 
 
-ARTICLES = [(k, f"<rss><channel>{''.join(f'<item><title>T{k}.{i}</title><link>http://n.example/{k}/{i}</link><pubDate>Mon, {i + 1} Jan 2024 10:00:00 GMT</pubDate><source>S{i}</source></item>' for i in range(7))}</channel></rss>") for k in (1, 2)]
-
-
-@P.query("SELECT k::INT AS feed, i::INT AS pos, 'T' || k || '.' || i AS title, 'http://n.example/' || k || '/' || i AS link, (i + 1) || ' Jan 2024 10:00:00' AS published, 'S' || i AS source FROM range(1, 3) a(k), range(5) b(i)")
+@P.query(f"""WITH {FEED} SELECT feed, (row_number() OVER (PARTITION BY feed ORDER BY page_id) - 1)::INT AS pos, title, url AS link, strftime(DATE '2024-01-01' + (page_id % 28)::INT, '%-d %b %Y') || ' 10:00:00' AS published, regexp_extract(url, '//([^/]*)/', 1) AS source
+FROM feed WHERE feed % 10 <> 9 QUALIFY pos < {FEED_ITEMS}""")
 def news_items(spark, d):
-    f = literal(spark, ARTICLES, "feed int, xml string")
+    """The first items of each feed, titled or not, with their time and source."""
     schema = "channel struct<item: array<struct<title: string, link: string, pubDate: string, source: string>>>"
-    i = f.select("feed", F.posexplode(F.from_xml("xml", schema)["channel"]["item"]).alias("pos", "x")).where("pos < 5")
-    return i.select("feed", "pos", "x.title", "x.link", F.regexp_extract("x.pubDate", r"(\d{1,2} \w{3} \d{4} [\d:]+)", 1).alias("published"), "x.source")
+    i = feeds(spark, d).select("feed", F.posexplode(F.from_xml("xml", schema)["channel"]["item"]).alias("pos", "x")).where(F.col("pos") < FEED_ITEMS)
+    return i.select("feed", "pos", F.coalesce(F.trim("x.title"), F.lit("")).alias("title"), "x.link", F.regexp_extract("x.pubDate", r"(\d{1,2} \w{3} \d{4} [\d:]+)", 1).alias("published"), "x.source")
 
 
 # Enrichment: the neutral scorer and its defaults.
@@ -308,18 +320,6 @@ def sentiment_length_repair(spark, d):
     return j.select("seq", F.coalesce("s", F.lit(0)).alias("sentiment_score"), F.coalesce("t", F.lit("Incomplete analysis")).alias("summary"))
 
 
-@P.query(f"WITH {MENTIONS} SELECT id, 'LOW' AS risk_level, 'GENERAL' AS threat_type, false AS analyzed FROM m")
-def risk_defaults(spark, d):
-    return mentions(spark, d).select("id", F.lit("LOW").alias("risk_level"), F.lit("GENERAL").alias("threat_type"), F.lit(False).alias("analyzed"))
-
-
-@P.query("SELECT doc_id AS id, 0 AS n_supporting, 0 AS n_refuting, 0.5::DOUBLE AS confidence FROM documents")
-def research_fallback(spark, d):
-    empty = F.array().cast("array<string>")
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), empty.alias("s"), empty.alias("r"))
-    return t.select("id", F.size("s").alias("n_supporting"), F.size("r").alias("n_refuting"), F.lit(0.5).alias("confidence"))
-
-
 @P.query(f"SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS n_supporting, CASE WHEN event_type = 'error' THEN 0.5::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, {K}::DOUBLE / 50)) END AS confidence FROM events")
 def research_validate(spark, d):
     """Model answers that are no JSON or lack a key become the fallback."""
@@ -331,8 +331,3 @@ def research_validate(spark, d):
     ok = F.col("j.supporting_evidence").isNotNull() & F.col("j.refuting_evidence").isNotNull()
     c = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("j.overall_evidence_confidence"))), F.lit(0.5))
     return e.select("id", F.when(ok, F.size("j.supporting_evidence")).otherwise(0).alias("n_supporting"), F.when(ok, c).otherwise(F.lit(0.5)).alias("confidence"))
-
-
-@P.query("SELECT doc_id AS id, 'Unverified' AS verdict, 0.5::DOUBLE AS confidence, 'Medium' AS severity FROM documents")
-def verdict_fallback(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("Unverified").alias("verdict"), F.lit(0.5).alias("confidence"), F.lit("Medium").alias("severity"))

@@ -134,3 +134,71 @@ def price_fallback(spark, d):
     g = p.groupBy("ticker").agg(F.count_if(mid).alias("n"), F.max_by("close", F.when(mid, at)).alias("latest"), F.max_by("close", at).alias("daily"), F.count(F.lit(1)).alias("nd"))
     few = F.col("n") < 10
     return g.where(~few | (F.col("nd") >= 2)).select("ticker", F.when(few, "daily").otherwise("minute").alias("origin"), F.round(F.when(few, F.col("daily")).otherwise(F.col("latest")), 4).alias("price"))
+
+
+#: Grains of bars, finest first, in seconds; bars that a grain must have, and the daily bars that do where no grain has them.
+GRAINS, ENOUGH, DAYS = (60, 300, 86_400), 10, 2
+
+
+def rolled(bars: DataFrame, seconds: int, *more: Column) -> DataFrame:
+    """Bars (ticker, day, start in seconds, b: open, high, low, close, n with the times of the first and last tick) of a coarser grain, and more aggregates. Bars
+    merge in any order."""
+    b = F.col("b")
+    merged = F.struct(
+        F.min_by(b["open"], b["first"]).alias("open"), F.max(b["high"]).alias("high"), F.min(b["low"]).alias("low"), F.max_by(b["close"], b["last"]).alias("close"), F.sum(b["n"]).alias("n"),
+        F.min(b["first"]).alias("first"), F.max(b["last"]).alias("last"),
+    )
+    start = (F.floor(F.col("start") / seconds) * seconds).alias("start")
+    return bars.groupBy("ticker", "day", start).agg(merged.alias("b"), *more)
+
+
+def dealt(ticks: DataFrame) -> DataFrame:
+    """Ticks (ticker, ts, close, seq) as bars of their own, moved once, to their ticker and day: all grains group what lies together then."""
+    us = F.unix_micros("ts")
+    at = F.struct(us.alias("us"), F.col("seq"))
+    one = F.struct(F.col("close").alias("open"), F.col("close").alias("high"), F.col("close").alias("low"), "close", F.lit(1).cast("long").alias("n"), at.alias("first"), at.alias("last"))
+    n = int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    day = F.floor(us / 86_400_000_000)
+    return ticks.select("ticker", day.alias("day"), F.floor(us / 1_000_000).alias("start"), one.alias("b")).repartition(n, "ticker", "day")
+
+
+def bars(ticks: DataFrame) -> dict[int, DataFrame]:
+    """Bars of ticks at each grain, each one made of the finer one."""
+    out, held = {}, dealt(ticks)
+    for grain in GRAINS:
+        held = out[grain] = rolled(held, grain)
+    return out
+
+
+_BAR = """b{0} AS (SELECT ticker, epoch_us(ts) // 1000000 // {0} * {0} AS start, arg_min(close, (ts, seq)) AS open, max(close) AS high, min(close) AS low, arg_max(close, (ts, seq)) AS close, count(*) AS n FROM prices_v GROUP BY ALL),
+w{0} AS (SELECT ticker, {0} AS grain, count(*) AS n_bars, arg_max(close, start) AS latest, arg_max(close, start) FILTER (WHERE start < last) AS previous, max(high) AS high, min(low) AS low FROM (SELECT *, max(start) OVER (PARTITION BY ticker) AS last FROM b{0} WHERE start >= {1}) GROUP BY ticker)"""
+_SINCE = "(SELECT max(epoch_us(ts)) // 1000000 // 86400 * 86400 - {0} * 86400 FROM prices_v)"
+
+
+@P.query(f"""WITH {PRICES}, {_BAR.format(60, _SINCE.format(4))}, {_BAR.format(300, _SINCE.format(9))}, {_BAR.format(86400, _SINCE.format(29))}, u AS (SELECT * FROM w60 WHERE n_bars >= {ENOUGH} UNION ALL SELECT * FROM w300 WHERE n_bars >= {ENOUGH} UNION ALL SELECT * FROM w86400 WHERE n_bars >= {DAYS})
+SELECT ticker, grain, n_bars, round(latest, 4) AS latest, round(previous, 4) AS previous, round(high, 4) AS high, round(low, 4) AS low FROM u QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY grain) = 1""")
+def price_bars(spark, d):
+    """The finest bars of which a ticker has enough: minutes of the last five days, five minutes of the last ten, days of the last thirty; with the last
+    close and the one before."""
+    p = prices(spark, d)
+    today = p.agg(F.floor(F.max(F.unix_micros("ts")) / 86_400_000_000)).first()[0] or 0
+    ended = F.struct("start", F.col("b.close").alias("close"))
+    two = lambda c: F.slice(F.sort_array(c, False), 1, 2)
+    # Each grain hands on how many bars the finer ones have and the last two of them, so that one pass serves all.
+    minutes = rolled(dealt(p), GRAINS[0])
+    fives = rolled(minutes, GRAINS[1], F.count(F.lit(1)).alias("n0"), two(F.collect_list(ended)).alias("two0"))
+    days = rolled(fives, GRAINS[2], F.sum("n0").alias("n0"), two(F.flatten(F.collect_list("two0"))).alias("two0"), F.count(F.lit(1)).alias("n1"), two(F.collect_list(ended)).alias("two1"))
+    days = days.withColumn("n2", F.lit(1).cast("long")).withColumn("two2", F.array(ended))
+    looks, out = [], []
+    for k, (grain, back, least) in enumerate(zip(GRAINS, (4, 9, 29), (ENOUGH, ENOUGH, DAYS), strict=True)):
+        seen = F.col("day") >= today - back
+        looks += [
+            F.sum(F.when(seen, F.col(f"n{k}"))).alias(f"n{k}"), two(F.flatten(F.collect_list(F.when(seen, F.col(f"two{k}"))))).alias(f"two{k}"),
+            F.max(F.when(seen, F.col("b.high"))).alias(f"high{k}"), F.min(F.when(seen, F.col("b.low"))).alias(f"low{k}"),
+        ]
+        close = lambda i, k=k: F.get(f"two{k}", F.lit(i))["close"]
+        bar = F.struct(F.lit(grain).alias("grain"), F.col(f"n{k}").alias("n_bars"), close(0).alias("latest"), close(1).alias("previous"), F.col(f"high{k}").alias("high"), F.col(f"low{k}").alias("low"))
+        out.append(F.when(F.col(f"n{k}") >= least, bar))
+    finest = days.groupBy("ticker").agg(*looks).select("ticker", F.coalesce(*out).alias("g")).where("g IS NOT NULL")
+    four = lambda c: F.round(F.col(f"g.{c}"), 4).alias(c)
+    return finest.select("ticker", "g.grain", "g.n_bars", *map(four, ("latest", "previous", "high", "low")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from verisift.plans import claims, content, correlate, market
+from verisift.plans import answers, claims, content, correlate, market, stored
+from verisift.streaming import live
 from verisift.streaming import queries as streams
 
-PLANS = (claims.P, market.P, correlate.P, content.P, streams.P)
+PLANS = (claims.P, market.P, correlate.P, content.P, answers.P, stored.P, streams.P, live.P)
 
 
 def queries() -> dict:

@@ -9,14 +9,16 @@ from __future__ import annotations
 import csv
 import io
 import itertools
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.operators.sampling import hash_sample
+from verisift.operators.sampling import bottom_k
 
 ROWS = 10_000
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -48,8 +50,42 @@ def _batches(rows: Iterator[list], header: list[str]) -> Iterator:
         yield pd.DataFrame([[r[i] if i < len(r) and r[i] != "" else None for i in at] for r in some], columns=["title", "label"], dtype=object)
 
 
-def zip_scan(spark: SparkSession, path: str) -> DataFrame:
-    """The first CSV member of a ZIP file; none gives no rows."""
+def _archived(df: DataFrame, write) -> DataFrame:
+    """name and content of archives, one for each batch of rows, made in the tasks. Names ascend with the order of the rows."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for k, b in enumerate(batches):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                write(z, list(b.columns), b.astype(object).where(b.notna(), None).to_numpy().tolist())
+            yield pd.DataFrame({"name": [f"{task:08d}-{k:08d}"], "content": [out.getvalue()]})
+
+    return df.mapInPandas(run, "name string, content binary")
+
+
+def _number(v):
+    return int(v) if isinstance(v, float) and v.is_integer() else v
+
+
+def zip_packed(df: DataFrame) -> DataFrame:
+    """Rows as ZIP archives (name, content) with a CSV member each."""
+
+    def write(z: zipfile.ZipFile, names: list, rows: list) -> None:
+        out = io.StringIO(newline="")
+        w = csv.writer(out)
+        w.writerow(names)
+        w.writerows([[_number(v) for v in r] for r in rows])
+        z.writestr("rows.csv", out.getvalue())
+
+    return _archived(df, write)
+
+
+def zip_rows(archives: DataFrame) -> DataFrame:
+    """The first CSV member of each ZIP archive (content); one without gives no rows."""
 
     def read(frames: Iterator) -> Iterator:
         for frame in frames:
@@ -60,11 +96,41 @@ def zip_scan(spark: SparkSession, path: str) -> DataFrame:
                         rows = csv.reader(io.TextIOWrapper(z.open(member), "utf-8", errors="replace", newline=""))
                         yield from _batches(rows, next(rows, ["title", "label"]))
 
-    return _typed(spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "title string, label string"))
+    return _typed(archives.select("content").mapInPandas(read, "title string, label string"))
 
 
-def xlsx_scan(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook; a title counts once, with its first label."""
+def zip_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The first CSV member of a ZIP file, or of each one of a folder."""
+    return zip_rows(spark.read.format("binaryFile").load(path))
+
+
+#: A character as sheets write what XML cannot hold.
+_ESCAPE = re.compile("_x([0-9A-Fa-f]{4})_")
+_FORBIDDEN = re.compile("[\x00-\x08\x0b-\x1f\ufffe\uffff\r]|_(?=x[0-9A-Fa-f]{4}_)")
+
+
+def xlsx_packed(df: DataFrame) -> DataFrame:
+    """Rows as workbooks (name, content) of one sheet each, with a header."""
+
+    def cell(at: str, v) -> str:
+        if v is None:
+            return ""
+        if isinstance(v, str):
+            return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(_FORBIDDEN.sub(lambda m: f"_x{ord(m[0]):04X}_", v))}</t></is></c>'
+        return f'<c r="{at}"><v>{_number(v)}</v></c>'
+
+    def write(z: zipfile.ZipFile, names: list, rows: list) -> None:
+        with z.open("xl/worksheets/sheet1.xml", "w") as out:
+            out.write(f'<worksheet xmlns="{_SHEET[1:-1]}"><sheetData>'.encode())
+            for i, r in enumerate([names, *rows], 1):
+                out.write(f'<row r="{i}">{"".join(cell(f"{chr(65 + c)}{i}", v) for c, v in enumerate(r))}</row>'.encode())
+            out.write(b"</sheetData></worksheet>")
+
+    return _archived(df, write)
+
+
+def xlsx_rows(books: DataFrame) -> DataFrame:
+    """The first sheets of workbooks (name, content); a title counts once, with its first label in the order of names and rows."""
 
     def cells(z: zipfile.ZipFile) -> Iterator[list]:
         shared = []
@@ -81,7 +147,8 @@ def xlsx_scan(spark: SparkSession, path: str) -> DataFrame:
                     column = 26 * column + ord(letter) - 64
                 out += [""] * ((column or len(out) + 1) - 1 - len(out))
                 value = "".join(t.text or "" for t in c.iter() if t.tag in (f"{_SHEET}v", f"{_SHEET}t"))
-                out.append(shared[int(value)] if c.get("t") == "s" and value else value)
+                value = shared[int(value)] if c.get("t") == "s" and value else value
+                out.append(_ESCAPE.sub(lambda m: chr(int(m[1], 16)), value))
             row.clear()
             yield out
 
@@ -89,19 +156,25 @@ def xlsx_scan(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
-            for content in frame["content"]:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     rows, at = cells(z), 0
                     for b in _batches(rows, next(rows, ["title", "label"])):
                         b.insert(0, "at", pd.RangeIndex(at, at + len(b)))
+                        b.insert(0, "name", name)
                         at += len(b)
                         yield b
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "at long, title string, label string")
-    first = rows.where("title IS NOT NULL").groupBy("title").agg(F.min_by("label", "at").alias("label"))
+    rows = books.select("name", "content").mapInPandas(read, "name string, at long, title string, label string")
+    first = rows.where("title IS NOT NULL").groupBy("title").agg(F.min_by("label", F.struct("name", "at")).alias("label"))
     return _typed(first)
 
 
+def xlsx_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook, or of each one of a folder."""
+    return xlsx_rows(spark.read.format("binaryFile").load(path).withColumnRenamed("path", "name"))
+
+
 def json_seeds(spark: SparkSession, path: str) -> DataFrame:
     """A JSON list of claims, read as it is."""
     return spark.read.option("multiLine", True).json(path)
@@ -140,7 +213,8 @@ def load_dataset(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def rotating_pool(spark: SparkSession, folder: str, name: str, n: int) -> DataFrame:
-    """A pool to draw n claims from: a sample of 20 n, 500 at least, of the ZIP or else the CSV, each claim once."""
+    """A pool to draw n claims from: 20 n of the distinct claims, 500 at least, of the ZIP or else the CSV. Repeats of a claim take no place in it; of
+    its labels the least counts."""
     zipped = f"{folder}/{name}.zip"
     rows = zip_scan(spark, zipped) if _status(spark, zipped) else csv_scan(spark, f"{folder}/{name}.csv")
-    return hash_sample(rows, "claim", max(20 * n, 500)).dropDuplicates(["claim"])
+    return bottom_k(rows, "claim", max(20 * n, 500))

@@ -12,7 +12,7 @@ from verisift.functions.text import claim_hash, hash_sql
 from verisift.operators.staging import fresh
 from verisift.plans import correlate
 from verisift.plans.base import Plan
-from verisift.plans.content import FEED, PARSED, rss_items, values
+from verisift.plans.content import FEED_ITEMS, rss_items
 from verisift.sources.views import NEWS, k_of
 
 P = Plan()
@@ -68,15 +68,20 @@ def s_surveillance(spark, d):
     return last.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-def correlated(spark: SparkSession, d: str) -> DataFrame:
-    """Without a watermark: the files of a table come in any order, so a row of a later batch may be of any time. The
-    state holds both sides until the run ends."""
-    e = event_stream(spark, d)
+def correlated(e: DataFrame, late: str | None = None) -> DataFrame:
+    """Crashes of the stream e with the articles of the half hour before each.
+
+    late: how long rows may be overdue. Both sides then have a watermark, a row is kept until no partner can come that is in time, and the state
+    holds what the horizon and the lateness span, however long the stream runs. Rows that are later are dropped (late_rows() gathers them). None for
+    the files of a table, which come in any order: the state holds both sides until the run ends.
+    """
     width = HORIZON * 60
     crash = e.where("event_type = 'error'").select(F.col("event_id").alias("crash_id"), F.col("user_id").alias("crash_ticker"), F.col("ts").alias("crash_ts"))
-    crash = crash.withColumn("b", F.explode(F.array(*[F.floor(F.unix_seconds("crash_ts") / width) - k for k in (0, 1)])))
     title = F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"))
     art = e.where("event_type <> 'error'").select(F.col("event_id").alias("news_id"), F.col("ts").alias("published"), k_of().alias("panic_score"), title.alias("title"))
+    if late:
+        crash, art = crash.withWatermark("crash_ts", late), art.withWatermark("published", late)
+    crash = crash.withColumn("b", F.explode(F.array(*[F.floor(F.unix_seconds("crash_ts") / width) - k for k in (0, 1)])))
     art = art.withColumn("nb", F.floor(F.unix_seconds("published") / width))
     near = (F.col("b") == F.col("nb")) & (F.col("published") < F.col("crash_ts")) & (F.col("published") >= F.col("crash_ts") - F.expr(f"INTERVAL {HORIZON} MINUTES"))
     us = F.unix_micros("crash_ts") - F.unix_micros("published")
@@ -85,7 +90,7 @@ def correlated(spark: SparkSession, d: str) -> DataFrame:
 
 @P.query(f"WITH {NEWS}, {correlate.CAND} SELECT crash_id, news_id FROM cand")
 def s_correlate(spark, d):
-    return finish(correlated(spark, d).select("crash_id", "news_id"))
+    return finish(correlated(event_stream(spark, d)).select("crash_id", "news_id"))
 
 
 def _best(rows: DataFrame, count) -> DataFrame:
@@ -98,7 +103,7 @@ def _best(rows: DataFrame, count) -> DataFrame:
 def s_warroom(spark, d):
     """Attack packages archived from the stream: each batch keeps the nearest article of each of its crashes; the nearest of all batches goes
     through the gates, and the archive has the thirteen columns of threat_archive."""
-    pairs = correlated(spark, d)
+    pairs = correlated(event_stream(spark, d))
     folder = fresh(spark, "archive")
     kind = _best(spark.createDataFrame([], pairs.schema), F.count(F.lit(1))).schema
 
@@ -109,17 +114,9 @@ def s_warroom(spark, d):
     return correlate.archived(_best(spark.read.schema(kind).parquet(folder), F.sum("total_candidates")), spark, d)
 
 
-@P.query(f"SELECT title, link, {hash_sql('title')} AS claim_hash FROM (VALUES {values(PARSED)}) t(feed, pos, title, link)")
-def s_rss_ingest(spark, d):
-    """Feeds land as text, one document a line: items, hashes, and the first of each hash."""
-    folder = fresh(spark, "feeds")
-    spark.createDataFrame(FEED, "feed int, value string").select("value").write.text(folder)
-    return finish(ingested(spark.readStream.text(folder)))
-
-
 def ingested(raw: DataFrame) -> DataFrame:
-    """New items of landed feeds (value: a document). For a live folder start it with a trigger of 900 seconds."""
-    items = raw.select(F.explode(rss_items(F.col("value"), 5)).alias("x")).select(F.col("x")["title"].alias("title"), F.col("x")["link"].alias("link"))
+    """New items of landed feeds (value: a document), each hash once."""
+    items = raw.select(F.explode(rss_items(F.col("value"), FEED_ITEMS)).alias("x")).select(F.col("x")["title"].alias("title"), F.col("x")["link"].alias("link"))
     return items.withColumn("claim_hash", claim_hash("title")).dropDuplicates(["claim_hash"])
 
 
