@@ -55,8 +55,32 @@ def _boiler(r: random.Random) -> list:
 
 
 def _comments(r: random.Random) -> str:
+    """Reader comments: named one by one, or plain paragraphs and list items under a name."""
     one = lambda: _div(r, ["comment", "comment-body", "reply"], f"<p data-y=0>{_text(r, 3, 45)}</p>", ("div", "li", "article"))
-    return _div(r, ["comments", "comment-list", "disqus", "responses", "respond"], f"<h2 data-y=0>{_text(r, 1, 3)}</h2>" + "".join(one() for _ in range(r.randint(1, 5))), ("div", "section"))
+    plain = lambda: r.choice((f"<p data-y=0>{_text(r, 3, 60)}</p>", f"<li data-y=0>{_text(r, 3, 45)}</li>", f"<div data-y=0><p data-y=0>{_text(r, 3, 45)}</p></div>"))
+    make = r.choice((one, plain))
+    head = f"<{(t := r.choice(('h2', 'h2', 'h3')))} data-y=0>{_text(r, 1, 3)}</{t}>" if r.random() < 0.85 else ""
+    return _div(r, ["comments", "comments", "comment-list", "disqus", "responses", "respond"], head + "".join(make() for _ in range(r.randint(1, 5))), ("div", "section", "section"))
+
+
+def _title(r: random.Random) -> str:
+    """The heading of an article, on its own or in a header of the article with a line below."""
+    h = f"<h1 data-y=1>{_text(r, 1, 10)}</h1>"
+    if r.random() < 0.35:
+        return f"<header data-y=1>{h}{r.choice(('', f'<p data-y=1>{_text(r, 2, 20)}</p>'))}</header>"
+    return h
+
+
+def _wrapped(r: random.Random, body: str) -> str:
+    """An article in one of the elements that hold one."""
+    x = r.random()
+    if x < 0.55:
+        return f"<article data-y=1{r.choice(('', '', ' class=post', ' class=entry', ' class=story'))}>{body}</article>"
+    if x < 0.7:
+        return f"<main data-y=1>{body}</main>"
+    if x < 0.82:
+        return f"<{(t := r.choice(('div', 'section')))} data-y=1>{body}</{t}>"
+    return f'<{(t := r.choice(("div", "div", "main", "section")))} data-y=1 {r.choice(("class", "id"))}="{r.choice(("content", "post", "entry-content", "article-body", "story", "main-text", "body-copy"))}">{body}</{t}>'
 
 
 def _article(r: random.Random) -> str:
@@ -70,7 +94,7 @@ def _article(r: random.Random) -> str:
         lambda: f"<div data-y=1>{_text(r, 5, 60)}</div>",
         lambda: f"<section data-y=1><h3 data-y=1>{_text(r, 1, 5)}</h3>{_paras(r, r.randint(1, 3), 1)}</section>",
     ]
-    parts = [f"<h1 data-y=1>{_text(r, 2, 10)}</h1>"] if r.random() < 0.85 else []
+    parts = [_title(r)] if r.random() < 0.75 else []
     for _ in range(r.randint(1, 9)):
         x = r.random()
         if x < 0.68:
@@ -79,17 +103,16 @@ def _article(r: random.Random) -> str:
             parts.append(r.choice(rich)())
         else:
             parts.append(r.choice(_boiler(r))())
-    body = "".join(parts)
-    if r.random() < 0.6:
-        return f"<article data-y=1{r.choice(('', ' class=post', ' class=entry', ' class=story'))}>{body}</article>"
-    return f'<{(t := r.choice(("div", "div", "main", "section")))} data-y=1 {r.choice(("class", "id"))}="{r.choice(("content", "post", "entry-content", "article-body", "story", "main-text", "body-copy"))}">{body}</{t}>'
+    if r.random() < 0.2:
+        parts.append(_comments(r))
+    return _wrapped(r, "".join(parts))
 
 
 def _short(r: random.Random) -> str:
-    """An article of a few words."""
-    paras = "".join(f"<p data-y=1>{r.choice(('', '<b>'))}{_text(r, 1, 6)}</p>" for _ in range(r.randint(1, 2)))
-    inner = f"<h1 data-y=1>{_text(r, 1, 4)}</h1>{paras}"
-    return f"<article data-y=1>{inner}</article>" if r.random() < 0.7 else f'<div data-y=1 class="{r.choice(("content", "post", "entry-content", "story"))}">{inner}</div>'
+    """An article of a few words or sentences, with a heading or without."""
+    paras = "".join(f"<p data-y=1>{r.choice(('', '', '<b>'))}{_text(r, 1, r.choice((6, 6, 20, 40)))}</p>" for _ in range(r.randint(1, 3)))
+    end = _comments(r) if r.random() < 0.15 else ""
+    return _wrapped(r, (_title(r) if r.random() < 0.5 else "") + paras + end)
 
 
 def labelled_pages(n: int, seed: int = 11) -> list[str]:
@@ -97,7 +120,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
     out = []
     for k in range(n):
         if k % 12 == 5:  # hardly any structure
-            page = f"<html data-y=1><body data-y=1>{_paras(r, r.randint(1, 6), 1, *r.choice(((8, 90), (200, 900))))}</body></html>"
+            page = _paras(r, r.randint(1, 6), 1, *r.choice(((8, 90), (200, 900))))
+            page = page if r.random() < 0.3 else f"<html data-y=1><body data-y=1>{page}</body></html>"
             out.append(page if k % 24 == 5 else page.translate({ord(c): None for c in ".,?!"}))
             continue
         before = "".join(r.choice(_boiler(r))() for _ in range(r.randint(0, 4)))
@@ -106,7 +130,9 @@ def labelled_pages(n: int, seed: int = 11) -> list[str]:
             after = _comments(r) + after
         head = f"<header data-y=0>{r.choice(('<h1 data-y=0>', '<p data-y=0>', '<div data-y=0>'))}{_text(r, 1, 5)}" + r.choice(("", "</h1>", "</div>")) + "</header>" if r.random() < 0.4 else ""
         foot = r.choice((f"<footer data-y=0>&copy; {_text(r, 1, 20)}</footer>", _div(r, ["footer", "copyright", "legal"], _paras(r, 1, 0, 3, 25)), ""))
-        core = _article(r) if k % 4 else _short(r)
+        core = _article(r) if k % 3 else _short(r)
+        if k % 40 == 7:  # a page of menus, forms and notices alone
+            core = ""
         if r.random() < 0.4:
             core = f"<{(t := r.choice(('div', 'main')))} data-y=0 class={r.choice(('page', 'wrapper', 'container', 'layout'))}>{core}{after}</{t}>"
             after = ""
