@@ -48,6 +48,26 @@ def test_adaptive_rejects_the_odd_one(spark):
     assert not got.pop(999) and all(got.values())
 
 
+def test_groups_without_any_symbol_differ(spark):
+    """The same few symbols in the same text: too many among long texts that have none, nothing special among short ones that have none."""
+    text = lambda i, n: " ".join(f"plain{chr(97 + (i + k) % 26)}{chr(97 + (i * 7 + k // 26) % 26)}" for k in range(n))
+    odd = text(3, 60) + " # $ # $ #"
+    rows = [(i, text(i, 11), "en", "short") for i in range(60)] + [(100 + i, text(i, 300), "en", "long") for i in range(60)] + [(900, odd, "en", "short"), (901, odd, "en", "long")]
+    judged = {r.doc_id: r for r in quality.judge(docs(spark, rows)).collect()}
+    assert judged[900].n_symbols == judged[901].n_symbols == 5
+    f = {r.source: r for r in quality.fences(quality.doc_metrics(docs(spark, rows))).collect()}
+    assert f["short"].hi_m_symbols > 3 * f["long"].hi_m_symbols > 0
+    assert judged[900].kept and not judged[901].kept
+
+
+def test_small_groups_lean_on_their_parents(spark):
+    """A group of one document is judged by its language; no size changes fences abruptly."""
+    text = lambda k: " ".join(f"word{chr(97 + i % 26)}{chr(97 + (i + k) % 26)}" for i in range(24))
+    rows = [(i, text(i), "en", "large") for i in range(200)] + [(500, "##a $$b %%c &&d ||e <<f >>g **h #$i %&j " + text(1), "en", "alone")]
+    judged = {r.doc_id: r.kept for r in quality.judge(docs(spark, rows)).collect()}
+    assert not judged.pop(500) and all(judged.values())
+
+
 def test_sketches_merge(spark):
     m = quality.doc_metrics(docs(spark, [(i, "word " * (i + 10), "en", f"s{i % 3}") for i in range(50)]))
     parts = quality.sketch(m, ["n_words"], ["lang", "source"])

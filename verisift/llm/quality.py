@@ -1,12 +1,13 @@
 """Quality rules with adaptive thresholds (native: DataFrame functions only).
 
-Every document gets a handful of rates: a count over an exposure, such as letters over words. For each rate a quantile sketch
+Every document gets a handful of rates: a count over an exposure, such as letters over words, each with half a unit more in the count (Jeffreys' prior
+of a Poisson rate), so that a text of ten words without a symbol says less than one of a thousand. For each rate a quantile sketch
 is kept per (lang, source): a log-linear histogram whose buckets are derived from the
 value alone, so sketches merge by adding counts and the result does not depend on the
-order of rows, tasks or merges. Fences come from the sketches alone: they stand as far beyond the 0.9 (0.1) quantile as that is from the
-median. A document is rejected when its count lies beyond its group's fence by more than chance allows, which is a Poisson
-count's deviation and so shrinks against the rate as texts grow. Groups with too
-few documents use the merged sketch of their language, and then of everything.
+order of rows, tasks or merges. Fences come from the sketches alone: they stand twice as far beyond the 0.8 (0.2) quantile as that is from the
+median, so that a fifth of a group may be bad. A document is rejected when its count lies beyond what its
+group's fence makes due for its length by more than five deviations of a Poisson count of that size; nothing else is added. A group's sketch holds its language's as so many documents more, and a language's that of
+everything, so small groups lean on their parents and large ones do not, without a size at which that changes.
 
 Edge cases: null and empty texts have no words and fail the base rule; null lang or
 source form groups of their own (null-safe join); repeated rows are judged one by one
@@ -16,6 +17,8 @@ than doc_id, text, lang and source are not read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,11 +30,11 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Linear sub-buckets per power of two: quantiles have a relative error of 1 / SUB at most.
 SUB_BITS = 7
 SUB = 1 << SUB_BITS
-#: Below so many base-passing documents a group borrows its parent's sketch.
-MIN_GROUP = 64
+#: Documents that a parent's sketch counts as in its child's, and parts of one in which they are counted.
+WEIGHT, PARTS = 8, 1 << 20
 #: Fence distance in distances of the outer quantile from the median, and deviations that chance is given.
-REACH, CHANCE = 1, 3.0
-#: metric -> (count, exposure, scale of the rate, words or letters that come together, whether it has a lower fence). Repeats come in
+REACH, CHANCE = 2, 5.0
+#: metric -> (count, exposure, scale of the rate, unit: words or letters that come together, whether it has a lower fence). Repeats come in
 #: passages, of two windows at least.
 METRICS = {
     "m_word_len": ("word_chars", "n_words", 1_000, 1, True),
@@ -85,7 +88,7 @@ def doc_metrics(docs: DataFrame) -> DataFrame:
         "n_repeat_words",
         F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")),
     ).drop("p")
-    rate = lambda k, n, scale, *_: F.when(F.col(n) > 0, F.expr(f"{k} * {scale} div {n}")).otherwise(F.lit(0)).cast("long")
+    rate = lambda k, n, scale, unit, _: F.expr(f"(2 * {k} + {unit}) * {scale} div (2 * greatest({n}, 1))").cast("long")
     return five.select(
         "doc_id", "lang", "source", "k1", "k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
@@ -119,7 +122,7 @@ def merged(parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantiles(sk: DataFrame, by: list[str]) -> DataFrame:
-    """by, metric, total, q1, q5, q9 (tenths) read from sketches. A group has a few hundred buckets at most."""
+    """by, metric, total, q2, q5, q8 (tenths) read from sketches. A group has a few hundred buckets at most."""
     w = W.partitionBy(*by, "metric")
     cum = sk.select(
         *by, "metric", "bucket",
@@ -128,25 +131,32 @@ def quantiles(sk: DataFrame, by: list[str]) -> DataFrame:
     )
     value = F.expr(_lower("bucket"))
     reach = lambda k: F.min(F.when(10 * F.col("cum") >= k * F.col("total"), value)).alias(f"q{k}")
-    return cum.groupBy(*by, "metric").agg(F.max("total").alias("total"), reach(1), reach(5), reach(9))
+    return cum.groupBy(*by, "metric").agg(F.max("total").alias("total"), reach(2), reach(5), reach(8))
+
+
+def leaning(own: DataFrame, by: list[str], parent: DataFrame | None, up: list[str]) -> DataFrame:
+    """Sketches (by, metric, bucket, n) in PARTS of documents, each with its parent's (up, metric, bucket, n) as WEIGHT documents more. by holds up."""
+    mine = own.select(*by, "metric", "bucket", (F.col("n") * PARTS).alias("n"))
+    if parent is None:
+        return mine
+    total = parent.groupBy(*up, "metric").agg(F.sum("n").alias("total"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in up] + [F.col(f"{a}.metric") == F.col(f"{b}.metric")]
+    part = F.floor(F.col("p.n").cast("double") * PARTS / F.col("t.total").cast("double"))
+    share = parent.alias("p").join(total.alias("t"), functools.reduce(Column.__and__, same("p", "t"))).select(*[F.col(f"p.{c}") for c in [*up, "metric", "bucket"]], (WEIGHT * part).cast("long").alias("n"))
+    groups = own.select(*by, "metric").distinct()
+    lent = groups.alias("g").join(share.alias("s"), functools.reduce(Column.__and__, same("g", "s"))).select(*[F.col(f"g.{c}") for c in [*by, "metric"]], "s.bucket", "s.n")
+    return merged(mine.unionByName(lent), by)
 
 
 def fences(metrics: DataFrame) -> DataFrame:
     """One row per (lang, source) with lo_* and hi_* for each metric."""
     names = list(METRICS)
     fine = staged(sketch(metrics.where("not base_failed"), names, ["lang", "source"]), "quality-sketch")
-    by_lang = quantiles(merged(fine, ["lang"]), ["lang"])
-    by_all = quantiles(merged(fine, []), [])
-    own = quantiles(fine, ["lang", "source"])
-    j = (
-        own.alias("o")
-        .join(by_lang.alias("g"), F.col("o.lang").eqNullSafe(F.col("g.lang")) & (F.col("o.metric") == F.col("g.metric")))
-        .join(F.broadcast(by_all).alias("a"), F.col("o.metric") == F.col("a.metric"))  # one row per metric
-    )
-    pick = lambda q: F.when(F.col("o.total") >= MIN_GROUP, F.col(f"o.{q}")).when(F.col("g.total") >= MIN_GROUP, F.col(f"g.{q}")).otherwise(F.col(f"a.{q}")).alias(q)
-    rows = j.select("o.lang", "o.source", "o.metric", pick("q1"), pick("q5"), pick("q9"))
-    hi = F.col("q9") + REACH * (F.col("q9") - F.col("q5"))
-    lo = F.greatest(F.lit(0), F.col("q1") - REACH * (F.col("q5") - F.col("q1")))
+    every = leaning(merged(fine, []), [], None, [])
+    by_lang = leaning(merged(fine, ["lang"]), ["lang"], every, [])
+    rows = quantiles(leaning(fine, ["lang", "source"], by_lang, ["lang"]), ["lang", "source"])
+    hi = F.col("q8") + REACH * (F.col("q8") - F.col("q5"))
+    lo = F.greatest(F.lit(0), F.col("q2") - REACH * (F.col("q5") - F.col("q2")))
     rows = rows.select("lang", "source", "metric", hi.cast("long").alias("hi"), lo.cast("long").alias("lo"))
     aggs = []
     for name in names:
@@ -155,12 +165,13 @@ def fences(metrics: DataFrame) -> DataFrame:
 
 
 def _within(name: str) -> Column:
-    """Whether the counts of a metric lie within its fences, by more than chance."""
+    """Whether the count of a metric lies within what is due at its fences, give or take the deviations of a count that is due."""
     k, n, scale, unit, lower = METRICS[name]
+    count = F.col(k).cast("double") + unit / 2
     due = lambda fence: F.col(n).cast("double") * F.col(f"{fence}_{name}") / scale
-    ok = F.col(k) <= due("hi") + CHANCE * F.sqrt(due("hi") * unit) + CHANCE * CHANCE * unit
+    ok = count <= due("hi") + CHANCE * F.sqrt(due("hi") * unit)
     if lower:
-        ok = ok & (F.col(k) >= due("lo") - CHANCE * F.sqrt(due("lo") * unit))
+        ok = ok & (count >= due("lo") - CHANCE * F.sqrt(due("lo") * unit))
     return F.coalesce(ok, F.lit(True))
 
 
@@ -196,22 +207,27 @@ def _sql() -> str:
     bucket = f"CASE WHEN v < {SUB} THEN v ELSE (length(bin(v)) - {SUB_BITS})::BIGINT * {SUB} + (v // (1::BIGINT << greatest(length(bin(v)) - {SUB_BITS + 1}, 0)::INT)) - {SUB} END"
     lower = f"CASE WHEN bucket < {SUB} THEN bucket ELSE ({SUB} + bucket % {SUB}) * (1::BIGINT << greatest(bucket // {SUB} - 1, 0)::INT) END"
 
-    def quant(name: str, src: str, by: str) -> str:
+    def leaning_sql(name: str, own: str, by: str, parent: str, up: str) -> str:
+        """As leaning(): own sketch and the parent's share of it."""
+        of = lambda x: "".join(f"{x}.{c.strip()}, " for c in by.split(",") if c)
+        same = " AND ".join([f"g.{c.strip()} IS NOT DISTINCT FROM p.{c.strip()}" for c in up.split(",") if c] + ["g.metric = p.metric"])
         keys = f"{by}, " if by else ""
-        reach = ", ".join(f"min({lower}) FILTER (WHERE 10 * cum >= {k} * total) AS q{k}" for k in (1, 5, 9))
+        over = ", ".join(x for x in (up, "metric") if x)
         return f"""
-{name}_c AS (SELECT {keys}metric, bucket, sum(n) OVER (PARTITION BY {keys}metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY {keys}metric) AS total
-  FROM (SELECT {keys}metric, bucket, sum(n) AS n FROM {src} GROUP BY ALL)),
-{name} AS (SELECT {keys}metric, max(total) AS total, {reach} FROM {name}_c GROUP BY ALL)"""
+{name} AS (SELECT {keys}metric, bucket, sum(n)::BIGINT AS n FROM (SELECT {keys}metric, bucket, n * {PARTS} AS n FROM {own}
+  UNION ALL SELECT {of("g")}g.metric, p.bucket, ({WEIGHT} * floor(p.n::DOUBLE * {PARTS} / p.total::DOUBLE))::BIGINT FROM (SELECT DISTINCT {keys}metric FROM {own}) g
+  JOIN (SELECT *, sum(n) OVER (PARTITION BY {over}) AS total FROM {parent}) p ON {same}) GROUP BY ALL)"""
 
-    picks = ", ".join(f"CASE WHEN o.total >= {MIN_GROUP} THEN o.q{k} WHEN g1.total >= {MIN_GROUP} THEN g1.q{k} ELSE a1.q{k} END AS q{k}" for k in (1, 5, 9))
+    reach = ", ".join(f"min({lower}) FILTER (WHERE 10 * cum >= {k} * total) AS q{k}" for k in (2, 5, 8))
+    merged_sql = lambda name, by: f"{name} AS (SELECT {by}metric, bucket, sum(n) AS n FROM s GROUP BY ALL)"
     due = lambda name, fence: f"({METRICS[name][1]}::DOUBLE * f.{fence}['{name}'] / {METRICS[name][2]}.0::DOUBLE)"
     checks = []
     for name, (k, _, _, unit, two) in METRICS.items():
+        count = f"({k}::DOUBLE + {unit / 2}::DOUBLE)"
         hi, lo = due(name, "hi"), due(name, "lo")
-        checks.append(f"coalesce({k} <= {hi} + {CHANCE}::DOUBLE * sqrt({hi} * {unit}) + {CHANCE * CHANCE * unit}::DOUBLE" + (f" AND {k} >= {lo} - {CHANCE}::DOUBLE * sqrt({lo} * {unit})" if two else "") + ", true)")
+        checks.append(f"coalesce({count} <= {hi} + {CHANCE}::DOUBLE * sqrt({hi} * {unit})" + (f" AND {count} >= {lo} - {CHANCE}::DOUBLE * sqrt({lo} * {unit})" if two else "") + ", true)")
     checks = " AND ".join(checks)
-    rates = ",\n  ".join(f"CASE WHEN {n} > 0 THEN {k} * {scale} // {n} ELSE 0 END AS {name}" for name, (k, n, scale, *_) in METRICS.items())
+    rates = ",\n  ".join(f"(2 * {k} + {unit}) * {scale} // (2 * greatest({n}, 1)) AS {name}" for name, (k, n, scale, unit, _) in METRICS.items())
     metric_cols = ", ".join(METRICS)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -229,13 +245,11 @@ k AS (SELECT d.rid, doc_id, lang, source, coalesce(n_words, 0) AS n_words, lengt
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   {rates} FROM k),
 s AS (SELECT lang, source, metric, {bucket} AS bucket, count(*) AS n FROM ({unions}) GROUP BY ALL),
-{quant("o", "s", "lang, source")},
-{quant("g1", "s", "lang")},
-{quant("a1", "s", "")},
-p AS (SELECT o.lang, o.source, o.metric, {picks}
-  FROM o JOIN g1 ON o.lang IS NOT DISTINCT FROM g1.lang AND o.metric = g1.metric JOIN a1 ON o.metric = a1.metric),
-f AS (SELECT lang, source, map_from_entries(list((metric, (q9 + {REACH} * (q9 - q5))::BIGINT))) AS hi,
-  map_from_entries(list((metric, greatest(0, q1 - {REACH} * (q5 - q1))::BIGINT))) AS lo FROM p GROUP BY lang, source)
+{merged_sql("every", "")}, {merged_sql("each", "lang, ")}, e AS (SELECT metric, bucket, n * {PARTS} AS n FROM every),{leaning_sql("by_lang", "each", "lang", "e", "")},{leaning_sql("own", "s", "lang, source", "by_lang", "lang")},
+c2 AS (SELECT lang, source, metric, bucket, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM own),
+p AS (SELECT lang, source, metric, {reach} FROM c2 GROUP BY ALL),
+f AS (SELECT lang, source, map_from_entries(list((metric, (q8 + {REACH} * (q8 - q5))::BIGINT))) AS hi,
+  map_from_entries(list((metric, greatest(0, q2 - {REACH} * (q5 - q2))::BIGINT))) AS lo FROM p GROUP BY lang, source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND {checks} AS kept, {metric_cols}
 FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source"""
