@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import EDGES, LONG, docs, grouped
@@ -374,6 +375,47 @@ def test_embedding_ids_repeat_and_are_null(spark):
     assert got == [(-1, 0, None, False), (-1, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (9, 0, 9, True)]
 
 
+def planted_pairs():
+    """Twenty pairs among 6,020 vectors that have nothing near."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 24))
+    return np.concatenate([x, x[:20] + 0.01 * rng.normal(size=(20, 24))])
+
+
+def test_audit_meets_the_few_links_there_are(spark, caplog):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(planted_pairs())], "vec_id long, embedding array<double>")
+    with caplog.at_level("INFO", logger=embedding.LOG.name):
+        got = {r.vec_id: r.n_links for r in embedding.near_duplicates(df).collect()}
+    assert {i for i, n in got.items() if n} == {*range(20), *range(6000, 6020)}
+    assert any("40 of them with 40 links, recall 1.0" in m for m in caplog.messages), caplog.messages
+
+
+def test_lost_links_fail(spark, monkeypatch):
+    """All that the search has found is thrown away: the audit notices, though hardly any vector has a link."""
+    keep = embedding.linked
+    monkeypatch.setattr(embedding, "linked", lambda routed, least: (keep(routed, least)[0].limit(0), keep(routed, least)[1]))
+    monkeypatch.setattr(embedding, "MOST_OVERLAP", 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(planted_pairs()[4000:])], "vec_id long, embedding array<double>")
+    assert embedding.near_duplicates.__module__ == embedding.__name__
+    some = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(planted_pairs())], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall 0.0 of 40"):
+        embedding.near_duplicates(some)
+    # Without a single link there is nothing to lose.
+    assert embedding.near_duplicates(df).where("n_links > 0").count() == 0
+
+
+def test_one_hot_group_hides_no_other(spark):
+    """Recall is a mean over classes: links lost by many small groups show beside a group with most of all links."""
+    rng = np.random.default_rng(2)
+    hot = rng.normal(size=16) + 0.01 * rng.normal(size=(150, 16))
+    pairs = np.repeat(rng.normal(size=(60, 16)), 2, 0) + 0.01 * rng.normal(size=(120, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([hot, pairs]))], "vec_id long, embedding array<double>")
+    one = embedding.classes(df).groupBy("key").agg(F.first("blob").alias("blob"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")).persist()
+    links = one.where("least < 150").select("key", F.lit(149).cast("long").alias("links"))
+    seen = embedding.audit(one, links, one.select("key", F.lit(1).alias("near")), 0.95)
+    assert seen.links > 200 and seen.recall < 0.75
+
+
 def test_audit_below_the_target_fails(spark, monkeypatch):
     monkeypatch.setattr(embedding, "TARGET", 1.1)
     monkeypatch.setattr(embedding, "MOST_OVERLAP", 4)
