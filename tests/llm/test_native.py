@@ -223,6 +223,37 @@ def test_two_writers(spark):
     assert sorted(r.doc_id for r in store.read().collect()) == [100, 101, 102, 103, 200, 201, 202, 203] and store.manifest()["version"] == 8
 
 
+def test_whole_catalogue_as_sql(spark):
+    """Every known text as it is, in capitals inside a document, and cut short, against the SQL over the same catalogue."""
+    import duckdb
+    import pandas as pd
+
+    from verisift.llm.license_texts import whole_texts
+
+    texts = [t for _, t in whole_texts()]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    rows += [(1000 + i, f"Some program.\n\n{t.upper() if i % 2 else t}\n \nThe end.", "en", "a") for i, t in enumerate(texts)]
+    rows += [(3000 + i, t[: len(t) // 2], "en", "a") for i, t in enumerate(texts)] + EDGES
+    con = duckdb.connect()
+    given = pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"], dtype=object)
+    con.register("given", given)
+    con.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text::VARCHAR AS text FROM given")
+    cols = ["doc_id", "digest", "license", "notices"]
+    want = sorted(map(repr, con.execute(f"SELECT {', '.join(cols)} FROM ({licenses.SQL})").fetchall()))
+    got = sorted(repr(tuple(r)) for r in licenses.scan(docs(spark, rows)).select(*cols).collect())
+    assert got == want
+    assert sum(r.license is not None for r in licenses.scan(docs(spark, rows[: len(texts)])).collect()) == len(texts)
+
+
+def test_licences_that_share_a_text(spark, monkeypatch):
+    from verisift.llm.license_texts import ISC, whole_texts
+
+    twice = [*whole_texts(), ("Another-Name", ISC)]
+    monkeypatch.setattr(licenses, "whole_texts", lambda: twice)
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, [(1, ISC, "en", "a"), (2, f"A tool.\n\n{ISC}\n\nEnd.", "en", "a")])).collect()}
+    assert got[1].license == "Another-Name,ISC" and (got[2].license, got[2].notices) == (None, "Another-Name,ISC")
+
+
 def test_licence_lines_of_the_given_documents(spark):
     """All lines that name a licence, found by their words and not by the catalogue."""
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

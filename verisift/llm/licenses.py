@@ -3,15 +3,14 @@
 A text's canonical form: lower case, copyright lines dropped, equivalent spellings made one, everything but letters and
 digits turned into single blanks. Whole texts are matched by hash join with the digests of known
 licence texts; a text's lines and paragraphs are texts of their own, so that a notice inside a document is found by
-the same join. So are runs of as many paragraphs as a known text has; they are hashed where the first paragraph is that of
-a known text. The known digests come from the same expressions and are a few dozen rows.
+the same join. So are runs of as many paragraphs as a known text has, which begin where a paragraph's digest joins that of a known text's first one. The known
+digests come from the same expressions and are a few hundred rows.
 
-A notice is looked up in the catalogue's digests where its document stands, as a literal of the plan, so that no document is
-shuffled; whole texts go through the join. SQL knows the texts of TEXTS alone, and their lines and single paragraphs: it agrees where no
-text of license_files and no licence of several paragraphs stands in a document.
+Only texts that hold one of the words which every known text has are taken apart; what their digests meet goes back to the rows by the text's hashes.
 
 Edge cases: null and empty texts have the digest of the empty form and match nothing; repeated rows are
-scanned one by one; an empty table gives an empty result; columns other than doc_id and text are not read.
+scanned one by one; licences that share a text all count, in order of name, joined by a comma; a very long text is one row of the scan, and its lines rows
+of their own; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm.common import table
-from verisift.llm.license_texts import TEXTS, whole_texts
+from verisift.llm.common import small_side, staged, table, text_keys
+from verisift.llm.license_texts import whole_texts
 
 #: Lines that say who holds the copyright: with a sign, a year or "by", so that prose on copyright stays.
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright *(\(c\)|©|by )|copyright[^a-z0-9\n]*([0-9]{4}|year|yyyy|<|\[)|(©|\(c\)) *[0-9]{4}|all rights reserved)[^\n]*$"
@@ -32,17 +31,34 @@ SPELLINGS = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; empty if nothing is left."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+def _without_copyright(low: Column) -> Column:
     # Most texts have no such word: they skip the costlier pattern.
-    t = F.when(F.rlike(t, F.lit(r"copyright|©|\(c\)|all rights")), F.regexp_replace(t, COPYRIGHT, " ")).otherwise(t)
-    t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
-    spelled = F.concat(F.lit(" "), t, F.lit(" "))
+    return F.when(F.rlike(low, F.lit(r"copyright|©|\(c\)|all rights")), F.regexp_replace(low, COPYRIGHT, " ")).otherwise(low)
+
+
+def _words(low: Column) -> Column:
+    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+
+
+def _spelled(words: Column) -> Column:
+    spelled = F.concat(F.lit(" "), words, F.lit(" "))
     for a, b in SPELLINGS:
         spelled = F.replace(spelled, F.lit(f" {a} "), F.lit(f" {b} "))
     hint = "|".join(a.split()[0] for a, _ in SPELLINGS)
-    return F.when(F.rlike(t, F.lit(hint)), F.trim(spelled)).otherwise(t)
+    return F.when(F.rlike(words, F.lit(hint)), F.trim(spelled)).otherwise(words)
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; empty if nothing is left."""
+    return _spelled(_words(_without_copyright(F.lower(F.coalesce(text, F.lit(""))))))
+
+
+def with_canonical(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """docs with the canonical form of a column, step by step: each step reads its input several times and is computed once."""
+    x = docs.withColumn(name, F.lower(F.coalesce(text, F.lit(""))))
+    for step in (_without_copyright, _words, _spelled):
+        x = x.withColumn(name, step(F.col(name)))
+    return x
 
 
 def paragraphs(text: Column) -> Column:
@@ -50,42 +66,42 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), canonical), lambda x: x != "")
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """(digest, license, first, n): a few dozen rows, from the texts in license_texts.py; first is the digest of the
-    first of the text's n paragraphs."""
+#: Every known text holds one of these, and so does each line or paragraph that is one.
+HINT = r"(?i)licen[sc]e|permission|redistribut"
+
+
+def known(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(digest, names) of the known texts, and (first, sizes): the digest of the first paragraph and the numbers of paragraphs of those that have several.
+    A few hundred rows, whatever the documents."""
     rows = spark.createDataFrame(whole_texts(), "license string, text string").withColumn("p", paragraphs(F.col("text")))
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", F.sha2(F.get("p", F.lit(0)), 256).alias("first"), F.size("p").alias("n")).distinct()
+    rows = rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", F.sha2(F.get("p", F.lit(0)), 256).alias("first"), F.size("p").alias("n"))
+    names = rows.groupBy("digest").agg(F.array_sort(F.collect_set("license")).alias("names"))
+    return names, rows.where("n > 1").groupBy("first").agg(F.collect_set("n").alias("sizes"))
+
+
+def notices(docs: DataFrame, names: DataFrame, begins: DataFrame) -> DataFrame:
+    """k1, k2 (hashes of the text) and notices of the texts that hold any."""
+    t = F.coalesce("text", F.lit(""))
+    told = docs.where(F.rlike("text", F.lit(HINT))).select(*text_keys(t), t.alias("t"))
+    parts = F.filter(F.concat(F.split("t", r"\n"), F.split("t", r"\n\s*\n")), lambda x: F.rlike(x, F.lit(HINT)))
+    single = told.select("k1", "k2", F.explode(F.array_distinct(parts)).alias("x")).select("k1", "k2", F.sha2(canonical(F.col("x")), 256).alias("digest"))
+    split = told.select("k1", "k2", paragraphs(F.col("t")).alias("p")).select("k1", "k2", "p", F.posexplode("p").alias("i", "x"))
+    runs = split.withColumn("first", F.sha2("x", 256)).join(F.broadcast(begins), "first").select("k1", "k2", "p", "i", F.explode("sizes").alias("n"))
+    runs = runs.select("k1", "k2", F.sha2(F.array_join(F.slice("p", F.col("i") + 1, F.col("n")), " "), 256).alias("digest"))
+    found = single.unionByName(runs).join(F.broadcast(names), "digest").select("k1", "k2", F.explode("names").alias("name"))
+    return found.groupBy("k1", "k2").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("notices"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest, license (of the whole text, null if unknown), notices (licences that lines, paragraphs or
     runs of paragraphs of the text are, in order of name, joined by a comma; empty if none)."""
-    spark = docs.sparkSession
-    rows = known(spark).collect()
-    held = sorted({(r["digest"], r["license"]) for r in rows})
-    names = F.create_map(*[F.lit(x) for row in held for x in row])  # the catalogue is in the code: a literal
-    lengths: dict[str, set[int]] = {}
-    for r in rows:
-        if r["n"] > 1:
-            lengths.setdefault(r["first"], set()).add(r["n"])
-    begins = F.create_map(*[c for first, ns in sorted(lengths.items()) for c in (F.lit(first), F.array(*map(F.lit, sorted(ns))))])
-    digest = F.sha2(canonical(F.col("text")), 256)
-    # Lines that can be a notice hold one of these words; others are not hashed.
-    hint = r"(?i)licen[sc]e|permission|redistribut"
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n"), lambda x: F.rlike(x, F.lit(hint)))
-    whole = F.filter(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), lambda x: F.rlike(x, F.lit(hint)))
-    single = F.transform(F.concat(lines, whole), lambda x: F.element_at(names, F.sha2(canonical(x), 256)))
-    # Every known text holds such a word, so a document without one has no run either.
-    has = F.coalesce(F.rlike("text", F.lit(hint)), F.lit(False))
-    split = docs.select("doc_id", "text", F.when(has, paragraphs(F.col("text"))).alias("_p"))
-    of = lambda i, n: F.element_at(names, F.sha2(F.array_join(F.slice("_p", i + 1, n), " "), 256))
-    runs = F.flatten(F.transform("_p", lambda x, i: F.transform(F.coalesce(F.element_at(begins, F.sha2(x, 256)), F.array().cast("array<int>")), lambda n: of(i, n))))
-    found = F.array_distinct(F.filter(F.concat(single, runs), lambda x: x.isNotNull()))
-    notices = F.when(F.col("_p").isNotNull(), F.array_join(F.sort_array(found), ",")).otherwise(F.lit(""))
-    out = split.select("doc_id", digest.alias("digest"), F.coalesce(notices, F.lit("")).alias("notices"))
+    names, begins = (staged(x, "license-catalogue") for x in known(docs.sparkSession))
+    found = staged(notices(docs, names, begins), "license-notices")
+    rows = with_canonical(docs.select("doc_id", "text", *text_keys(F.coalesce("text", F.lit("")))), "text", "form")
+    rows = rows.select("doc_id", "k1", "k2", F.sha2("form", 256).alias("digest"))
     # The join proper: digests of whole texts with the known ones.
-    catalogue = F.broadcast(spark.createDataFrame(held, "digest string, license string"))
-    return out.join(catalogue, "digest", "left").select("doc_id", "digest", "license", "notices")
+    whole = rows.join(F.broadcast(names), "digest", "left").join(small_side(found), ["k1", "k2"], "left")
+    return whole.select("doc_id", "digest", F.array_join("names", ",").alias("license"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,16 +117,20 @@ def _sql() -> str:
         return f"trim({s})"
 
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(k)}, {quote(t)})" for k, texts in TEXTS.items() for t in texts)
-    hint = r"(?i)licen[sc]e|permission|redistribut"
+    values = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in whole_texts())
+    parts = lambda x: f"list_filter(list_transform(regexp_split_to_array(coalesce({x}, ''), '\\n\\s*\\n'), lambda y: {form('y')}), lambda y: y <> '')"
     return f"""
 WITH v(license, text) AS (VALUES {values}),
-k AS (SELECT DISTINCT license, sha256({form('text')}) AS digest FROM v),
+w AS (SELECT license, {form('text')} AS whole, {parts('text')} AS p FROM v),
+k AS (SELECT sha256(whole) AS digest, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM w GROUP BY 1),
+s AS (SELECT DISTINCT p[1] AS first, len(p) AS n FROM w WHERE len(p) > 1),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-p AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM d UNION ALL SELECT rid, unnest(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n')) FROM d),
-n AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM p JOIN k ON k.digest = sha256({form('x')}) WHERE regexp_matches(x, '{hint}') GROUP BY rid)
-SELECT doc_id, sha256({form('text')}) AS digest, license, coalesce(notices, '') AS notices
-FROM (SELECT * FROM d) LEFT JOIN n USING (rid) LEFT JOIN (SELECT digest AS dg, license FROM k) ON dg = sha256({form('text')})"""
+p AS (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d UNION ALL SELECT rid, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) FROM d WHERE regexp_matches(text, '{HINT}')),
+q AS (SELECT rid, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT rid, {parts('text')} AS p FROM d WHERE regexp_matches(text, '{HINT}'))),
+f AS (SELECT rid, sha256({form('x')}) AS digest FROM p WHERE regexp_matches(x, '{HINT}') UNION ALL SELECT rid, sha256(array_to_string(p[i:i + n - 1], ' ')) FROM q JOIN s ON s.first = p[i]),
+n AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM (SELECT rid, unnest(string_split(names, ',')) AS name FROM f JOIN k USING (digest)) GROUP BY rid)
+SELECT doc_id, sha256({form('text')}) AS digest, names AS license, coalesce(notices, '') AS notices
+FROM d LEFT JOIN n USING (rid) LEFT JOIN k ON k.digest = sha256({form('text')})"""
 
 
 SQL = _sql()
