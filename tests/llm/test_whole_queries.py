@@ -43,17 +43,17 @@ def brute_toxicity(rows, labels):
             every[f] = every.get(f, 0) + 1
             toxic[f] = toxic.get(f, 0) + (known[k] > 0)
 
-    def log_odds(word):
+    def log_odds(word, own):
         p = share
         for f in beginnings(word):
-            p = (toxic.get(f, 0) + toxicity.PRIOR * p) / (every.get(f, 0) + toxicity.PRIOR)
+            # own: the label of a text that does not count for itself
+            p = (toxic.get(f, 0) - (own or 0) + toxicity.PRIOR * p) / (every.get(f, 0) - (own is not None) + toxicity.PRIOR)
         return math.log(p / (1 - p)) - math.log(share / (1 - share))
 
-    found = []
-    for ws in words:
+    def scanned(ws, own=None):
         scores, seen, total = [], set(), 0.0
         for w in ws:
-            v = log_odds(w)
+            v = log_odds(w, own)
             if v >= toxicity.LEAST:
                 if total <= 0:
                     seen, total = set(), 0.0
@@ -63,22 +63,31 @@ def brute_toxicity(rows, labels):
                 v = 0.0
             scores.append(v - toxicity.DRIFT)
             total += v - toxicity.DRIFT
-        found.append(all_segments(scores))
-    best = np.array([max((v for v, _, _ in s), default=0.0) for s in found])
+        return all_segments(scores)
+
     n = np.array([len(w) for w in words], float)
+    greatest = lambda found: np.array([max((v for v, _, _ in s), default=0.0) for s in found])
+    # The law and the curve: labelled rows, each without itself.
     distinct = list({rows[k]: k for k in train}.values())
     y = np.array([known[k] > 0 for k in distinct])
-    clean = np.array(distinct)[~y]
-    b, a = np.polyfit(np.log(n[clean] + 1), best[clean], 1)
-    scale = max(np.std(best[clean] - a - b * np.log(n[clean] + 1)) * math.sqrt(6) / math.pi, 0.1)
+    left = [scanned(words[k], int(known[k] > 0)) for k in distinct]
+    best, m = greatest(left), n[distinct]
+    b, a = np.polyfit(np.log(m[~y] + 1), best[~y], 1)
+    scale = max(np.std(best[~y] - a - b * np.log(m[~y] + 1)) * math.sqrt(6) / math.pi, 0.1)
     p_value = lambda v, m: 1 - math.exp(-math.exp(-((v - a - b * math.log(m + 1)) / scale + np.euler_gamma)))
-    tails = [[(p_value(v, m), i, j) for v, i, j in s] for s, m in zip(found, n, strict=True)]
-    kept = [[x for x in t if x[0] <= toxicity.LEVEL] for t in tails]
-    surprise = np.array([min(-math.log(p_value(v, m)), toxicity.MOST) for v, m in zip(best, n, strict=True)])
-    evidence = np.array([-sum(math.log(p) for p, _, _ in k) for k in kept])
-    x = np.column_stack([surprise, np.log1p(evidence), np.log1p(n)])
-    z = np.column_stack([np.ones(len(x)), x]) @ fitted(x[distinct], y)
-    return list(zip((1 / (1 + np.exp(-z))).tolist(), [len(k) for k in kept], best.tolist(), strict=True))
+
+    def inputs(found, n):
+        tails = [[(p_value(v, m), i, j) for v, i, j in s] for s, m in zip(found, n, strict=True)]
+        kept = [[x for x in t if x[0] <= toxicity.LEVEL] for t in tails]
+        surprise = np.array([min(-math.log(p_value(v, m)), toxicity.MOST) for v, m in zip(greatest(found), n, strict=True)])
+        evidence = np.array([-sum(math.log(p) for p, _, _ in k) for k in kept])
+        return np.column_stack([surprise, np.log1p(evidence), np.log1p(n)]), kept
+
+    curve = fitted(inputs(left, m)[0], y)
+    found = [scanned(ws) for ws in words]
+    x, kept = inputs(found, n)
+    z = np.column_stack([np.ones(len(x)), x]) @ curve
+    return list(zip((1 / (1 + np.exp(-z))).tolist(), [len(k) for k in kept], greatest(found).tolist(), strict=True))
 
 
 def toxic_rows(seed):

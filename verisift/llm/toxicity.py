@@ -8,7 +8,8 @@ negative expectation. One linear scan then finds all maximal segments of a text,
 extension or part beats. Each is judged by an extreme-value law: the location of the
 maximum grows with the logarithm of the text's length. All segments whose tail probability is at most LEVEL are passages. A logistic curve over
 the greatest segment's surprise (minus the logarithm of its tail probability), the passages' evidence (the sum of theirs) and the length,
-fitted on labelled rows, gives the score.
+fitted on labelled rows, gives the score. The law and the curve see each labelled text as the model would if that text had not been counted: its own
+share is taken out of the counts, so that they hold for texts that the counts do not know.
 A word counts once in a passage: its repeats only drift until the running sum of scores has fallen back to zero.
 
 The model is of fixed size: features are hashed into 2**BITS slots, so it is broadcast whatever the vocabulary.
@@ -16,7 +17,8 @@ Counts cover all labelled training rows; only the curve is fitted on a bounded s
 
 Edge cases: null and empty texts have no token and get the score of an empty segment; a text without
 letters likewise; rows that share a doc_id are scored one by one; labels that are null or repeated: null ones are
-left out, the greatest counts; an empty table gives an empty result; without labels of both classes every
+left out, the greatest counts; a very long text is scanned whole, in a batch of its own if need be; other columns, whatever their names, are not
+read; an empty table gives an empty result; without labels of both classes every
 score is the share of toxic labels (0 without labels).
 """
 
@@ -155,22 +157,24 @@ class Model:
     scale: float = 1.0
     curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
-    def log_odds(self, slots: np.ndarray) -> np.ndarray:
+    def log_odds(self, slots: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Log-odds of words beyond those of all texts. The prior of all texts passes down from the shortest
-        beginning to the whole word: each is the Dirichlet prior of the next longer one."""
+        beginning to the whole word: each is the Dirichlet prior of the next longer one. own: for words of texts that were counted, whether their
+        text is toxic; it is left out of the counts then, in each of which it stands once."""
         p = np.full(len(slots), self.share)
+        toxic, one = (0.0, 0.0) if own is None else (own.astype(float), 1.0)
         for k in [*range(1, slots.shape[1]), 0]:
             s = slots[:, k]
-            new = (self.toxic[s] + PRIOR * p) / (self.every[s] + PRIOR)
+            new = (self.toxic[s] - toxic + PRIOR * p) / (self.every[s] - one + PRIOR)
             p = new if k == 0 else np.where(s == slots[:, 0], p, new)
         return np.log(p / (1 - p)) - np.log(self.share / (1 - self.share))
 
-    def words(self, slots: np.ndarray, text: np.ndarray) -> np.ndarray:
+    def words(self, slots: np.ndarray, text: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Score of each word; a word that stood before in its passage only drifts. A passage ends with its text, or where
         the running sum of scores falls back to zero."""
         if not 0 < self.share < 1 or not len(slots):
             return np.full(len(slots), -DRIFT)
-        out = self.log_odds(slots)
+        out = self.log_odds(slots, own)
         out[out < LEAST] = 0.0
         toxic = np.flatnonzero(out > 0)
         again, seen, sum_, before, last_text = [], set(), 0.0, -1, -1
@@ -199,7 +203,8 @@ class Model:
 
 
 def scan(docs: DataFrame, model: Model, label: str | None = None) -> DataFrame:
-    """Segments of every text, one row for each row of docs (doc_id, text). The column label is passed on as toxic."""
+    """Segments of every text, one row for each row of docs (doc_id, text). label: the column that docs were counted by; each text is then left out of the
+    counts that it is scored by, and the label is passed on as toxic."""
     kept = ["doc_id", "held_out", "k1", "k2", "toxic"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB whatever the input
 
@@ -209,7 +214,9 @@ def scan(docs: DataFrame, model: Model, label: str | None = None) -> DataFrame:
         m = sent.value
         for batch in chunks(batches):
             slots, bounds, begin, end = features([t or "" for t in batch.column("text").to_pylist()])
-            w = m.words(slots, np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            own = np.array([(y or 0) > 0 for y in batch.column("toxic").to_pylist()], bool)[text] if label else None
+            w = m.words(slots, text, own)
             rows = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 found = segments(w[a:b])
