@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.llm.columns import repeated_columns
-from verisift.llm.common import parts, small_batches, small_side, staged, table, text_keys
+from verisift.llm.common import drop_staged, parts, small_batches, small_side, staged, table, text_keys
 
 LENGTH, GRAM = 200, 32
 #: Distinct pieces of a group that one task compares, and pieces of a batch there.
@@ -233,9 +233,10 @@ def settled(rows: DataFrame) -> DataFrame:
     return staged(dealt.mapInArrow(run, "status int, key long, h long, k1 long, k2 long, at long"), "suffix-settled")
 
 
-def fetched(needles: DataFrame, of: DataFrame) -> DataFrame:
+def fetched(needles: DataFrame, of: DataFrame, held: list[DataFrame]) -> DataFrame:
     """needles (status, key, h, k1, k2, at) with the bytes of their pieces, cut out of the texts. Each text is cut once, however often it occurs."""
     wanted = staged(needles.groupBy("k1", "k2").agg(F.collect_list(F.struct("status", "key", "h", "at")).alias("of")), "suffix-needles")
+    held.append(wanted)
     keys = small_side(wanted.select("k1", "k2"), 1_000_000)
     bodies = of.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("body").alias("body"))
 
@@ -324,18 +325,21 @@ def _windows(rows: DataFrame) -> DataFrame:
     return rows.select("k1", "k2", start.alias("from"), (start + F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("to"))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """k1, k2, from, to: ranges of window starts of each text at which a string begins that begins anywhere else too. Ranges may meet and come again."""
+def repeated_windows(docs: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """k1, k2, from, to: ranges of window starts of each text at which a string begins that begins anywhere else too. Ranges may meet and come again. held
+    takes the staged tables that the result is read from."""
     of = texts(docs)
     rows, found = pieces(of, hot_anchors(docs)), []
     for width in (*BLOCKS, None):
         s = settled(rows)
+        held.append(s)
         found.append(_windows(s.where(F.col("status") == REPEAT)))
         needles, hot = s.where(F.col("status") == COMPARE), s.where(F.col("status") == HOT)
         more = width is not None and not hot.isEmpty()
         if not hot.isEmpty():
             many = F.col("at").bitwiseAND(F.lit(1 << 16)) != 0
             kinds = staged(hot.groupBy("key", "h").agg((F.sum(F.when(many, 2).otherwise(1)) > 1).alias("again"), F.min(F.struct("k1", "k2", "at")).alias("e")), "suffix-hot")
+            held.append(kinds)
             twice = small_side(kinds.where("again").select("key", "h"), 1_000_000)
             found.append(_windows(hot.join(twice, ["key", "h"], "left_semi")))
             at = F.col("e.at").bitwiseAND(F.lit(~(1 << 16))).bitwiseOR(F.when(F.col("again"), 1 << 16).otherwise(0).cast("long"))
@@ -343,8 +347,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 needles = needles.unionByName(kinds.select(F.lit(HOT).alias("status"), "key", "h", "e.k1", "e.k2", at.alias("at")))
         if needles.isEmpty():
             break
-        cut = staged(fetched(needles, of), "suffix-pieces")
-        found.append(staged(compared(cut.where(F.col("status") == COMPARE)), "suffix-compared"))
+        cut = staged(fetched(needles, of, held), "suffix-pieces")
+        same = staged(compared(cut.where(F.col("status") == COMPARE)), "suffix-compared")
+        held += [cut, same]
+        found.append(same)
         if not more:
             break
         rows = split(cut.where(F.col("status") == HOT), width)
@@ -360,7 +366,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     t = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(t), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t.cast("binary"), 256).alias("sha"))
-    ranges = repeated_windows(docs)
+    held: list[DataFrame] = []
+    ranges = repeated_windows(docs, held)
     again = staged(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2"), "suffix-copies")
     # Texts that occur twice go whole; for the rest each range of windows covers LENGTH - 1 bytes more.
     cover = F.sort_array(F.collect_set(F.struct("from", "to")))
@@ -392,6 +399,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     cut = bodies.join(spans, ["k1", "k2"]).select("k1", "k2", "body", "spans").mapInArrow(run, "k1 long, k2 long, removed long, spans long, kept string")
     cut = staged(cut, "suffix-kept").select("k1", "k2", "removed", F.col("spans").alias("parts"), "kept")
+    drop_staged(*held, spans)
     j = rows.join(small_side(cut, 1_000_000), ["k1", "k2"], "left").join(small_side(again.withColumn("whole", F.lit(True)), 1_000_000), ["k1", "k2"], "left")
     whole = F.coalesce("whole", F.lit(False)) & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")
