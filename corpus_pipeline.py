@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verisift.llm import jaccard, mixing, packing, quality, toxicity
-from verisift.llm.common import staged, table
+from verisift.llm.common import drop_staged, staged, table
 
 #: Toxicity is a trained model and near-duplicate groups are a closure: tested against brute force instead.
 ORACLE_SQL = None
@@ -48,5 +48,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_staged(docs)  # what the stage before has written; the given table stays
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
