@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.operators.sampling import hash_sample
+from verisift.operators.sampling import hash_sample, order_hash
 from verisift.operators.staging import fresh
 from verisift.operators.versions import Versions
 from verisift.plans.base import Plan
 from verisift.plans.claims import DATA, dataset
 from verisift.sources import datasets
-from verisift.sources.views import CLAIMS, EVIDENCE, claims, evidence
+from verisift.sources.views import CLAIMS, EVIDENCE, claims, evidence, table
 
 P = Plan()
 #: Seconds that a dashboard's sample is served, and claims of it.
@@ -86,3 +86,33 @@ def claim_cascade_delete(spark, d):
     one = lambda name, kind, key, what: v.read(name, now).groupBy(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(what).alias("what")).agg(F.count(F.lit(1)).alias("n"))
     orphans = v.orphans("claims", "id", {"evidence": "claim_id"}, now).select(F.lit("orphan").alias("kind"), F.lit(0).cast("long").alias("id"), F.col("child").alias("what"), "n")
     return one("claims", "claim", "id", "status").unionByName(one("evidence", "evidence", "claim_id", "stance")).unionByName(orphans)
+
+
+@P.query(f"""WITH {CLAIMS}, s AS (SELECT claim_text, row_number() OVER (ORDER BY sha256(id::VARCHAR || '#1'), id) AS k FROM claims_v WHERE status = 'pending' QUALIFY k <= {SHOWN})
+SELECT count(*) AS n, coalesce(min(claim_text) FILTER (WHERE k = 1), '') AS first_claim, sha1(coalesce(string_agg(claim_text, chr(10) ORDER BY k), '')) AS checksum, coalesce(string_agg(claim_text, chr(10) ORDER BY k) FILTER (WHERE k <= 3), '') AS preview FROM s""")
+def dashboard_debug(spark, d):
+    """What the served sample holds: its size, first claim, the checksum of its claims in order, and the first three."""
+    kept = Versions(spark, fresh(spark, "dashboard"))
+    pending = claims(spark, d).where("status = 'pending'").select("id", "claim_text")
+    now = kept.fresh(lambda: {"sample": hash_sample(pending, "id", SHOWN, 1)}, 0, TTL)
+    # A sample's rows, SHOWN at most, in the order in which they were drawn.
+    rows = kept.read("sample", now).agg(F.array_sort(F.collect_list(F.struct(order_hash("id", 1).alias("h"), "id", "claim_text"))).alias("r"))
+    text = F.transform("r", lambda x: x["claim_text"])
+    joined = F.array_join(text, "\n")
+    return rows.select(F.size("r").cast("long").alias("n"), F.coalesce(F.get(text, F.lit(0)), F.lit("")).alias("first_claim"), F.sha1(joined).alias("checksum"), F.array_join(F.slice(text, 1, 3), "\n").alias("preview"))
+
+
+@P.query("""SELECT c_custkey AS asset_id, c_name AS name, count(o_orderkey) AS n_reports, max(o_orderdate) AS last_scan, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_report
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL UNION ALL SELECT NULL, 'orphans', count(*), NULL, NULL FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+def asset_reports(spark, d):
+    """Each asset (a customer) with its reports (orders): how many, the latest and when; assets without any stay, and reports without an asset are counted."""
+    v = Versions(spark, fresh(spark, "assets"))
+    assets = table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), F.col("c_name").alias("name"))
+    reports = table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("asset"), F.col("o_orderdate").alias("at"))
+    of = v.commit({"assets": assets, "reports": reports}, 0)
+    g = v.read("reports", of).groupBy("asset").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "report_id")).alias("last"))
+    told = v.read("assets", of).join(g, F.col("asset_id") == F.col("asset"), "left")
+    rows = told.select("asset_id", "name", F.coalesce("n", F.lit(0).cast("long")).alias("n_reports"), F.col("last.at").alias("last_scan"), F.col("last.report_id").alias("last_report"))
+    lost = v.orphans("assets", "asset_id", {"reports": "asset"}, of)
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.unionByName(lost.select(none("long").alias("asset_id"), F.lit("orphans").alias("name"), F.col("n").alias("n_reports"), none("timestamp_ntz").alias("last_scan"), none("long").alias("last_report")))
