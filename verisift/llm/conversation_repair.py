@@ -11,7 +11,7 @@ a count. The digest of a repaired conversation is one SHA-256 over its text, whi
 parallel, and only conversations of several chunks are hashed by streaming over these.
 
 Edge cases: null conv_id is a conversation of its own; null turns stand first; turns of equal number stand in the order of role, then of the text's
-SHA-256; a role that is empty or begins with any other letter can only be reroled or deleted; long texts pass in batches of few rows; other columns are not read; no
+SHA-256; a role that is empty or begins with any other letter can only be reroled or deleted; a very long text is one row of a batch of 1,000 and is not cut; other columns are not read; no
 conversations give no rows.
 """
 
