@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm.common import small_side, staged, table, text_keys
+from verisift.llm.common import drop_staged, small_side, staged, table, text_keys
 from verisift.llm.license_texts import whole_texts
 
 #: Lines that say who holds the copyright: with a sign, a year or "by", so that prose on copyright stays.
@@ -79,10 +79,15 @@ def known(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return names, rows.where("n > 1").groupBy("first").agg(F.collect_set("n").alias("sizes"))
 
 
-def notices(docs: DataFrame, names: DataFrame, begins: DataFrame) -> DataFrame:
-    """k1, k2 (hashes of the text) and notices of the texts that hold any."""
-    t = F.coalesce("text", F.lit(""))
-    told = docs.where(F.rlike("text", F.lit(HINT))).select(*text_keys(t), t.alias("t"))
+def telling(docs: DataFrame) -> DataFrame:
+    """k1, k2 (hashes of the text) and t of the rows whose text holds a word of HINT, told by plain search in lower case."""
+    low = F.lower("text")
+    has = F.contains(low, F.lit("license")) | F.contains(low, F.lit("licence")) | F.contains(low, F.lit("permission")) | F.contains(low, F.lit("redistribut"))
+    return docs.where(has).select(*text_keys(F.col("text")), F.col("text").alias("t"))
+
+
+def notices(told: DataFrame, names: DataFrame, begins: DataFrame) -> DataFrame:
+    """k1, k2 and notices of the texts (telling()) that hold any."""
     parts = F.filter(F.concat(F.split("t", r"\n"), F.split("t", r"\n\s*\n")), lambda x: F.rlike(x, F.lit(HINT)))
     single = told.select("k1", "k2", F.explode(F.array_distinct(parts)).alias("x")).select("k1", "k2", F.sha2(canonical(F.col("x")), 256).alias("digest"))
     split = told.select("k1", "k2", paragraphs(F.col("t")).alias("p")).select("k1", "k2", "p", F.posexplode("p").alias("i", "x"))
@@ -96,7 +101,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest, license (of the whole text, null if unknown), notices (licences that lines, paragraphs or
     runs of paragraphs of the text are, in order of name, joined by a comma; empty if none)."""
     names, begins = (staged(x, "license-catalogue") for x in known(docs.sparkSession))
-    found = staged(notices(docs, names, begins), "license-notices")
+    told = staged(telling(docs), "license-texts")  # read twice, and few
+    found = staged(notices(told, names, begins), "license-notices")
+    drop_staged(told)
     rows = with_canonical(docs.select("doc_id", "text", *text_keys(F.coalesce("text", F.lit("")))), "text", "form")
     rows = rows.select("doc_id", "k1", "k2", F.sha2("form", 256).alias("digest"))
     # The join proper: digests of whole texts with the known ones.
