@@ -88,6 +88,66 @@ def test_rules_by_brute_force(seed):
     assert max(left.values(), default=0) <= repair.RULE // 2
 
 
+def varied_shard(seed):
+    """Documents of phrases of many lengths and counts, and of runs, so that many rounds are made at the lowest count."""
+    rng = np.random.default_rng(seed)
+    phrases = [rng.integers(0, 3000, int(rng.integers(2, 200))).astype(np.uint32) for _ in range(300)]
+    lists = [np.concatenate([phrases[min(int(k), 300) - 1] for k in rng.zipf(1.2, 25)]) for _ in range(60)]
+    return [np.repeat(x, rng.integers(1, 6, len(x))) if i % 20 == 0 else x for i, x in enumerate(lists)]
+
+
+def test_rounds_at_one_count_look_at_changed_places_only(monkeypatch):
+    """Rounds at the lowest count are most of all rounds; the positions that are counted stay below what the falling counts take."""
+    docs, seen, rounds = varied_shard(1), 0, 0
+    count, order = np.bincount, np.lexsort
+
+    def bincount(x, *args, **more):
+        nonlocal seen
+        seen += len(x)
+        return count(x, *args, **more)
+
+    def lexsort(keys):
+        nonlocal rounds
+        rounds += 1
+        return order(keys)
+
+    monkeypatch.setattr(np, "bincount", bincount)
+    monkeypatch.setattr(np, "lexsort", lexsort)
+    repair.pack([None] * len(docs), docs)
+    assert rounds >= 15 and seen < 8 * sum(map(len, docs))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_on_changed_places_make_the_grammar_of_all_places(seed, monkeypatch):
+    docs = varied_shard(seed)
+    if seed == 3:
+        docs = [x + np.uint32(65_000) for x in docs]  # wide symbols
+    names = list(range(len(docs)))
+    blob, some = repair.pack(names, docs), repair._pairs_to_replace
+    monkeypatch.setattr(repair, "_pairs_to_replace", lambda s, ends, at, least, most: some(s, ends, np.arange(len(s) - 1), least, most))
+    assert repair.pack(names, docs) == blob
+    assert all((repair.Shard(blob).document(i) == x).all() for i, x in enumerate(docs))
+
+
+def test_new_words_go_to_the_library_as_one_text():
+    """Words that begin with a blank need no call each; and two words whose slots are both taken are told apart."""
+    tok, single = TokenIds(default_tokenizer(), 2), []
+
+    class Library:
+        def encode_batch_fast(self, texts, is_pretokenized=False, **more):
+            single.extend(texts[0] if is_pretokenized else [])
+            return tok_library.encode_batch_fast(texts, is_pretokenized=is_pretokenized, **more)
+
+    tok_library, tok.library = tok.library, Library()
+    r = random.Random(5)
+    text = "First" + "".join(" " + "".join(r.choices("abcdeéß日", k=r.randint(1, 9))) for _ in range(3000)) + " 12, \n!"
+    assert tok.encode([text])[0].tolist() == ids_of(text)
+    assert len(single) < 10
+    tok.slots[1:] = 1  # all slots but the end's are taken by another entry
+    for _ in range(2):
+        assert tok.encode([text])[0].tolist() == ids_of(text)
+
+
 def test_output_edges(spark):
     df = docs(spark, EDGES)
     path = fresh_path(spark, "test")

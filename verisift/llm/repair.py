@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -33,89 +34,121 @@ RULE = 12
 NARROW = 1 << 16
 
 
-def _pairs_to_replace(s: np.ndarray, last: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the most frequent pairs (descending) and, for each position, the rank of its pair or -1. In a run of one
-    symbol every other position counts, so occurrences of a pair never overlap."""
-    key = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-    with np.errstate(over="ignore"):
-        h = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
-    ok = ~last[:-1]
-    twin = np.flatnonzero(ok & (s[:-1] == s[1:]))
+def _frequent_places(s: np.ndarray, least: int) -> np.ndarray:
+    """Positions of all pairs that occur at least so often, and of some that share a bucket with others."""
+    h = s[:-1] * np.uint32(0x9E3779B1)
+    h += s[1:]
+    h *= np.uint32(0x85EBCA77)
+    h >>= np.uint32(32 - _BINS)
+    bins = h.astype(np.int64)
+    return np.flatnonzero((np.bincount(bins, minlength=1 << _BINS) >= least)[bins])
+
+
+def _pairs_to_replace(s: np.ndarray, ends: np.ndarray, at: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the most frequent pairs (descending), the positions of these pairs with the rank of each, and the positions of all pairs that are
+    frequent enough. at: ascending, with all positions of such pairs. In a run of one symbol every other position counts, so occurrences of a pair
+    never overlap; a pair does not begin at the end of a document."""
+    import pandas as pd
+
+    ended = np.zeros(len(s), bool)
+    ended[ends] = True
+    at = at[~ended[at]]
+    left, right = s[at], s[at + 1]
+    twin = np.flatnonzero(left == right)
     if twin.size:
-        begins = np.concatenate([[True], np.diff(twin) > 1])
+        begins = np.concatenate([[True], np.diff(at[twin]) > 1])
         place = np.arange(len(twin)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        ok = np.ones(len(at), bool)
         ok[twin[place % 2 == 1]] = False
-    n = np.bincount(h[ok], minlength=1 << _BINS)
-    cand = np.flatnonzero((n[h] >= least) & ok)
-    rank = np.full(len(key), -1, np.int32)
-    if not cand.size:
-        return np.empty(0, np.uint64), rank
-    import pandas as pd
-
-    codes, keys = pd.factorize(key[cand])
-    count = np.bincount(codes)
+        at, left, right = at[ok], left[ok], right[ok]
+    codes, keys = pd.factorize((left.astype(np.uint64) << np.uint64(32)) | right)
+    count = np.bincount(codes, minlength=len(keys))
     order = np.lexsort((keys, -count))  # ties by key: the same shard gives the same grammar
-    order = order[count[order] >= least][:most]
+    order = order[count[order] >= least]
     place = np.full(len(keys), -1, np.int32)
     place[order] = np.arange(len(order))
-    rank[cand] = place[codes]
-    return keys[order], rank
+    rank = place[codes]
+    often = at[rank >= 0]
+    if len(order) > most:
+        order = order[:most]
+        rank[rank >= most] = -1
+    some = np.flatnonzero(rank >= 0)
+    return keys[order], at[some], rank[some], often
+
 
+def _rounds(s: np.ndarray, ends: np.ndarray, first: int, rules: list[np.ndarray], room: int, lowest: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], bool]:
+    """Symbols, document ends and rules after all rounds down to the lowest count; and whether the room ran out first.
 
-def _rounds(s: np.ndarray, last: np.ndarray, first: int, rules: list[np.ndarray], room: int, lowest: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], bool]:
-    """Symbols, document ends and rules after all rounds down to the lowest count; and whether the room ran out first."""
+    All positions are looked at when the count falls. At the same count, a pair can only be frequent if it was so before or is new: rounds then look
+    at these positions alone, and at runs of one symbol, where the places that count may move."""
     made = sum(map(len, rules))
     steps = [max(lowest, len(s) * x // 1_000_000) for x in ROUNDS]
     least = lowest if rules else steps.pop(0)
+    active = None
     while len(s) > 1:
         if made >= room:
-            return s, last, rules, True
-        keys, rank = _pairs_to_replace(s, last, least, room - made)
+            return s, ends, rules, True
+        at = _frequent_places(s, least) if active is None else active
+        keys, at, rank, often = _pairs_to_replace(s, ends, at, least, room - made)
         take = np.empty(0, np.int64)
         if len(keys):
             # An occurrence is replaced if no overlapping one has a better rank.
             big = np.int32(2**31 - 1)
-            r = np.where(rank < 0, big, rank)
-            left = np.concatenate([[big], r[:-1]])
-            right = np.concatenate([r[1:], [big]])
-            take = np.flatnonzero((r < big) & (r < left) & (r <= right))
+            near = np.diff(at) == 1
+            left, right = np.full(len(at), big), np.full(len(at), big)
+            left[1:][near] = rank[:-1][near]
+            right[:-1][near] = rank[1:][near]
+            won = (rank < left) & (rank <= right)
+            take, rank = at[won], rank[won]
             # A pair that lost too many occurrences to better ones waits for the next round. The best pair loses none.
-            used = np.bincount(rank[take], minlength=len(keys)) >= least
-            take = take[used[rank[take]]]
+            used = np.bincount(rank, minlength=len(keys)) >= least
+            won = used[rank]
+            take, rank = take[won], rank[won]
+        before = least
+        if not len(take) and least == lowest:
+            break
+        least = steps.pop(0) if steps else max(lowest, least // 2)
         if len(take):
-            number = np.cumsum(used) - 1
-            s[take] = first + made + number[rank[take]]
-            last[take] |= last[take + 1]
+            active = None
             keep = np.ones(len(s), bool)
             keep[take + 1] = False
-            s, last = s[keep], last[keep]
+            number = np.cumsum(used) - 1
+            s[take] = first + made + number[rank]
+            if least == before:
+                fresh = np.zeros(len(s), bool)
+                fresh[often] = True
+                fresh[take] = True
+                fresh[np.maximum(take - 1, 0)] = True
+                fresh = fresh[keep][:-1]
+            s = s[keep]
+            if least == before:
+                active = np.flatnonzero(fresh | (s[:-1] == s[1:]))
+            ends = ends - np.searchsorted(take + 1, ends, side="right")
             keys = keys[used]
             rules = [*rules, np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)]
             made += len(keys)
-        elif least == lowest:
-            break
-        least = steps.pop(0) if steps else max(lowest, least // 2)
-    return s, last, rules, False
+        elif least != before:
+            active = None
+    return s, ends, rules, False
 
 
 def compress(ids: np.ndarray, doc_starts: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """First nonterminal, rules (left, right), symbols, and each document's first symbol."""
     s = ids.astype(np.uint32)
-    last = np.zeros(len(s), bool)
     ends = np.append(doc_starts[1:], len(s))
-    last[ends[ends > 0] - 1] = True
+    ends = np.unique(ends[ends > 0] - 1)
     first = int(s.max()) + 1 if len(s) else 0
     rules: list[np.ndarray] = []
     room, full = NARROW - first, True
     if room > 0:
-        s, last, rules, full = _rounds(s, last, first, rules, room, RULE // 2 + 1)
+        s, ends, rules, full = _rounds(s, ends, first, rules, room, RULE // 2 + 1)
     if full:
         # Symbols of four bytes: a rule pays sooner, but all symbols grow.
-        wide = _rounds(s.copy(), last.copy(), first, rules, 2**32 - 1 - first, RULE // 4 + 1)
+        wide = _rounds(s.copy(), ends, first, rules, 2**32 - 1 - first, RULE // 4 + 1)
         if room <= 0 or _bytes(wide[0], wide[2], 4) < _bytes(s, rules, 2):
-            s, last, rules, _ = wide
+            s, ends, rules, _ = wide
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
-    sym_starts = np.concatenate([[0], np.flatnonzero(last) + 1])[: len(doc_starts)] if len(doc_starts) else np.empty(0, np.int64)
+    sym_starts = np.concatenate([[0], ends + 1])[: len(doc_starts)] if len(doc_starts) else np.empty(0, np.int64)
     return first, table, s, sym_starts
 
 
@@ -123,25 +156,49 @@ def _bytes(s: np.ndarray, rules: list[np.ndarray], wide: int) -> int:
     return wide * len(s) + RULE * sum(map(len, rules))
 
 
+def _blocks(first: int, rules: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rules that rest on ids and rules before the stretch only."""
+    top = rules.max(axis=1).astype(np.int64) - first
+    a = 0
+    while a < len(top):
+        b, step = a + 1, 64
+        # A stretch ends at the first rule that rests on it.
+        while b < len(top):
+            own = np.flatnonzero(top[b : b + step] >= a)
+            if own.size:
+                b += int(own[0])
+                break
+            b, step = min(b + step, len(top)), step * 2
+        yield a, b
+        a = b
+
+
 def lengths(first: int, rules: np.ndarray) -> np.ndarray:
     """Expansion length of every rule."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((1 if a < first else out[a - first]) + (1 if b < first else out[b - first]))
-    return np.array(out, np.int64)
+    out = np.ones(len(rules), np.int64)
+    for a, b in _blocks(first, rules):
+        pair = rules[a:b].astype(np.int64) - first
+        out[a:b] = np.where(pair < 0, 1, out[np.maximum(pair, 0)]).sum(axis=1)
+    return out
 
 
 def expansions(first: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets, lengths and flat ids of all symbols that are rules."""
-    length = np.ones(len(rules), np.int64)
-    out: list[np.ndarray] = []
-    for i, (a, b) in enumerate(rules.tolist()):
-        x = np.array([a], np.uint32) if a < first else out[a - first]
-        y = np.array([b], np.uint32) if b < first else out[b - first]
-        out.append(np.concatenate([x, y]))
-        length[i] = len(out[-1])
-    flat = np.concatenate(out) if out else np.empty(0, np.uint32)
-    return np.cumsum(length) - length, length, flat
+    length = lengths(first, rules)
+    off = np.cumsum(length) - length
+    flat = np.empty(int(length.sum()), np.uint32)
+    for a, b in _blocks(first, rules):
+        symbols = rules[a:b].ravel()
+        pair = symbols.astype(np.int64) - first
+        low = pair < 0
+        pair = np.maximum(pair, 0)
+        n = np.where(low, 1, length[pair])
+        total = np.cumsum(n)
+        begin = total - n
+        ids = flat[np.repeat(np.where(low, 0, off[pair]) - begin, n) + np.arange(total[-1])]
+        ids[begin[low]] = symbols[low]
+        flat[off[a] : off[a] + total[-1]] = ids
+    return off, length, flat
 
 
 def pack(doc_ids: list, docs: list[np.ndarray]) -> bytes:

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Values that are hashed together, so that they stay in a core's cache.
+BLOCK = 1 << 14
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
@@ -22,17 +25,22 @@ def prefix_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Running sums of the values' hashes; a value's place counts from the last of the starts (ascending) at or before it."""
     n = len(values)
     out = np.zeros(n + 1, np.uint64)
-    base = np.zeros(n, np.int64)
-    base[starts] = starts
-    place = np.arange(n) - np.maximum.accumulate(base)
+    v, room = out[1:], np.empty(min(n, BLOCK), np.uint64)
+    bounds = np.concatenate([[0], starts, [n]]).astype(np.int64)
+    base = np.repeat(bounds[:-1], np.diff(bounds)).view(np.uint64)
     with np.errstate(over="ignore"):
-        v = (place.view(np.uint64) << np.uint64(21)) + values
-        v += np.uint64(0x9E3779B97F4A7C15)
-        v *= np.uint64(0xBF58476D1CE4E5B9)
-        v ^= v >> np.uint64(29)
-        v *= np.uint64(0x94D049BB133111EB)
-        v ^= v >> np.uint64(32)
-        np.cumsum(v, out=out[1:])
+        for a in range(0, n, BLOCK):
+            w = v[a : a + BLOCK]
+            x = room[: len(w)]
+            np.subtract(np.arange(a, a + len(w), dtype=np.uint64), base[a : a + BLOCK], out=w)
+            w <<= np.uint64(21)
+            w += values[a : a + BLOCK]
+            w += np.uint64(0x9E3779B97F4A7C15)
+            w *= np.uint64(0xBF58476D1CE4E5B9)
+            w ^= np.right_shift(w, np.uint64(29), out=x)
+            w *= np.uint64(0x94D049BB133111EB)
+            w ^= np.right_shift(w, np.uint64(32), out=x)
+        np.cumsum(v, out=v)
     return out
 
 

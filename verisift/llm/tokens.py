@@ -2,7 +2,8 @@
 
 A byte-level BPE splits a text into pre-tokens and encodes each of them on its own.
 Here numpy finds the pre-tokens of many texts at once, the library encodes each distinct
-pre-token once, and the ids of a text are gathered from that table. Texts that hold a
+pre-token once, and the ids of a text are gathered from that table. New words that begin with a
+blank go to the library as one text, which it splits before each blank; others go one by one. Texts that hold a
 special token's string or characters that the split cannot place are encoded by the library
 as they are. TokenIds.check() says whether a tokenizer file has this split; for any
 other file all texts go to the library.
@@ -28,6 +29,9 @@ _END = 0x110000
 #: Code points of texts that are handled together, and pre-tokens kept by a worker.
 CHUNK = 1 << 19
 KEPT = 1 << 20
+#: Bits of a hash that choose a pre-token's slot; where that is taken, the bits next to them choose another, and what stood there goes: it is encoded
+#: again when it is met.
+_SLOT_BITS = 22
 
 
 @functools.cache
@@ -80,10 +84,11 @@ class TokenIds:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.array([0], np.uint64)  # sorted hashes of pre-tokens
-        self.place = np.array([0])
-        self.off, self.len = np.array([0]), np.array([1])
-        self.flat = np.array([self.end_id], np.uint32)  # entry 0: the end of a text
+        self.slots = np.zeros(1 << _SLOT_BITS, np.int32)  # entries, 0 where free
+        self.known, self.filled = 1, 1  # entries and ids; the arrays below have room for more
+        self.keys = np.zeros(1 << 12, np.uint64)  # hashes of pre-tokens
+        self.off, self.len = np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int64)
+        self.flat = np.full(1 << 14, self.end_id, np.uint32)  # entry 0: the end of a text
 
     def plain(self, text: str) -> np.ndarray:
         return np.array([*self.library.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
@@ -111,7 +116,7 @@ class TokenIds:
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         ends = np.cumsum([len(texts[i]) + 1 for i in which]) - 1
         cp[ends] = _END
-        kind = _classes()[cp]
+        kind = np.take(_classes(), cp)
         if (bad := np.flatnonzero(kind == X)).size:
             slow = np.unique(np.searchsorted(ends, bad))
             for j in slow:
@@ -125,7 +130,8 @@ class TokenIds:
         hashes = span_hashes(prefix_sums(cp, starts), starts, stops)
         is_end = kind[starts] == D
         hashes[is_end] = 0
-        entries = self._entries(joined, starts, stops, hashes)
+        spaced = (cp[starts] == 32) & (kind[np.minimum(starts + 1, len(cp) - 1)] == L)
+        entries = self._entries(joined, starts, stops, hashes, spaced)
         n = self.len[entries]
         total = np.cumsum(n)
         ids = self.flat[np.repeat(self.off[entries] - (total - n), n) + np.arange(total[-1])]
@@ -162,38 +168,66 @@ class TokenIds:
                 start[q + 1 + k] = True  # the end of the text stands there at the latest
         return np.flatnonzero(start)
 
-    def _entries(self, joined: str, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def _entries(self, joined: str, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray, spaced: np.ndarray) -> np.ndarray:
+        """Entry of each pre-token. spaced: those of a blank and letters."""
         import pandas as pd
 
-        codes, distinct = pd.factorize(hashes)
-        if len(self.keys) > KEPT:
+        if self.known > KEPT:
             self.forget()
-        order = np.argsort(distinct)  # sorted needles are found several times faster
-        at = np.empty(len(distinct), np.int64)
-        at[order] = np.minimum(np.searchsorted(self.keys, distinct[order]), len(self.keys) - 1)
-        new = np.flatnonzero(self.keys[at] != distinct)
+        home = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        entries = self.slots[home]
+        new = np.flatnonzero(self.keys[entries] != hashes)
         if new.size:
+            entries[new] = self.slots[self._other(hashes[new])]
+            new = new[self.keys[entries[new]] != hashes[new]]
+        if new.size:
+            codes, distinct = pd.factorize(hashes[new])
             first = np.empty(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            first = first[new]
+            first[codes[::-1]] = new[::-1]
+            order = np.argsort(~spaced[first], kind="stable")
+            first = first[order]
             words = [joined[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-            got = np.array(self.library.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
-            # The ids of a pre-token hold its bytes exactly, so byte lengths say where each one ends.
-            size = np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in words])
-            last = np.searchsorted(np.cumsum(self.n_bytes[got]), size) + 1
-            count = np.diff(last, prepend=0)
-            grown = len(self.flat) + np.cumsum(count)
-            base = len(self.len)
-            self.flat = np.concatenate([self.flat, got])
-            self.off = np.concatenate([self.off, grown - count])
-            self.len = np.concatenate([self.len, count])
-            keys = distinct[new]
-            by = np.argsort(keys)
-            where = np.searchsorted(self.keys, keys[by])
-            self.keys = np.insert(self.keys, where, keys[by])
-            self.place = np.insert(self.place, where, (base + np.arange(len(new)))[by])
-            at[order] = np.searchsorted(self.keys, distinct[order])
-        return self.place[at][codes]
+            got, count = self._encoded(words, int(spaced[first].sum()), stops[first] - starts[first])
+            known, filled = self.known + len(words), self.filled + len(got)
+            self.keys, self.off, self.len = (_room(x, known) for x in (self.keys, self.off, self.len))
+            self.flat = _room(self.flat, filled)
+            self.flat[self.filled : filled] = got
+            self.off[self.known : known] = self.filled + np.cumsum(count) - count
+            self.len[self.known : known] = count
+            self.keys[self.known : known] = distinct[order]
+            own = np.empty(len(words), np.int32)
+            own[order] = np.arange(self.known, known)
+            home = home[first]
+            self.slots[np.where(self.slots[home] == 0, home, self._other(hashes[first]))] = np.arange(self.known, known)
+            self.slots[0] = 0  # the end's, whose hash is 0
+            self.known, self.filled = known, filled
+            entries[new] = own[codes]
+        return entries
+
+    @staticmethod
+    def _other(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(64 - 2 * _SLOT_BITS)) & np.uint64((1 << _SLOT_BITS) - 1)).astype(np.int64)
+
+    def _encoded(self, words: list[str], spaced: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (the first ones `spaced`, of so many code points) and how many each has."""
+        # The ids of a pre-token hold its bytes exactly, so byte lengths say where each one ends.
+        text = "".join(words)
+        letters = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        begins = np.append(np.flatnonzero((letters & 0xC0) != 0x80), len(letters))
+        stop = begins[np.cumsum(size)]
+        line = text[: int(size[:spaced].sum())]
+        if any(x in line for x in self.special):
+            line, spaced = "", 0
+        one = self.library.encode_batch_fast([line], add_special_tokens=False)[0].ids if spaced else []
+        rest = self.library.encode_batch_fast([words[spaced:]], is_pretokenized=True, add_special_tokens=False)[0].ids if spaced < len(words) else []
+        got = np.array(one + rest, np.uint32)
+        last = np.searchsorted(np.cumsum(self.n_bytes[got]), stop) + 1
+        return got, np.diff(last, prepend=0)
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, twice as long or longer if it has no room for n."""
+    return x if n <= len(x) else np.concatenate([x, np.empty(max(n - len(x), len(x)), x.dtype)])
 
 
 @functools.lru_cache(maxsize=2)
