@@ -62,6 +62,27 @@ def test_interval_join_is_an_equi_join(spark, sf):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_interval_pairs_over_several_blocks(spark):
+    r = random.Random(5)
+    lt, et = [r.randrange(0, 5400) for _ in range(300)], [r.randrange(0, 5400) for _ in range(1200)]
+    frame = lambda ts, a, b: spark.createDataFrame([(i, T0 + dt.timedelta(seconds=s)) for i, s in enumerate(ts)], f"{a} long, {b} timestamp")
+    got = interval_join(frame(lt, "c", "ct"), frame(et, "n", "nt"), "ct", "nt", 30)
+    want = {(i, k): (a - b) * 1_000_000 for i, a in enumerate(lt) for k, b in enumerate(et) if 0 < a - b <= 1800}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(x.c, x.n): x.latency_us for x in rows} == want
+
+
+def test_interval_pairs_of_copies_stay_small(spark, tmp_path):
+    """Copies at equal times, which come mixed: the pairs stand in the order of time, so their file has a fraction of a byte for each."""
+    r = random.Random(8)
+    frame = lambda n, a, b: spark.range(n * 50).select(F.col("id").alias(a), (F.lit(T0) + F.make_dt_interval(secs=F.pmod(F.xxhash64(F.col("id") % n), F.lit(1800)))).alias(b)).orderBy(F.rand(r.randrange(99)))
+    got = interval_join(frame(10, "c", "ct"), frame(40, "n", "nt"), "ct", "nt", 30).select("c", "n", "latency_us")
+    got.write.parquet(str(tmp_path / "pairs"))
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert n > 100_000 and size < 0.6 * n
+
+
 def test_normalize(spark):
     rows = spark.createDataFrame([("\t A b  \n",), ("",), (None,)], "t string")
     assert [r.n for r in rows.select(text.normalize("t").alias("n")).collect()] == ["a b", "", None]
