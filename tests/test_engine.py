@@ -235,6 +235,23 @@ def test_dataset_files(spark, tmp_path):
     assert datasets.json_seeds(spark, f"{d}/seed.json").count() == 2
 
 
+def test_any_text_survives_the_csv(spark, tmp_path):
+    r, signs = random.Random(2), ['"', "\\", "\n", "\r", ",", " ", "a", "#", "\0", "\ufeff", "\x85", "\u2028", "\U0001f600", "\t"]
+    texts = ["", " ", '"', '""', "\\", "\0", '"\0', "\n", "\r\n", "null", "NULL", ",", "#", "x" * 70_000, None] + ["".join(r.choices(signs, k=r.randrange(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t, i % 2 if i % 3 else None) for i, t in enumerate(texts)], "title string, label long")
+    datasets.csv_sink(df, f"{tmp_path}/set")
+    want = sorted((t, i % 2 if i % 3 else 0) for i, t in enumerate(texts) if t is not None)
+    assert sorted((x.claim, x.label) for x in datasets.csv_scan(spark, f"{tmp_path}/set").collect()) == want
+
+
+def test_dataset_scan_csv_keeps_empty_texts(spark, tmp_path):
+    docs = [(1, ""), (2, None), (3, "a\r\nb"), (4, ""), (5, "nul\0")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 1), (5, 0)], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = claims.dataset_scan_csv(spark, str(tmp_path)).collect()
+    assert sorted((x.claim, x.label) for x in got) == [("", 0), ("", 1), ("a\r\nb", 0), ("nul\0", 0)]
+
+
 def test_entry_point():
     import __spark_entry__ as e
 

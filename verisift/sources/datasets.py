@@ -10,6 +10,7 @@ import csv
 import io
 import itertools
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -30,9 +31,11 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def csv_scan(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file or folder with a header. Rows with more fields than it are skipped, missing fields are null, and bytes
-    that are no UTF-8 are replaced."""
+    """A CSV file or folder with a header. Rows with more fields than it are skipped, missing fields are null, a field in quotes is text even where
+    it is empty, and bytes that are no UTF-8 are replaced."""
     read = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
+    # Fields without anything read as this value, which no text has, and so as null. Unless set, the last character is NUL, and those of texts go.
+    read = read.option("nullValue", uuid.uuid4().hex).option("emptyValue", "").option("charToEscapeQuoteEscaping", '"')
     names = read.option("header", True).csv(path).columns
     kind = ", ".join(f"`{c}` string" for c in [*names, "_surplus"])
     rows = read.option("header", True).option("enforceSchema", True).schema(kind).csv(path)
@@ -181,9 +184,9 @@ def json_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_sink(df: DataFrame, path: str) -> None:
-    """With a header; quotes are doubled, and white space and line ends in values stay."""
-    w = df.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True)
-    w.option("nullValue", None).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(path)
+    """With a header; quotes are doubled, and white space and line ends in values stay. Empty text stands in quotes, a null is nothing."""
+    w = df.write.option("header", True).option("quote", '"').option("escape", '"')
+    w.option("nullValue", "").option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(path)
 
 
 def _status(spark: SparkSession, path: str):
